@@ -92,18 +92,14 @@ def balanced_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred", gro
 
 def prf_positive_only(df: DataFrame, gold: str = "gold", pred: str = "pred", group: list[str] | None = None,
                       positive=1) -> DataFrame:
-    """A2: P/R/F1 of the positive class plus balanced accuracy."""
-    group = group or []
-    pc = per_class_metrics(df, gold, pred, group)
-    pos = pc.filter(F.col("cls") == positive).select(*group, "precision", "recall", "f1")
-    bal = pc.filter(F.col("support") > 0).groupBy(*group).agg(F.avg("recall").alias("balanced_accuracy"))
-    if group:
-        return bal.join(pos, group, "left").fillna(0.0, ["precision", "recall", "f1"])
-    # one-row frames: a keyless join of two single-row aggregates
-    return bal.select("balanced_accuracy",
-                      pos.agg(F.coalesce(F.first("precision"), F.lit(0.0))).scalar().alias("precision"),
-                      pos.agg(F.coalesce(F.first("recall"), F.lit(0.0))).scalar().alias("recall"),
-                      pos.agg(F.coalesce(F.first("f1"), F.lit(0.0))).scalar().alias("f1"))
+    """A2: the nine P/R/F1 averages restricted to the positive class, plus balanced accuracy."""
+    g = group or []
+    keyed = df if g else df.withColumn("_g", F.lit(1))
+    k = g or ["_g"]
+    prf = prf_metrics(keyed, gold, pred, k, labels=[positive])
+    bal = balanced_accuracy(keyed, gold, pred, k)
+    out = bal.join(prf, k, "left")
+    return out.drop("_g") if not g else out
 
 
 def accuracy_prf_weighted(df: DataFrame, gold: str = "gold", pred: str = "pred",
@@ -132,16 +128,15 @@ def full_metrics(df: DataFrame, valid: list, gold: str = "gold", pred: str = "pr
 
     Output: (group..., metric, value) with metric in accuracy, precision_macro ...
     """
-    group = group or []
+    g = group or []
     kept, _ = drop_invalid_predictions(df, valid, gold, pred)
-    prf = prf_metrics(kept, gold, pred, group)
-    acc = accuracy(kept, gold, pred, group).drop("n")
-    wide = acc.join(prf, group, "inner") if group else acc.select(
-        "accuracy", *[prf.select(c).scalar().alias(c) for c in prf.columns])
-    names = [c for c in wide.columns if c not in group]
+    keyed = kept if g else kept.withColumn("_g", F.lit(1))
+    k = g or ["_g"]
+    wide = accuracy(keyed, gold, pred, k).drop("n").join(prf_metrics(keyed, gold, pred, k), k, "inner")
+    names = [c for c in wide.columns if c not in k]
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                                 for c in names]))
-    return wide.select(*group, stack.alias("s")).select(*group, "s.metric", "s.value")
+    return wide.select(*g, stack.alias("s")).select(*g, "s.metric", "s.value")
 
 
 def macro_prf_per_task(df: DataFrame, gold: str = "gold", pred: str = "pred", task: str = "task",

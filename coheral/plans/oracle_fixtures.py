@@ -54,13 +54,17 @@ FIXTURE_SQL = {
              "WHEN conv_id % 3 = 1 THEN NULL ELSE 'other' END AS model, CAST(NULL AS VARCHAR) AS plugins, "
              "list({'from': CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, "
              "'value': text} ORDER BY turn) AS conversations FROM conversations GROUP BY conv_id",
+    "questions": "SELECT item_id AS question_id, CASE WHEN item_id % 10 = 0 THEN 'math' ELSE 'generic' END AS category, "
+                 "CASE WHEN item_id % 2 = 0 THEN [text, 'Now expand on: ' || text] ELSE [text] END AS turns FROM benchmark",
+    "answers": "SELECT DISTINCT s.question_id, s.model AS model_id FROM single_judgments s "
+               "JOIN questions q ON s.question_id = q.question_id",
     # sentence split of P1 / F1 (Python: [s.strip() + '.' for s in text.split('.') if s.strip()])
     "essay_sents": "SELECT essay_id, prompt_id, ord, list_transform(list_filter(list_transform(string_split(text, '.'), "
                    "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: x || '.') AS sents FROM essays",
 }
 
 # dependencies between fixture CTEs
-DEPS = {"essay_sents": ["essays"]}
+DEPS = {"essay_sents": ["essays"], "answers": ["single_judgments", "questions"]}
 
 
 def with_fixtures(body: str, *names: str) -> str:
