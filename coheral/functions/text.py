@@ -65,11 +65,28 @@ def truncate_middle(c, max_len: int) -> Column:
     return F.when(F.length(c) > max_len, F.concat(F.substring(c, 1, half), tail)).otherwise(c)
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and apply ``fn`` to the bound value.
+
+    Catalyst inlines a column that is referenced several times (projection
+    collapsing), so an expensive expression used in k places is computed k
+    times; binding it to a lambda variable computes it once.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def contains_any(c, words, lower: bool = True) -> Column:
     """any of ``words`` occurs as a substring (case-insensitive by default)."""
     c = F.lower(col_(c)) if lower else col_(c)
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.exists(arr, lambda w: F.instr(c, w) > 0)
+    ws = [w.lower() if lower else w for w in words]
+
+    def any_of(t):
+        out = F.lit(False)
+        for w in ws:
+            out = out | t.contains(w)
+        return out
+
+    return let(c, any_of)
 
 
 def is_sentence_complete(c) -> Column:

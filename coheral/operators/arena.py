@@ -75,18 +75,21 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
     from coheral.operators.conversations import detect_language
 
     v = log.filter(F.col("type").isin(*VOTE_TYPES))
-    pub0, pub1 = remove_html(F.col("models")[0]), remove_html(F.col("models")[1])
+    # stage the per-row intermediates as columns: expressions referenced inside
+    # higher-order lambdas are not shared by common-subexpression elimination
     s0, s1 = F.col("states")[0], F.col("states")[1]
-    hid0 = F.when(s0["model_name"].isNull(), pub0).otherwise(s0["model_name"])
-    hid1 = F.when(s0["model_name"].isNull(), pub1).otherwise(s1["model_name"])
-    anony = (pub0 == "") | (pub0 == "Model A")
-    ma = F.when(anony, hid0).otherwise(pub0)
-    mb = F.when(anony, hid1).otherwise(pub1)
+    v = v.withColumn("_pub0", remove_html(F.col("models")[0])).withColumn("_pub1", remove_html(F.col("models")[1]))
+    pub0, pub1 = F.col("_pub0"), F.col("_pub1")
+    v = (v.withColumn("_hid0", F.when(s0["model_name"].isNull(), pub0).otherwise(s0["model_name"]))
+          .withColumn("_hid1", F.when(s0["model_name"].isNull(), pub1).otherwise(s1["model_name"]))
+          .withColumn("_anony", (pub0 == "") | (pub0 == "Model A")))
+    hid0, hid1, anony = F.col("_hid0"), F.col("_hid1"), F.col("_anony")
     msgs = F.concat(_from_offset(s0), _from_offset(s1))
-    text = F.lower(F.array_join(F.transform(msgs, lambda m: m[1]), ""))
-    leaked = F.exists(F.array(*[F.lit(w.lower()) for w in IDENTITY_WORDS]), lambda w: F.instr(text, w) > 0)
-    ma_n = normalise_model_name(ma, F.col("tstamp"))
-    mb_n = normalise_model_name(mb, F.col("tstamp"))
+    v = v.withColumn("_text", F.lower(F.array_join(F.transform(msgs, lambda m: m[1]), "")))
+    leaked = contains_any(F.col("_text"), [w.lower() for w in IDENTITY_WORDS], lower=False)
+    v = (v.withColumn("_ma", normalise_model_name(F.when(anony, hid0).otherwise(pub0), F.col("tstamp")))
+          .withColumn("_mb", normalise_model_name(F.when(anony, hid1).otherwise(pub1), F.col("tstamp"))))
+    ma_n, mb_n = F.col("_ma"), F.col("_mb")
     excluded = (ma_n.isin(*exclude_models) | mb_n.isin(*exclude_models)) if exclude_models else F.lit(False)
     banned = F.col("ip").isin(*ban_ips) if ban_ips else F.lit(False)
     reason = (F.when(F.col("models")[0].isNull() | F.col("models")[1].isNull(), "null_model")
@@ -96,6 +99,7 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
               .when(leaked, "leaked_identity")
               .when(excluded, "invalid")
               .when(banned, "banned"))
+    v = v.withColumn("reason", reason)
     first_msg = F.try_element_at(s0["messages"], s0["offset"] + 1)[1]
     lang = language if language is not None else detect_language(first_msg)
     conv_a = to_openai_format(_from_offset(s0))
@@ -103,11 +107,11 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
     winner = F.element_at(F.create_map(*[F.lit(x) for kv in VOTE_TO_WINNER.items() for x in kv]), F.col("type"))
     out = v.select(
         *[c for c in ("ord",) if c in log.columns],
-        reason.alias("reason"),
+        "reason",
         s0["conv_id"].alias("question_id"), ma_n.alias("model_a"), mb_n.alias("model_b"), winner.alias("winner"),
         F.col("ip"), conv_a.alias("conversation_a"), conv_b.alias("conversation_b"),
         (F.size(conv_a) / 2).cast("int").alias("turn"), anony.alias("anony"),
-        F.when(reason.isNull(), lang).alias("language"), F.col("tstamp"))
+        F.when(F.col("reason").isNull(), lang).alias("language"), F.col("tstamp"))
     if sanitize_ip:
         ids = dense_user_id(out.filter(F.col("reason").isNull() | (F.col("reason") == "banned")), "ip", "ord")
         out = out.join(ids, "ip", "left").withColumn("judge", F.concat(F.lit("arena_user_"), F.col("user_id").cast("string")))

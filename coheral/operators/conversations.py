@@ -41,24 +41,61 @@ def _c(x) -> Column:
 
 
 # ------------------------------------------------------------------ language
+def _trie_regex(words) -> str:
+    """Alternation factored by common prefixes, so the regex engine tests one
+    branch per leading character instead of every word."""
+    import re as _re
+    tree: dict = {}
+    for w in sorted(set(words)):
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts = []
+        end = "" in node
+        for ch in sorted(k for k in node if k):
+            alts.append(_re.escape(ch) + emit(node[ch]))
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 and not end else "(?:" + "|".join(alts) + ")"
+        return body + ("?" if end else "")
+
+    return emit(tree)
+
+
 def detect_language(text) -> Column:
     """P15 detector: the language whose stop words occur most often among the words.
 
     Words are maximal runs of letters, lower-cased; a stop word counts where it
-    occurs as a whole word.  One JVM regex scan per language (no per-word
-    arrays).  Ties go to the earlier language in ``STOPWORDS``; no stop word at
-    all -> 'unknown'.
+    occurs as a whole word.  One JVM regex scan (a prefix-factored alternation
+    of all stop words) extracts the stop-word occurrences; a single
+    ``aggregate`` over that short array counts them per language and picks the
+    winner, so the text is scanned once (the expression is referenced once and
+    cannot be duplicated by projection collapsing).  Ties go to the earlier
+    language in ``STOPWORDS``; no stop word at all -> 'unknown'.
     """
-    low = F.lower(_c(text))
-    cs = []
-    for sw in STOPWORDS.values():
-        pat = r"(?<!\p{L})(?:" + "|".join(sw) + r")(?!\p{L})"
-        cs.append(F.size(F.regexp_extract_all(low, F.lit(pat), 0)))
-    best = F.greatest(*cs)
-    out = F.when(best <= 0, F.lit("unknown"))
-    for name, c in zip(STOPWORDS, cs):
-        out = out.when(c == best, F.lit(name))
-    return F.when(_c(text).isNull(), F.lit("unknown")).otherwise(out)
+    allw = [w for sw in STOPWORDS.values() for w in sw]
+    pat = r"(?<!\p{L})(" + _trie_regex(allw) + r")(?!\p{L})"
+    hits = F.regexp_extract_all(F.lower(_c(text)), F.lit(pat), 1)
+    langs = list(STOPWORDS)
+    arrs = [F.array(*[F.lit(x) for x in STOPWORDS[n]]) for n in langs]
+    zero = F.struct(*[F.lit(0).alias(f"c{i}") for i in range(len(langs))])
+
+    def merge(acc, w):
+        return F.struct(*[(acc[f"c{i}"] + F.when(F.array_contains(arrs[i], w), 1).otherwise(0)).alias(f"c{i}")
+                          for i in range(len(langs))])
+
+    def finish(acc):
+        cs = [acc[f"c{i}"] for i in range(len(langs))]
+        best = F.greatest(*cs)
+        out = F.when(best <= 0, F.lit("unknown"))
+        for name, c in zip(langs, cs):
+            out = out.when(c == best, F.lit(name))
+        return out
+
+    return F.coalesce(F.aggregate(hits, zero, merge, finish), F.lit("unknown"))
 
 
 def conversation_text(conv) -> Column:

@@ -81,6 +81,8 @@ def with_fixtures(body: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

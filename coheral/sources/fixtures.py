@@ -205,7 +205,8 @@ def html_chats(t: Tables) -> DataFrame:
 def arena_log(t: Tables) -> DataFrame:
     """Arena log events (T8): activity joined to two conversation states.
 
-    State 0 is conversation ``event_id % n``, state 1 ``(event_id + 1) % n`` where
+    Named (``model_0 = 'named'``) events show the real model names publicly,
+    anonymous ones show ['', ''].  State 0 is conversation ``event_id % n``, state 1 ``(event_id + 1) % n`` where
     ``n`` is the number of conversations; messages are ``[role, text]`` pairs with
     roles user/assistant, offset 0.  ``tstamp`` is epoch seconds (double).
     """
@@ -226,7 +227,8 @@ def arena_log(t: Tables) -> DataFrame:
         "ord", "type",
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("tstamp"),
         "model",
-        F.array(F.col("model_0"), F.when(F.col("model_0") == "", "").otherwise(model_b)).alias("models"),
+        F.when(F.col("model_0") == "", F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.col("model"), model_b))
+         .alias("models"),
         F.array(state(F.col("c0"), F.col("model"), "msg0"), state(F.col("c1"), model_b, "msg1")).alias("states"),
         "ip")
 
