@@ -105,3 +105,59 @@ def word_count(c) -> Column:
 
 def last_char(c) -> Column:
     return F.substring(col_(c), -1, 1)
+
+
+def post_process_answer(c) -> Column:
+    """bullets '•' -> '- ', and no blank line before numbered / dashed list items."""
+    v = F.replace(col_(c), F.lit("•"), F.lit("- "))
+    v = F.regexp_replace(v, r"\n\n(\d+\. )", "\n$1")
+    return F.regexp_replace(v, r"\n\n(- )", "\n$1")
+
+
+def is_partial_stop(output, stop: str) -> Column:
+    """the stop string starts with a suffix of the output (i = 0 compares the whole output)."""
+    o = col_(output)
+    n = F.least(F.length(o), F.lit(len(stop)))
+    suffix = lambda i: F.when(i == 0, o).otherwise(F.substring(o, -i, i))
+    return F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.startswith(F.lit(stop), suffix(i))) & (n > 0)
+
+
+def trim_at_stop(output, stops: list[str], special_tokens: list[str] = ()) -> Column:
+    """F8: cut at the earliest stop string found after position 0, drop special tokens, strip."""
+    o = col_(output)
+    pos = [F.when(F.instr(o, s) > 1, F.instr(o, s)) for s in stops]
+    first = F.least(*pos) if len(pos) > 1 else (pos[0] if pos else F.lit(None))
+    cut = F.when(first.isNotNull(), F.substring(o, F.lit(1), first - 1)).otherwise(o) if stops else o
+    for t in special_tokens:
+        cut = F.replace(cut, F.lit(t), F.lit(""))
+    return py_strip(cut)
+
+
+# ---- fixed values: model family names of the baseline reports --------------------
+MODEL_FAMILIES = [("deberta", "deberta"), ("bert", "bert"), ("flan", "flan_t5"), ("t5", "t5"), ("gpt", "chatgpt"),
+                  ("davinci", "gpt_davinci")]
+MODEL_SIZES = [("base", "_base"), ("large", "_large")]
+# Sampling temperature per bench category.
+TEMPERATURE_CONFIG = {"writing": 0.7, "roleplay": 0.7, "extraction": 0.0, "math": 0.0, "coding": 0.0,
+                      "reasoning": 0.0, "stem": 0.1, "humanities": 0.1, "arena-hard-200": 0.0}
+# -----------------------------------------------------------------------------
+
+
+def model_to_name(c) -> Column:
+    """family (first matching substring, in order) plus size suffix."""
+    m = col_(c)
+    fam = F.lit(None).cast("string")
+    for sub, name in reversed(MODEL_FAMILIES):
+        fam = F.when(m.contains(sub), F.lit(name)).otherwise(fam)
+    size = F.lit("")
+    for sub, suf in reversed(MODEL_SIZES):
+        size = F.when(m.contains(sub), F.lit(suf)).otherwise(size)
+    return F.concat(fam, size)
+
+
+def temperature(category, force=None, required=None, default: float = 0.7) -> Column:
+    """forced temperature, else a required one, else the per-category value, else the default."""
+    cfg = F.create_map(*[x for k, v in TEMPERATURE_CONFIG.items() for x in (F.lit(k), F.lit(float(v)))])
+    parts = [p for p in (force, required) if p is not None]
+    return F.coalesce(*[F.lit(float(p)) if not isinstance(p, Column) else p for p in parts],
+                      F.try_element_at(cfg, col_(category)), F.lit(float(default)))

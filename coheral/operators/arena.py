@@ -312,3 +312,67 @@ def release_filter(conv_a: Column, conv_b: Column | None = None, blocked_words:
     if flagged is not None:
         code = F.coalesce(code, F.when(flagged, "MODERATION"))
     return code
+
+
+def clean_chats(log: DataFrame, action_type: str = "chat", language: Column | None = None) -> DataFrame:
+    """Chat records of one action type, cleaned, with the latest record per conversation.
+
+    chat / upvote / downvote read ``state`` and ``model``; leftvote / rightvote
+    read ``states[0]`` / ``states[1]`` and that state's model name.  Dropped:
+    missing conversation id, missing model, no message at the offset, a null
+    message, the network-error text.  Models are renamed with the vote time;
+    user ids are dense by first appearance among kept rows; then the last record
+    per conversation wins (D3).  Output: conversation_id, model, conversation,
+    turn, language, user_id, tstamp, ord.
+    """
+    from coheral.operators.conversations import detect_language
+
+    rows = log.filter(F.col("type") == action_type)
+    if action_type in ("chat", "upvote", "downvote"):
+        st, model = F.col("state"), F.col("model")
+    elif action_type == "leftvote":
+        st, model = F.col("states")[0], F.col("states")[0]["model_name"]
+    elif action_type == "rightvote":
+        st, model = F.col("states")[1], F.col("states")[1]["model_name"]
+    else:
+        raise ValueError(action_type)
+    rows = rows.withColumn("_st", st).withColumn("_model", model)
+    st = F.col("_st")
+    conv = to_openai_format(_from_offset(st))
+    rows = rows.withColumn("_conv", conv)
+    text = F.lower(F.array_join(F.transform("_conv", lambda m: m["content"]), ""))
+    reason = (F.when(st["conv_id"].isNull(), "invalid_conv_id")
+              .when(F.col("_model").isNull(), "invalid")
+              .when(st["offset"] >= F.size(st["messages"]), "invalid")
+              .when(F.exists("_conv", lambda m: m["content"].isNull()), "invalid")
+              .when(F.instr(text, NETWORK_ERROR_MSG.lower()) > 0, "network_error"))
+    first_msg = F.try_element_at(st["messages"], st["offset"] + 1)[1]
+    lang = language if language is not None else detect_language(first_msg)
+    row = F.struct(F.col("ord"), reason.alias("reason"), st["conv_id"].alias("conversation_id"),
+                   normalise_model_name(F.col("_model"), F.col("tstamp")).alias("model"),
+                   F.col("_conv").alias("conversation"), (F.size("_conv") / 2).cast("int").alias("turn"),
+                   F.when(reason.isNull(), lang).alias("language"), F.col("ip"), F.col("tstamp"))
+    kept = rows.select(F.inline(F.array(row))).filter(F.col("reason").isNull()).drop("reason")
+    ids = dense_user_id(kept, "ip", "ord")
+    kept = kept.join(ids, "ip").drop("ip")
+    return dedup_latest_by_conv(kept, "conversation_id", ("tstamp", "ord"))
+
+
+def release_stats(chats: DataFrame, token_len=None) -> DataFrame:
+    """Conversations, distinct users / models / languages, mean turns, mean prompt and
+    response length (tokens, per message) of an openai-format chat table."""
+    from coheral.functions.text import word_count
+    tl = token_len or word_count
+    msgs = chats.select(F.posexplode("conversation").alias("i", "m"))
+    lens = msgs.select(F.when(F.col("m.role") == "user", tl(F.col("m.content"))).alias("p"),
+                       F.when(F.col("m.role") == "assistant", tl(F.col("m.content"))).alias("r"))
+    return chats.agg(F.count(F.lit(1)).alias("n_conversations"), F.countDistinct("user_id").alias("n_users"),
+                     F.countDistinct("model").alias("n_models"), F.countDistinct("language").alias("n_languages"),
+                     F.avg("turn").alias("avg_turns")).select(
+        "*", lens.agg(F.avg("p")).scalar().alias("avg_prompt_tokens"),
+        lens.agg(F.avg("r")).scalar().alias("avg_response_tokens"))
+
+
+def language_counts(chats: DataFrame, top: int = 25) -> DataFrame:
+    """Conversations per language, top 25 (ties by name)."""
+    return chats.groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(top)

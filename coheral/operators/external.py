@@ -145,11 +145,13 @@ def token_count_udf(tokenizer_name: str | None = None):
     return count
 
 
-def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """X6 offline default: L2-normalised hashed bag of lower-cased words (JVM side)."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    idx = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter(idx, lambda j: j == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def hashed_embedding(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "embedding") -> DataFrame:
+    """X6 offline default: L2-normalised hashed bag of lower-cased words (MLlib HashingTF + Normalizer, JVM side)."""
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
+    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim)
+    nz = Normalizer(inputCol="_tf", outputCol="_n", p=2.0)
+    out = nz.transform(tf.transform(tok.transform(df)))
+    return out.withColumn(out_col, vector_to_array("_n")).drop("_words", "_tf", "_n")

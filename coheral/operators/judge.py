@@ -292,3 +292,9 @@ def explanation_view(pair: DataFrame, model_a: str, model_b: str) -> DataFrame:
     w = F.col("winner")
     return keyed.select("question_id", "turn", F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"),
                         F.coalesce(_reverse(w) if flip else w, F.lit("N/A")).alias("winner"))
+
+
+def judge_stats(matches: DataFrame, model: str = "model_id") -> DataFrame:
+    """Number of matches, distinct models and questions before running a judge."""
+    return matches.agg(F.count(F.lit(1)).alias("n_matches"), F.countDistinct(model).alias("n_models"),
+                       F.countDistinct("question_id").alias("n_questions"))

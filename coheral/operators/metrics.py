@@ -165,3 +165,8 @@ def win_rate(df: DataFrame, win: str = "win", group: list[str] | None = None) ->
 def one_per_class(df: DataFrame, label: str, order: str = "ord") -> DataFrame:
     """The first row (by ``order``) for every label value -- partial aggregation, skew-safe."""
     return first_per_key(df, [label], [order])
+
+
+def metric_collation(df: DataFrame, model: str, task: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Macro / micro / weighted P, R, F1 for every (model, task) in one grouped pass."""
+    return prf_metrics(df, gold, pred, [model, task])

@@ -216,3 +216,16 @@ def story_to_pairs_explode(stories: DataFrame) -> DataFrame:
     ex = stories.select("uid", "sents", F.posexplode("sents").alias("sent_i", "sentence"))
     return ex.select("uid", "sent_i", F.array_join(F.slice("sents", 1, F.col("sent_i")), " ").alias("context"),
                      "sentence")
+
+
+def split_by_title(stories: DataFrame, train_ratio: float = 0.85, seed: int = 42, title: str = "title") -> DataFrame:
+    """Train / dev split on titles, so all stories of a title land together.
+
+    A title goes to train when the 13-hex-digit MD5 prefix of (seed, title) is
+    below ``train_ratio`` of the range; comparing fixed-width hex strings keeps
+    the rule exact and restatable.  Adds ``split``.
+    """
+    from coheral.functions.hashing import hash_key
+    cut = format(int(train_ratio * 16 ** 13), "013x")
+    h = F.substring(hash_key(F.col(title), seed), 1, 13)
+    return stories.withColumn("split", F.when(h < F.lit(cut), "train").otherwise("dev"))

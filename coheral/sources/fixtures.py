@@ -230,6 +230,7 @@ def arena_log(t: Tables) -> DataFrame:
         F.when(F.col("model_0") == "", F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.col("model"), model_b))
          .alias("models"),
         F.array(state(F.col("c0"), F.col("model"), "msg0"), state(F.col("c1"), model_b, "msg1")).alias("states"),
+        state(F.col("c0"), F.col("model"), "msg0").alias("state"),
         "ip")
 
 
