@@ -167,3 +167,17 @@ def q_llm_map(spark, sf_dir):
 def q_moderation_tag(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.filter(F.col("role") == "user")
     return moderation_tag(c.select("conv_id", "turn", "text"), "text").groupBy("flagged").count()
+
+
+@query("logit_decisions", "F17 F29", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax,
+       CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN 1 / (1 + exp(-x)) > 0.5 THEN 1 ELSE 0 END))
+            AS INTEGER) AS n_positive,
+       ['a', 'b', 'c'][list_position([embedding[1], embedding[3], embedding[5]],
+                                      list_max([embedding[1], embedding[3], embedding[5]]))] AS best_label
+FROM embeddings""")
+def q_logit_decisions(spark, sf_dir):
+    e = Tables(spark, sf_dir).embeddings
+    return e.select("vec_id", RP.argmax("embedding").alias("argmax"),
+                    F.aggregate(RP.sigmoid_labels("embedding"), F.lit(0), lambda a, x: a + x).alias("n_positive"),
+                    RP.best_allowed_label("embedding", [0, 2, 4], ["a", "x", "b", "y", "c"]).alias("best_label"))
