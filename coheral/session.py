@@ -67,3 +67,29 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on any Hadoop-compatible filesystem (local, HDFS, object stores)."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_list_names(spark: SparkSession, path: str) -> list[str]:
+    """Child names of a directory on any Hadoop-compatible filesystem ([] when missing)."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def fs_delete(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)

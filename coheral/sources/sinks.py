@@ -3,8 +3,6 @@ only the explicitly small renderers (K9) bring rows to the driver."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +51,11 @@ def checkpointed_sink(df: DataFrame, path: str, key: str, batch_col: str = "batc
     skipped (left anti join); new rows go to their own ``batch`` partition with
     dynamic partition overwrite, so a retried batch replaces itself.  Returns
     the rows written in this call."""
+    from coheral.session import fs_exists
     spark = df.sparkSession
     todo = df
-    if os.path.exists(path) or path.startswith(("s3", "gs", "hdfs", "abfs")):
-        try:
-            done = spark.read.parquet(path).select(key)
-            todo = df.join(done, key, "left_anti")
-        except Exception:  # noqa: BLE001 -- nothing written yet
-            pass
+    if fs_exists(spark, path):
+        todo = df.join(spark.read.parquet(path).select(key), key, "left_anti")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     todo.write.mode("overwrite").partitionBy(batch_col).parquet(path)
     return todo
@@ -68,12 +63,10 @@ def checkpointed_sink(df: DataFrame, path: str, key: str, batch_col: str = "batc
 
 def cache_dataset(build, path: str, spark) -> DataFrame:
     """K7: reuse the saved dataset when present, else build and save it (Parquet)."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- not there yet
-        df = build()
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    from coheral.session import fs_exists
+    if not fs_exists(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_text_report(df: DataFrame, path: str, fmt: str, *cols: str) -> None:

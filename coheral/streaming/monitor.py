@@ -10,15 +10,13 @@ latest-record dedup keep their (small) state in tables under the session's
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coheral.operators import arena as A
 from coheral.operators.ratings import INIT_RATING, _fold_elo
-from coheral.session import checkpoint_dir
+from coheral.session import checkpoint_dir, fs_delete, fs_list_names
 from coheral.sources import schemas as SC
 
 
@@ -48,7 +46,19 @@ def stream_clean_battles(events: DataFrame, exclude_models=None, ban_ips=None) -
 
 
 def _state_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "state", name)
+    return checkpoint_dir(spark).rstrip("/") + "/state/" + name
+
+
+def _versions(spark: SparkSession, table_dir: str, before: int | None = None) -> list[int]:
+    """Committed versions ``v=<batch id>`` of a state table (any Hadoop filesystem)."""
+    vs = sorted(int(n.split("=")[1]) for n in fs_list_names(spark, table_dir) if n.startswith("v="))
+    return [v for v in vs if before is None or v < before]
+
+
+def _prune(spark: SparkSession, table_dir: str, keep_from: int) -> None:
+    """Drop versions older than the previous one (the state tables are replaced, not appended)."""
+    for v in _versions(spark, table_dir, keep_from):
+        fs_delete(spark, f"{table_dir}/v={v}")
 
 
 def online_elo_batch_writer(state_dir: str):
@@ -61,11 +71,9 @@ def online_elo_batch_writer(state_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prev = None
-        if os.path.isdir(state_dir):
-            versions = sorted(int(v.split("=")[1]) for v in os.listdir(state_dir) if v.startswith("v="))
-            versions = [v for v in versions if v < batch_id]
-            if versions:
-                prev = spark.read.parquet(os.path.join(state_dir, f"v={versions[-1]}"))
+        versions = _versions(spark, state_dir, batch_id)
+        if versions:
+            prev = spark.read.parquet(f"{state_dir}/v={versions[-1]}")
         state = {r["model"]: r["rating"] for r in prev.collect()} if prev is not None else {}  # |models| rows
 
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,15 +89,22 @@ def online_elo_batch_writer(state_dir: str):
         if not rows:  # empty batch: carry the state forward
             rows = [(m, r) for m, r in state.items()]
         spark.createDataFrame(rows, "model string, rating double").coalesce(1).write.mode("overwrite") \
-            .parquet(os.path.join(state_dir, f"v={batch_id}"))
+            .parquet(f"{state_dir}/v={batch_id}")
+        if versions:
+            _prune(spark, state_dir, versions[-1])
     return write
 
 
-def latest_ratings(spark: SparkSession, state_dir: str) -> DataFrame:
-    versions = sorted(int(v.split("=")[1]) for v in os.listdir(state_dir) if v.startswith("v="))
+def latest_version(spark: SparkSession, table_dir: str, schema: str | None = None) -> DataFrame:
+    """The newest committed version of a streaming state table."""
+    versions = _versions(spark, table_dir)
     if not versions:
-        return spark.createDataFrame([], "model string, rating double")
-    return spark.read.parquet(os.path.join(state_dir, f"v={versions[-1]}"))
+        return spark.createDataFrame([], schema or "model string, rating double")
+    return spark.read.parquet(f"{table_dir}/v={versions[-1]}")
+
+
+def latest_ratings(spark: SparkSession, state_dir: str) -> DataFrame:
+    return latest_version(spark, state_dir, "model string, rating double")
 
 
 def stream_online_elo(battles: DataFrame, state_dir: str | None = None, trigger: dict | None = None,
@@ -110,13 +125,12 @@ def dedup_batch_writer(table_dir: str, key: str = "conversation_id", order=("tst
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cur = batch
-        if os.path.isdir(table_dir):
-            versions = sorted(int(v.split("=")[1]) for v in os.listdir(table_dir) if v.startswith("v="))
-            versions = [v for v in versions if v < batch_id]
-            if versions:
-                cur = spark.read.parquet(os.path.join(table_dir, f"v={versions[-1]}")).unionByName(batch)
-        first_per_key(cur, [key], list(order), last=True).write.mode("overwrite") \
-            .parquet(os.path.join(table_dir, f"v={batch_id}"))
+        versions = _versions(spark, table_dir, batch_id)
+        if versions:
+            cur = spark.read.parquet(f"{table_dir}/v={versions[-1]}").unionByName(batch)
+        first_per_key(cur, [key], list(order), last=True).write.mode("overwrite").parquet(f"{table_dir}/v={batch_id}")
+        if versions:
+            _prune(spark, table_dir, versions[-1])
     return write
 
 

@@ -115,7 +115,6 @@ def test_stream_online_elo_and_dedup_match_batch(spark, scratch):
     q2, table = SM.stream_dedup_chats(rows, table_dir=os.path.join(scratch, "dedup"),
                                       checkpoint=os.path.join(scratch, "ck_dd"))
     q2.awaitTermination()
-    versions = sorted(int(v.split("=")[1]) for v in os.listdir(table) if v.startswith("v="))
-    got2 = {r["conversation_id"]: r["tstamp"] for r in spark.read.parquet(os.path.join(table, f"v={versions[-1]}")).collect()}
+    got2 = {r["conversation_id"]: r["tstamp"] for r in SM.latest_version(spark, table).collect()}
     b2 = log.filter(F.col("type") == "chat").groupBy(F.col("states")[0]["conv_id"].alias("c")).agg(F.max("tstamp").alias("t"))
     assert got2 == {r["c"]: r["t"] for r in b2.collect()}
