@@ -170,7 +170,7 @@ def q_moderation_tag(spark, sf_dir):
 
 
 @query("logit_decisions", "F17 F29", """
-SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax,
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax,
        CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN 1 / (1 + exp(-x)) > 0.5 THEN 1 ELSE 0 END))
             AS INTEGER) AS n_positive,
        ['a', 'b', 'c'][list_position([embedding[1], embedding[3], embedding[5]],

@@ -53,7 +53,7 @@ def q_average_win_rate(spark, sf_dir):
 
 @query("rank_ratings", "D10", with_fixtures(
     f"{_AVG_SQL} SELECT model, round(avg_win_rate, 6) AS avg_win_rate, "
-    "row_number() OVER (ORDER BY avg_win_rate DESC, model) AS rank FROM aw", "battles"))
+    "CAST(row_number() OVER (ORDER BY avg_win_rate DESC, model) AS INTEGER) AS rank FROM aw", "battles"))
 def q_rank_ratings(spark, sf_dir):
     return _r(R.rank_ratings(R.average_win_rate(_no_ties(spark, sf_dir)), "avg_win_rate"))
 

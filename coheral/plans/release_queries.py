@@ -189,7 +189,7 @@ def q_leaderboard_csv_render(spark, sf_dir):
 
 @query("leaderboard_join", "J10 D10", with_fixtures(
     f"WITH {_NB}, {_AW} SELECT aw.model, round(aw.avg_win_rate, 6) AS avg_win_rate, nb.num_battles, "
-    "row_number() OVER (ORDER BY round(aw.avg_win_rate, 9) DESC, aw.model) AS rank FROM aw LEFT JOIN nb ON aw.model = nb.model",
+    "CAST(row_number() OVER (ORDER BY round(aw.avg_win_rate, 9) DESC, aw.model) AS INTEGER) AS rank FROM aw LEFT JOIN nb ON aw.model = nb.model",
     "battles"))
 def q_leaderboard_join(spark, sf_dir):
     b = _anon(spark, sf_dir)
@@ -242,7 +242,7 @@ SELECT conv_id, turn,
    OR ends_with(text, '''') OR ends_with(text, '”')) AS complete,
   coalesce(list_bool_or(list_transform(range(0, least(length(text), 3)), lambda i:
      starts_with('er.', CASE WHEN i = 0 THEN text ELSE right(text, CAST(i AS INTEGER)) END))), false) AS partial_stop,
-  length(regexp_replace(CASE WHEN f IS NOT NULL THEN substr(text, 1, f - 1) ELSE text END, '^\\s+|\\s+$', '', 'g'))
+  CAST(length(regexp_replace(CASE WHEN f IS NOT NULL THEN substr(text, 1, f - 1) ELSE text END, '^\\s+|\\s+$', '', 'g')) AS INTEGER)
     AS trimmed_len
 FROM (SELECT *, least(CASE WHEN strpos(text, '.') > 1 THEN strpos(text, '.') END,
                      CASE WHEN strpos(text, chr(10)) > 1 THEN strpos(text, chr(10)) END) AS f FROM conversations) c""")

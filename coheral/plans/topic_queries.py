@@ -31,7 +31,7 @@ def q_cluster_share(spark, sf_dir):
 
 
 @query("relabel_by_size", "D12", "WITH s AS (SELECT label, COUNT(*) AS size FROM embeddings GROUP BY label), "
-                                  "m AS (SELECT label, row_number() OVER (ORDER BY size DESC, label) - 1 AS new_label "
+                                  "m AS (SELECT label, CAST(row_number() OVER (ORDER BY size DESC, label) - 1 AS INTEGER) AS new_label "
                                   "FROM s) SELECT e.vec_id, m.new_label FROM embeddings e JOIN m ON e.label = m.label")
 def q_relabel_by_size(spark, sf_dir):
     return T.relabel_by_size(_emb(spark, sf_dir)).select("vec_id", "new_label")
@@ -39,7 +39,7 @@ def q_relabel_by_size(spark, sf_dir):
 
 @query("cluster_topk", "D11 F23", f"WITH {_CENTRES}, "
                                   "k AS (SELECT least(20, min(n)) AS k FROM (SELECT COUNT(*) AS n FROM embeddings GROUP BY label) z) "
-                                  "SELECT label, vec_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER "
+                                  "SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER "
                                   "(PARTITION BY label ORDER BY cos DESC, vec_id) AS rank FROM s) r "
                                   "WHERE rank <= (SELECT k FROM k)")
 def q_cluster_topk(spark, sf_dir):
