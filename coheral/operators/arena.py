@@ -99,23 +99,24 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
               .when(leaked, "leaked_identity")
               .when(excluded, "invalid")
               .when(banned, "banned"))
-    v = v.withColumn("reason", reason)
+    # Only ``reason`` goes through a one-element generator: a later filter on it
+    # cannot be pushed below the generator, so the text scans run once per row;
+    # the output columns are computed above it, only when selected and, for the
+    # language, only for kept rows.
+    v = v.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
     first_msg = F.try_element_at(s0["messages"], s0["offset"] + 1)[1]
     lang = language if language is not None else detect_language(first_msg)
     conv_a = to_openai_format(_from_offset(s0))
     conv_b = to_openai_format(_from_offset(s1))
+    n_a = F.greatest(F.size(s0["messages"]) - s0["offset"], F.lit(0))
     winner = F.element_at(F.create_map(*[F.lit(x) for kv in VOTE_TO_WINNER.items() for x in kv]), F.col("type"))
-    # The row is emitted through a one-element generator: a later filter on
-    # ``reason`` cannot be pushed below it, so the text scans run once per row
-    # instead of once in the filter and again in the projection.
-    row = F.struct(
+    out = v.select(
         *[F.col(c) for c in ("ord",) if c in log.columns],
         F.col("reason"),
         s0["conv_id"].alias("question_id"), ma_n.alias("model_a"), mb_n.alias("model_b"), winner.alias("winner"),
         F.col("ip"), conv_a.alias("conversation_a"), conv_b.alias("conversation_b"),
-        (F.size(conv_a) / 2).cast("int").alias("turn"), anony.alias("anony"),
+        (n_a / 2).cast("int").alias("turn"), anony.alias("anony"),
         F.when(F.col("reason").isNull(), lang).alias("language"), F.col("tstamp"))
-    out = v.select(F.inline(F.array(row)))
     if sanitize_ip:
         ids = dense_user_id(out.filter(F.col("reason").isNull() | (F.col("reason") == "banned")), "ip", "ord")
         out = out.join(ids, "ip", "left").withColumn("judge", F.concat(F.lit("arena_user_"), F.col("user_id").cast("string")))
