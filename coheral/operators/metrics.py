@@ -92,14 +92,22 @@ def balanced_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred", gro
 
 def prf_positive_only(df: DataFrame, gold: str = "gold", pred: str = "pred", group: list[str] | None = None,
                       positive=1) -> DataFrame:
-    """A2: the nine P/R/F1 averages restricted to the positive class, plus balanced accuracy."""
+    """A2: the nine P/R/F1 averages restricted to the positive class, plus balanced accuracy.
+
+    With a single class, macro and micro equal the class's own ratios and the
+    weighted average is that ratio when the class has support (else 0): one
+    aggregation over the per-class table.
+    """
     g = group or []
-    keyed = df if g else df.withColumn("_g", F.lit(1))
-    k = g or ["_g"]
-    prf = prf_metrics(keyed, gold, pred, k, labels=[positive])
-    bal = balanced_accuracy(keyed, gold, pred, k)
-    out = bal.join(prf, k, "left")
-    return out.drop("_g") if not g else out
+    pc = per_class_metrics(df, gold, pred, g)
+    pos = F.col("cls") == positive
+    cols = [F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy")]
+    for m in ("precision", "recall", "f1"):
+        v = F.max(F.when(pos, F.col(m)))
+        sup = F.max(F.when(pos, F.col("support")))
+        cols += [v.alias(f"{m}_macro"), F.when(sup > 0, v).otherwise(F.lit(0.0)).alias(f"{m}_weighted"),
+                 v.alias(f"{m}_micro")]
+    return pc.groupBy(*g).agg(*cols)
 
 
 def accuracy_prf_weighted(df: DataFrame, gold: str = "gold", pred: str = "pred",
@@ -126,14 +134,13 @@ def full_metrics(df: DataFrame, valid: list, gold: str = "gold", pred: str = "pr
                  group: list[str] | None = None) -> DataFrame:
     """A4: accuracy + 9 P/R/F1 variants after dropping invalid predictions, long form.
 
-    Output: (group..., metric, value) with metric in accuracy, precision_macro ...
+    Accuracy is pooled tp / rows, i.e. the micro recall over all classes, so the
+    whole row comes from one aggregation.  Output: (group..., metric, value).
     """
     g = group or []
     kept, _ = drop_invalid_predictions(df, valid, gold, pred)
-    keyed = kept if g else kept.withColumn("_g", F.lit(1))
-    k = g or ["_g"]
-    wide = accuracy(keyed, gold, pred, k).drop("n").join(prf_metrics(keyed, gold, pred, k), k, "inner")
-    names = [c for c in wide.columns if c not in k]
+    wide = prf_metrics(kept, gold, pred, g).withColumn("accuracy", F.col("recall_micro"))
+    names = ["accuracy"] + [c for c in wide.columns if c not in g and c != "accuracy"]
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                                 for c in names]))
     return wide.select(*g, stack.alias("s")).select(*g, "s.metric", "s.value")
