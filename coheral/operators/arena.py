@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coheral.functions.text import contains_any, py_strip, remove_html
+from coheral.functions.timefn import local_day, ntz_seconds
 from coheral.operators.ordering import global_rank
 
 # ---- fixed values of the arena log protocol ----------------------------------
@@ -36,13 +37,13 @@ PACIFIC = "America/Los_Angeles"
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """timestamp / timestamp_ntz (UTC wall clock) -> epoch seconds as double."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+    """timestamp_ntz holding UTC wall-clock time -> epoch seconds (double), session-zone independent."""
+    return ntz_seconds(ts)
 
 
 def pacific_day(tstamp: Column) -> Column:
-    """epoch seconds -> 'YYYY-MM-DD' in US/Pacific."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(tstamp), PACIFIC), "yyyy-MM-dd")
+    """epoch seconds -> 'YYYY-MM-DD' in US/Pacific (session-zone independent)."""
+    return local_day((tstamp * F.lit(1e6)).cast("long"), PACIFIC)
 
 
 def normalise_model_name(name: Column, tstamp: Column) -> Column:
@@ -156,7 +157,7 @@ def action_counts(log: DataFrame, key: str = "type", ts_us: str = "ts_us", only_
 
 def daily_counts(log: DataFrame, ts_us: str = "ts_us", is_anony_vote: Column | None = None) -> DataFrame:
     """A10: chats and anonymous votes per US/Pacific day (long form: day, kind, n)."""
-    day = pacific_day(F.col(ts_us) / 1e6)
+    day = local_day(F.col(ts_us), PACIFIC)
     anv = is_anony_vote if is_anony_vote is not None else F.col("type").isin(*VOTE_TYPES) & (F.col("models")[0] == "")
     kind = F.when(F.col("type") == "chat", "chat").when(anv, "anony_vote")
     return (log.select(day.alias("day"), kind.alias("kind")).filter(F.col("kind").isNotNull())

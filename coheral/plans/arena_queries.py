@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coheral.functions.timefn import ntz_micros
 from coheral.operators import arena as A
 from coheral.plans.metric_queries import _r
 from coheral.plans.oracle_fixtures import with_fixtures
@@ -15,7 +16,7 @@ from coheral.sources.tables import Tables
 
 def _activity(spark, sf_dir) -> DataFrame:
     a = fx.activity(Tables(spark, sf_dir))
-    return a.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return a.withColumn("ts_us", ntz_micros(F.col("ts")))
 
 
 _NOW = "(SELECT max(epoch_us(ts)) FROM activity)"

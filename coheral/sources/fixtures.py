@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coheral.functions.timefn import ntz_seconds
 from coheral.sources.tables import Tables
 
 
@@ -225,7 +226,7 @@ def arena_log(t: Tables) -> DataFrame:
                                             F.lit(0).alias("offset"), F.col(msg).alias("messages"))
     return a.select(
         "ord", "type",
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("tstamp"),
+        ntz_seconds(F.col("ts")).alias("tstamp"),
         "model",
         F.when(F.col("model_0") == "", F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.col("model"), model_b))
          .alias("models"),
