@@ -53,9 +53,10 @@ def q_average_win_rate(spark, sf_dir):
 
 @query("rank_ratings", "D10", with_fixtures(
     f"{_AVG_SQL} SELECT model, round(avg_win_rate, 6) AS avg_win_rate, "
-    "CAST(row_number() OVER (ORDER BY avg_win_rate DESC, model) AS INTEGER) AS rank FROM aw", "battles"))
+    "CAST(row_number() OVER (ORDER BY round(avg_win_rate, 9) DESC, model) AS INTEGER) AS rank FROM aw", "battles"))
 def q_rank_ratings(spark, sf_dir):
-    return _r(R.rank_ratings(R.average_win_rate(_no_ties(spark, sf_dir)), "avg_win_rate"))
+    aw = R.average_win_rate(_no_ties(spark, sf_dir)).withColumn("_key", F.round("avg_win_rate", 9))
+    return _r(R.rank_ratings(aw, "_key").drop("_key"))  # rank on a value both engines agree on
 
 
 _NB_SQL = ("nb AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.n, 0) + coalesce(b.n, 0) AS num_battles FROM "
