@@ -54,10 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     store).  Only when it is unset -- local runs and tests -- a fresh scratch
     folder is created here.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="coheral-ckpt-", dir=os.environ.get("COHERAL_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 -- core confs may be read-only at runtime
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
