@@ -100,7 +100,7 @@ def is_sentence_complete(c) -> Column:
 
 def word_count(c) -> Column:
     """Whitespace-delimited token count (default tokenizer for X7/A15)."""
-    return F.size(F.regexp_extract_all(col_(c), F.lit(r"([^ \t\n\r]+)"), 1))
+    return F.regexp_count(col_(c), F.lit(r"[^ \t\n\r]+")).cast("int")
 
 
 def last_char(c) -> Column:

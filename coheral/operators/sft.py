@@ -66,6 +66,16 @@ def fill_template(template: str, **cols: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _whitespace_delimited(template: str) -> bool:
+    """True when every placeholder is bounded by whitespace or the template ends."""
+    for m in _PLACEHOLDER.finditer(template):
+        before = template[m.start() - 1] if m.start() > 0 else " "
+        after = template[m.end()] if m.end() < len(template) else " "
+        if not (before.isspace() and after.isspace()):
+            return False
+    return True
+
+
 def reason_instructions(reasons: list[Column]) -> Column:
     """concatenation of the fixed sentence of every reason equal to 1."""
     return F.concat(*[F.when(r == 1, F.lit(s)).otherwise(F.lit("")) for r, s in zip(reasons, REASON_SENTENCES)])
@@ -83,7 +93,17 @@ def sft_examples(pairs: DataFrame, template: str = DETECTION_TEMPLATE, target_co
     cols.update({k: F.col(v) for k, v in extra.items()})
     prompt = fill_template(template, **cols)
     target = fill_template(TARGET_TEMPLATE, label=F.col(target_col))
-    mask = F.lit(0) if chat else tl(prompt) + masked_target_tokens
+    if chat:
+        mask = F.lit(0)
+    elif token_len is None and _whitespace_delimited(template):
+        # placeholders sit between whitespace, so word counts add up: count the
+        # fixed text once here and only the inserted values per row
+        fixed = len(_PLACEHOLDER.sub(" ", template).split())
+        mask = F.lit(fixed + masked_target_tokens)
+        for m in _PLACEHOLDER.finditer(template):
+            mask = mask + F.coalesce(tl(cols[m.group(1)].cast("string")), F.lit(0))
+    else:
+        mask = tl(prompt) + masked_target_tokens
     return pairs.select("*", prompt.alias("prompt"), target.alias("completion"), mask.alias("mask_len"))
 
 
