@@ -274,15 +274,16 @@ def merge_field(df: DataFrame, other: DataFrame, key: str, fields: list[str], st
 def release_filter(conv_a: Column, conv_b: Column | None = None, blocked_words: list[str] | None = None,
                    frequent: list[str] | None = None, model_a: Column | None = None, model_b: Column | None = None,
                    blocked_models: list[str] | None = None, flagged: Column | None = None,
-                   chat_mode: bool = False) -> Column:
+                   chat_mode: bool = False, char_map: dict[str, str] | None = None) -> Column:
     """Ordered release-filter code for one or two conversations (null = keep).
 
     Per side, in order: not a list -> BAD_FORMAT; (battle mode) <= 2 messages and
     every user prompt shorter than 16 chars -> TOO_SHORT; every user prompt in the
     frequent set -> TOO_FREQUENT; then per message: '<anonymized>' -> ANONYMIZED,
     '<redacted>' -> REDACTED, blocked word -> BLOCKED_WORD.  Chat mode: empty
-    messages -> BAD_FORMAT, no length / frequency checks.  Then blocked model,
-    then moderation flag.
+    messages -> BAD_FORMAT, no length / frequency checks; ``char_map`` (e.g.
+    traditional -> simplified characters) normalises message text before the
+    per-message checks.  Then blocked model, then moderation flag.
     """
     blocked_words = blocked_words or []
 
@@ -296,10 +297,14 @@ def release_filter(conv_a: Column, conv_b: Column | None = None, blocked_words:
             if frequent is not None:
                 fr = F.array(*[F.lit(x) for x in frequent + [""]])
                 c = c.when(F.forall(prompts, lambda p: F.array_contains(fr, F.lower(py_strip(p)))), "TOO_FREQUENT")
+        src = "".join(char_map) if char_map else ""
+        dst = "".join(char_map[k] for k in char_map) if char_map else ""
+        norm = (lambda t: F.translate(t, src, dst)) if char_map else (lambda t: t)
         per_msg = F.filter(F.transform(conv, lambda m: (
-            F.when(F.instr(m["content"], "<anonymized>") > 0, "ANONYMIZED")
-             .when(F.instr(m["content"], "<redacted>") > 0, "REDACTED")
-             .when(contains_any(m["content"], blocked_words) if blocked_words else F.lit(False), "BLOCKED_WORD"))),
+            F.when(F.instr(norm(m["content"]), "<anonymized>") > 0, "ANONYMIZED")
+             .when(F.instr(norm(m["content"]), "<redacted>") > 0, "REDACTED")
+             .when(contains_any(norm(m["content"]), blocked_words) if blocked_words else F.lit(False),
+                   "BLOCKED_WORD"))),
             lambda x: x.isNotNull())
         return c.otherwise(F.try_element_at(per_msg, F.lit(1)))
 

@@ -229,3 +229,17 @@ def test_clean_battles_checks(spark):
     assert got[1][0] == "invalid" and got[2][0] == "invalid"
     assert got[3][0] == "leaked_identity" and got[4][0] == "banned"
     assert 5 not in got
+
+
+def test_release_filter_chat_mode_with_char_map(spark):
+    from coheral.operators.arena import release_filter
+    schema = "id int, conversation array<struct<role:string,content:string>>"
+    rows = [(1, [("user", "hello"), ("assistant", "fine")]),
+            (2, [("user", "a <redacted> b"), ("assistant", "x")]),
+            (3, [("user", "說 禁詞"), ("assistant", "y")]),
+            (4, [])]
+    df = spark.createDataFrame(rows, schema)
+    code = release_filter(F.col("conversation"), blocked_words=["说 禁词"], chat_mode=True,
+                          char_map={"說": "说", "詞": "词"})
+    got = {r["id"]: r["c"] for r in df.select("id", code.alias("c")).collect()}
+    assert got == {1: None, 2: "REDACTED", 3: "BLOCKED_WORD", 4: "BAD_FORMAT"}
