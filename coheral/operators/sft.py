@@ -26,6 +26,15 @@ DETECTION_TEMPLATE = (
     "in C, and \ne) the new sentence S introduces information that is relevant to the context C established by the "
     "writer. Now, please generate: \nC: {context} \nS: {sentence} \n")
 TARGET_TEMPLATE = "Answer: {label}</s>"
+# Lexical substitution task (word SFT): prompt and target.
+WORD_TEMPLATE = (
+    "You are about to perform a lexical substitution task, considering the proficiency level of the substitute "
+    "compared to the target word in a sentence. The task is to generate a set of candidate substitutes seperated by "
+    "commas for a target word in a given sentence. The target word is highlighted in the sentence, encompassed by two "
+    "double asterisks. The candidate substitutes should be: \n a) common collocations or expressions in actual English "
+    "use, \n b) grammatically correct, \n c) have an equal or higher language proficiency level compared to the "
+    "target word. Target word: {target_word} \n Sentence: {sentence}")
+WORD_TARGET_TEMPLATE = "Substitutes: {substitutes}</s>"
 # Instruction sentence appended for each active reason R1..R7 (rewriting with reasons).
 REASON_SENTENCES = [
     "add reference words or repeated words/ideas or substitution that can semantically connect sentence S to "
@@ -169,3 +178,21 @@ def qa_examples(chats: DataFrame, max_tokens: int, eos: str = "</s>") -> DataFra
     aw = F.split(F.col("m.value"), r"\s+")
     a = F.array_join(F.slice(aw, 1, max_tokens), " ")
     return ex.select("id", "i", F.concat(q, F.lit(eos)).alias("question"), F.concat(a, F.lit(eos)).alias("answer"))
+
+
+def match_word_sft(rows: DataFrame, token_len=None, masked_target_tokens: int = 5) -> DataFrame:
+    """X11: lexical-substitution examples from (target_word, tagged sentence, substitutes array).
+
+    Substitutes are joined by ', '; the loss mask covers the prompt and the first
+    five target tokens.
+    """
+    tl = token_len or word_count
+    cols = {"target_word": F.col("target_word"), "sentence": F.col("sentence")}
+    prompt = fill_template(WORD_TEMPLATE, **cols)
+    target = fill_template(WORD_TARGET_TEMPLATE, substitutes=F.array_join("substitutes", ", "))
+    if token_len is None and _whitespace_delimited(WORD_TEMPLATE):
+        fixed = len(_PLACEHOLDER.sub(" ", WORD_TEMPLATE).split())
+        mask = F.lit(fixed + masked_target_tokens) + tl(cols["target_word"]) + tl(cols["sentence"])
+    else:
+        mask = tl(prompt) + masked_target_tokens
+    return rows.select("*", prompt.alias("prompt"), target.alias("completion"), mask.alias("mask_len"))

@@ -181,3 +181,28 @@ def q_logit_decisions(spark, sf_dir):
     return e.select("vec_id", RP.argmax("embedding").alias("argmax"),
                     F.aggregate(RP.sigmoid_labels("embedding"), F.lit(0), lambda a, x: a + x).alias("n_positive"),
                     RP.best_allowed_label("embedding", [0, 2, 4], ["a", "x", "b", "y", "c"]).alias("best_label"))
+
+
+_W_PRE = S.WORD_TEMPLATE.split("{target_word}")[0].replace("\n", "' || chr(10) || '")
+_W_MID = S.WORD_TEMPLATE.split("{target_word}")[1].split("{sentence}")[0].replace("\n", "' || chr(10) || '")
+
+
+@query("match_word_sft", "X11", f"""
+SELECT doc_id, md5(prompt) AS prompt_md5, completion,
+       CAST(len(regexp_extract_all(prompt, '[^ \\t\\n\\r]+')) + 5 AS INTEGER) AS mask_len
+FROM (SELECT doc_id, '{{_W_PRE}}' || words[2] || '{{_W_MID}}' ||
+             array_to_string(list_transform(words, lambda w, i: CASE WHEN i = 2 THEN '**' || w || '**' ELSE w END), ' ')
+             AS prompt,
+             'Substitutes: ' || array_to_string(words[3:5], ', ') || '</s>' AS completion
+      FROM (SELECT doc_id, string_split(split_part(text, '.', 1), ' ') AS words FROM documents) a
+      WHERE len(words) >= 5) b""".replace("{_W_PRE}", _W_PRE).replace("{_W_MID}", _W_MID))
+def q_match_word_sft(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    words = F.split(F.split("text", r"\.", 2)[0], " ", -1)
+    rows = d.select("doc_id", words.alias("w")).filter(F.size("w") >= 5).select(
+        "doc_id", F.col("w")[1].alias("target_word"),
+        F.array_join(F.transform("w", lambda x, i: F.when(i == 1, F.concat(F.lit("**"), x, F.lit("**")))
+                                 .otherwise(x)), " ").alias("sentence"),
+        F.slice("w", 3, 3).alias("substitutes"))
+    out = S.match_word_sft(rows)
+    return out.select("doc_id", F.md5("prompt").alias("prompt_md5"), "completion", "mask_len")
