@@ -206,25 +206,23 @@ def judge_agreement(votes: DataFrame, judge: str = "author", other: str = "human
     counts = (g.groupBy(*key, cls.alias("cls"))
               .agg(F.count(F.when(F.col("judge_group") == judge, 1)).alias("nj"),
                    F.count(F.when(F.col("judge_group") == other, 1)).alias("nh")))
-    out = []
-    for with_tie in (True, False):
-        c = counts if with_tie else counts.filter(F.col("cls") != "tie")
-        per_game = c.groupBy(*key).agg(
-            F.sum(F.col("nj") * F.col("nh")).alias("jh_agree"),
-            (F.sum("nj") * F.sum("nh")).alias("jh_total"),
-            F.sum(F.col("nh") * (F.col("nh") - 1) / 2).alias("hh_agree"),
-            (F.sum("nh") * (F.sum("nh") - 1) / 2).alias("hh_total"))
-        agg = per_game.groupBy("turn").agg(*[F.sum(x).cast("long").alias(x)
-                                             for x in ("jh_agree", "jh_total", "hh_agree", "hh_total")])
-        out.append(agg.select("turn", F.lit(with_tie).alias("with_tie"),
-                              F.explode(F.array(
-                                  F.struct(F.lit(f"{judge}_vs_{other}").alias("pair"),
-                                           F.col("jh_agree").alias("agree"), F.col("jh_total").alias("total")),
-                                  F.struct(F.lit(f"{other}_vs_{other}").alias("pair"),
-                                           F.col("hh_agree").alias("agree"), F.col("hh_total").alias("total"))))
-                              .alias("s")))
-    res = out[0].unionByName(out[1])
-    return res.select("turn", "with_tie", "s.pair", "s.agree", "s.total",
+    nt = F.col("cls") != "tie"
+    nj_nt, nh_nt = F.when(nt, F.col("nj")).otherwise(0), F.when(nt, F.col("nh")).otherwise(0)
+    # both variants (ties kept / ties banned) in one pass of conditional sums
+    per_game = counts.groupBy(*key).agg(
+        F.sum(F.col("nj") * F.col("nh")).alias("ja_t"), (F.sum("nj") * F.sum("nh")).alias("jt_t"),
+        F.sum(F.col("nh") * (F.col("nh") - 1) / 2).alias("ha_t"),
+        (F.sum("nh") * (F.sum("nh") - 1) / 2).alias("ht_t"),
+        F.sum(nj_nt * nh_nt).alias("ja_n"), (F.sum(nj_nt) * F.sum(nh_nt)).alias("jt_n"),
+        F.sum(nh_nt * (nh_nt - 1) / 2).alias("ha_n"), (F.sum(nh_nt) * (F.sum(nh_nt) - 1) / 2).alias("ht_n"))
+    sums = per_game.groupBy("turn").agg(*[F.sum(c).cast("long").alias(c) for c in
+                                          ("ja_t", "jt_t", "ha_t", "ht_t", "ja_n", "jt_n", "ha_n", "ht_n")])
+    rec = lambda wt, pair, a, t: F.struct(F.lit(wt).alias("with_tie"), F.lit(pair).alias("pair"),
+                                           F.col(a).alias("agree"), F.col(t).alias("total"))
+    res = sums.select("turn", F.explode(F.array(
+        rec(True, f"{judge}_vs_{other}", "ja_t", "jt_t"), rec(True, f"{other}_vs_{other}", "ha_t", "ht_t"),
+        rec(False, f"{judge}_vs_{other}", "ja_n", "jt_n"), rec(False, f"{other}_vs_{other}", "ha_n", "ht_n"))).alias("s"))
+    return res.select("turn", "s.with_tie", "s.pair", "s.agree", "s.total",
                       F.when(F.col("s.total") > 0, F.col("s.agree") / F.col("s.total")).alias("ratio"))
 
 
