@@ -20,6 +20,28 @@ DEFAULT_CONF = {
 }
 
 
+def _local_heap() -> str:
+    """Local-mode heap: 60% of the container / machine memory limit, at most 16 GiB."""
+    limit = None
+    for f in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            v = open(f).read().strip()
+            if v.isdigit():
+                limit = int(v)
+                break
+        except OSError:
+            pass
+    try:
+        phys = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        limit = min(limit, phys) if limit else phys
+    except (ValueError, OSError, AttributeError):
+        pass
+    if not limit:
+        return "4g"
+    mb = int(limit * 0.6 / 2**20)
+    return f"{max(1024, min(mb, 16 * 1024))}m"
+
+
 def get_spark(master: str | None = None, cpus: int | None = None,
               shuffle_partitions: int | None = None, app: str = "coheral",
               extra: dict | None = None) -> SparkSession:
@@ -33,7 +55,7 @@ def get_spark(master: str | None = None, cpus: int | None = None,
         master = f"local[{cpus}]"
     if master is not None:
         builder = builder.master(master)
-        builder = builder.config("spark.driver.memory", os.environ.get("COHERAL_DRIVER_MEM", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("COHERAL_DRIVER_MEM", _local_heap()))
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions is None and cpus is not None:
         shuffle_partitions = max(2 * cpus, 8)
