@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -100,11 +101,12 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
               .when(leaked, "leaked_identity")
               .when(excluded, "invalid")
               .when(banned, "banned"))
-    # Only ``reason`` goes through a one-element generator: a later filter on it
-    # cannot be pushed below the generator, so the text scans run once per row;
-    # the output columns are computed above it, only when selected and, for the
-    # language, only for kept rows.
-    v = v.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
+    # ``reason`` is computed below an observation point (CollectMetrics): a later
+    # filter on it is not pushed below that node, so the text scans run once per
+    # row; output columns are computed above it, only when selected and, for the
+    # language, only for kept rows.  The observed metric counts vote rows.
+    v = v.withColumn("reason", reason).observe(f"clean_battles_{uuid.uuid4().hex}",
+                                               F.count(F.lit(1)).alias("votes"))
     first_msg = F.try_element_at(s0["messages"], s0["offset"] + 1)[1]
     lang = language if language is not None else detect_language(first_msg)
     conv_a = to_openai_format(_from_offset(s0))

@@ -243,3 +243,35 @@ def test_release_filter_chat_mode_with_char_map(spark):
                           char_map={"說": "说", "詞": "词"})
     got = {r["id"]: r["c"] for r in df.select("id", code.alias("c")).collect()}
     assert got == {1: None, 2: "REDACTED", 3: "BLOCKED_WORD", 4: "BAD_FORMAT"}
+
+
+def test_clean_battles_sanitized_ids_follow_first_appearance(spark):
+    st = "array<struct<conv_id:string,model_name:string,offset:int,messages:array<array<string>>>>"
+    schema = f"ord long, type string, tstamp double, models array<string>, states {st}, ip string"
+    msgs = [["user", "hello"], ["assistant", "hi there"]]
+    s = [("c1", "a", 0, msgs), ("c2", "b", 0, msgs)]
+    rows = [(o, "leftvote", 1.7e9 + o, ["", ""], s, ip) for o, ip in enumerate(["z", "y", "z", "x", "y"])]
+    got = {r["ord"]: r["judge"] for r in clean_battles(spark.createDataFrame(rows, schema), sanitize_ip=True).collect()}
+    assert got == {0: "arena_user_0", 1: "arena_user_1", 2: "arena_user_0", 3: "arena_user_2", 4: "arena_user_1"}
+
+
+def test_clean_chats_vote_sides_and_latest(spark):
+    from coheral.operators.arena import clean_chats
+    st = "struct<conv_id:string,model_name:string,offset:int,messages:array<array<string>>>"
+    schema = f"ord long, type string, tstamp double, model string, state {st}, states array<{st}>, ip string"
+    m1 = [["user", "q"], ["assistant", "a"]]
+    m2 = [["user", "q"], ["assistant", "a"], ["user", "q2"], ["assistant", "a2"]]
+    net = [["user", "q"], ["assistant", "NETWORK ERROR DUE TO HIGH TRAFFIC. PLEASE REGENERATE OR REFRESH THIS PAGE."]]
+    A_ = lambda c, m, msgs: (c, m, 0, msgs)
+    rows = [
+        (0, "leftvote", 1.0, None, None, [A_("c1", "gpt-4", m1), A_("c2", "bard", m1)], "ip1"),
+        (1, "leftvote", 2.0, None, None, [A_("c1", "gpt-4", m2), A_("c2", "bard", m2)], "ip2"),   # later c1 wins
+        (2, "rightvote", 3.0, None, None, [A_("c3", "x", m1), A_("c4", "bard", m1)], "ip1"),
+        (3, "leftvote", 4.0, None, None, [A_(None, "y", m1), A_("c5", "z", m1)], "ip3"),          # no conv id
+        (4, "leftvote", 5.0, None, None, [A_("c6", "y", net), A_("c7", "z", m1)], "ip3"),         # network error
+    ]
+    df = spark.createDataFrame(rows, schema)
+    left = {r["conversation_id"]: (r["model"], r["turn"]) for r in clean_chats(df, "leftvote").collect()}
+    assert left == {"c1": ("gpt-4-0314", 2)}
+    right = {r["conversation_id"]: r["model"] for r in clean_chats(df, "rightvote").collect()}
+    assert right == {"c4": "palm-2"}
