@@ -157,13 +157,20 @@ def action_counts(log: DataFrame, key: str = "type", ts_us: str = "ts_us", only_
     return out.filter((F.col("last_day") > 0) & (F.col("last_hour") > 0))
 
 
-def daily_counts(log: DataFrame, ts_us: str = "ts_us", is_anony_vote: Column | None = None) -> DataFrame:
-    """A10: chats and anonymous votes per US/Pacific day (long form: day, kind, n)."""
+def daily_counts(log: DataFrame, ts_us: str = "ts_us", is_anony_vote: Column | None = None,
+                 exclude_days: list[str] | None = None) -> DataFrame:
+    """A10: chats and anonymous votes per US/Pacific day (long form: day, kind, n).
+
+    ``exclude_days`` ('YYYY-MM-DD' strings) drops days known to be incomplete,
+    as the release statistics do.
+    """
     day = local_day(F.col(ts_us), PACIFIC)
     anv = is_anony_vote if is_anony_vote is not None else F.col("type").isin(*VOTE_TYPES) & (F.col("models")[0] == "")
     kind = F.when(F.col("type") == "chat", "chat").when(anv, "anony_vote")
-    return (log.select(day.alias("day"), kind.alias("kind")).filter(F.col("kind").isNotNull())
-            .groupBy("day", "kind").agg(F.count(F.lit(1)).alias("n")))
+    d = log.select(day.alias("day"), kind.alias("kind")).filter(F.col("kind").isNotNull())
+    if exclude_days:
+        d = d.filter(~F.col("day").isin(*exclude_days))
+    return d.groupBy("day", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hourly_24(log: DataFrame, ts_us: str = "ts_us") -> DataFrame:

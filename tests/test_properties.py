@@ -275,3 +275,15 @@ def test_clean_chats_vote_sides_and_latest(spark):
     assert left == {"c1": ("gpt-4-0314", 2)}
     right = {r["conversation_id"]: r["model"] for r in clean_chats(df, "rightvote").collect()}
     assert right == {"c4": "palm-2"}
+
+
+def test_daily_counts_pacific_days_and_exclusion(spark):
+    from coheral.operators.arena import daily_counts
+    # 2024-01-02 07:30 UTC is 2024-01-01 23:30 in Los Angeles
+    rows = [("chat", ["", ""], 1704180600 * 10**6), ("leftvote", ["", ""], 1704180600 * 10**6),
+            ("leftvote", ["named", "x"], 1704180600 * 10**6), ("chat", ["", ""], 1704240000 * 10**6)]
+    df = spark.createDataFrame(rows, "type string, models array<string>, ts_us long")
+    got = {(r["day"], r["kind"]): r["n"] for r in daily_counts(df).collect()}
+    assert got == {("2024-01-01", "chat"): 1, ("2024-01-01", "anony_vote"): 1, ("2024-01-02", "chat"): 1}
+    got2 = {(r["day"], r["kind"]) for r in daily_counts(df, exclude_days=["2024-01-01"]).collect()}
+    assert got2 == {("2024-01-02", "chat")}
