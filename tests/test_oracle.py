@@ -30,3 +30,15 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_column_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SMALL)
+    rel = con.sql(ORACLES[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: _TYPES.get(t, t) for c, t in df.dtypes} == duck_types
