@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -88,6 +89,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, so that its functions import there
+    whatever folder the job was started in (same as ``--py-files`` at submit time)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_coheral_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="coheral-pkg-"), "coheral.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    sc.addPyFile(out)
+    sc._coheral_shipped = True
+
+
 def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
