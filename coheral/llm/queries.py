@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import language_id, licence_scan
+from coheral.llm import chat_windows, language_id, licence_scan, mixing
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +38,20 @@ def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
         F.transform("spans", lambda s: F.struct(s["label"], s["start"], s["end"])).alias("template_spans"))
+
+
+def op3_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_register(op3_hypergeometric_mix, mixing.oracle())
+
+
+@_register
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(  # the planted conversation of control strings
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_windows.digests(chat_windows.read_back(chat_windows.windows(rows.unionByName(extra))))
