@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, language_id, licence_scan, mixing
+from coheral.llm import chat_windows, decontaminate, language_id, licence_scan, mixing
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +55,8 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chat_windows.digests(chat_windows.read_back(chat_windows.windows(rows.unionByName(extra))))
+
+
+@_register
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
