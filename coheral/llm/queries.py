@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, decontaminate, language_id, licence_scan, mixing
+from coheral.llm import chat_windows, decontaminate, language_id, licence_scan, mixing, pii
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +60,17 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    per_kind = [F.size(F.filter("base_spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:pii.N_BASE]]
+    base = pii.span_text(F.col("base_spans"))
+    return found.select("doc_id", *per_kind, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
