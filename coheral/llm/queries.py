@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, decontaminate, language_id, licence_scan, mixing, pii
+from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, mixing, pii
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +74,8 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
+
+
+@_register
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
