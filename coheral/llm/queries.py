@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, mixing, pii
+from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, mixing, pii, rp_forest
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -79,3 +79,8 @@ def _of_kind(kind: str):
 @_register
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
