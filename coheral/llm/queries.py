@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, mixing, pii, rp_forest
+from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, maxent, mixing, pii, rp_forest
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -84,3 +84,9 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_register
+def op1_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(id_remainder("doc_id", 10) == 0, F.lit(False))
+    return maxent.score(table(spark, sf_dir, "documents"), held)
