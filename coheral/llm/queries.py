@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, maxent, mixing, pii, rp_forest
+from coheral.llm import chat_windows, chosen_path, decontaminate, language_id, licence_scan, maxent, mixing, pii, repeats, rp_forest
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -90,3 +90,8 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(id_remainder("doc_id", 10) == 0, F.lit(False))
     return maxent.score(table(spark, sf_dir, "documents"), held)
+
+
+@_register
+def op9_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
