@@ -95,3 +95,10 @@ def op1_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@_register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
