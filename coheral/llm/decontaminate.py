@@ -65,13 +65,15 @@ def window_hashes(codes: Column, width: int | Column) -> Column:
         lambda i: F.xxhash64(F.slice(codes, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _numbered(hashes: Column, width: int) -> Column:
-    return F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("hash"), F.lit(width).alias("width")))
+def _numbered(hashes: Column, words: Column, template: Column, width: int) -> Column:
+    """Windows with their place and slot values, inside the text's row (exploded, each would carry the whole text)."""
+    return F.transform(hashes, lambda h, i: F.struct(
+        (i + 1).alias("at"), h.alias("hash"), _slots(words, template, i + 1, F.lit(width)).alias("values")))
 
 
 def _slots(words: Column, template: Column, at: Column, width: Column) -> Column:
     """Values in the placeholders of the window at ``at`` (from 1), in order."""
-    return F.transform(F.filter(F.sequence(at, at + width - 1), lambda j: F.get(template, (j - 1).cast("int")).rlike("^<(num|name|unit)>$")),
+    return F.transform(F.filter(F.sequence(at, at + width - 1), lambda j: F.get(template, (j - 1).cast("int")).startswith("<")),
                        lambda j: F.lower(F.get(words, (j - 1).cast("int"))))
 
 
@@ -114,10 +116,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     # 2. align the places of those pairs and compare their slots
     again = rows.join(shared.select("doc_id").distinct(), rows["doc_id"].eqNullSafe(shared["doc_id"]), "left_semi")
-    w = [_numbered(window_hashes(token_codes(F.col("template")), k), k) for k in widths]
+    w = [_numbered(window_hashes(F.col("codes"), k), F.col("words"), F.col("template"), k) for k in widths]
     places = (again.withColumn("words", tokens(F.col("text"))).withColumn("template", templates(F.col("words")))
-              .select("doc_id", "words", "template", F.explode(F.concat(*w)).alias("w")))
-    places = places.select("doc_id", "w.at", "w.hash", _slots(F.col("words"), F.col("template"), F.col("w.at"), F.col("w.width")).alias("values"))
+              .withColumn("codes", token_codes(F.col("template")))
+              .select("doc_id", F.explode(F.concat(*w)).alias("w")).select("doc_id", "w.*"))
     once = windows.join(windows.groupBy("item", "hash").count().filter("count = 1").select("item", "hash"), ["item", "hash"], "left_semi")
     met = (places.join(once.withColumnRenamed("at", "item_at"), "hash")
            .join(shared.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (once["item"] == shared["item"]), "left_semi"))
