@@ -1,25 +1,10 @@
-"""Join helpers: size-checked broadcast and the generic first/last-per-key pattern."""
+"""The generic first/last-per-key pattern."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: rows above which a dimension is never broadcast (AQE then picks a shuffle join)
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` -- it stops scanning once the
-    bound is exceeded.  Beyond the bound the frame is returned unhinted and the
-    planner falls back to a shuffled join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str], last: bool = False) -> DataFrame:
     """Keep the first (or last) row of each key group by ``order_cols``.
 

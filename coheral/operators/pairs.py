@@ -9,25 +9,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coheral.functions.text import split_sentences
-from coheral.operators.joins import bounded_broadcast
 
 
-def incremental_pairs(essays: DataFrame, topics: DataFrame | None = None) -> DataFrame:
-    """P1 (+J1): one row per sentence i >= 1 with the running context 0..i-1.
+def with_topic(essays: DataFrame, topics: DataFrame | None) -> DataFrame:
+    """The topic of each essay's prompt, joined at essay grain and spread by essay.
 
-    Output: essay_id, topic, sent_idx, context, sentence.  Essays with fewer than
-    two sentences emit nothing.  Context size is O(i) per row by definition, so
-    the output is quadratic in essay length -- only the sentence array is carried
-    into the generator.
+    What follows expands an essay to one row per sentence, so essays are dealt
+    out by their id before it: long ones do not share the split they were read in.
     """
-    s = essays.select("essay_id", "prompt_id", split_sentences("text").alias("sents"))
-    if topics is not None:
-        s = s.join(bounded_broadcast(topics.select("prompt_id", "topic")), "prompt_id")
+    if topics is None:
+        e = essays.withColumn("topic", F.lit(None).cast("string"))
     else:
-        s = s.withColumn("topic", F.lit(None).cast("string"))
-    ex = s.select("essay_id", "topic", "sents", F.posexplode("sents").alias("sent_idx", "sentence"))
+        e = essays.join(topics.select("prompt_id", "topic"), "prompt_id")
+    return e.repartition("essay_id")
+
+
+def incremental_pairs(essays: DataFrame, topics: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """P1 (+J1): one row per sentence i >= 1 with the running context 0..i-1.
+
+    Output: essay_id, topic, sent_idx, context, sentence and the essay columns
+    named in ``carry``.  Essays with fewer than two sentences emit nothing.
+    Context size is O(i) per row by definition, so the output is quadratic in
+    essay length; nothing is joined or shuffled after the expansion.
+    """
+    s = with_topic(essays, topics).select("essay_id", "topic", *carry, split_sentences("text").alias("sents"))
+    ex = s.select("essay_id", "topic", *carry, "sents", F.posexplode("sents").alias("sent_idx", "sentence"))
     return (ex.filter(F.col("sent_idx") >= 1)
-            .select("essay_id", "topic", "sent_idx",
+            .select("essay_id", "topic", *carry, "sent_idx",
                     F.array_join(F.slice("sents", 1, F.col("sent_idx")), " ").alias("context"),
                     "sentence"))
 
@@ -37,9 +45,7 @@ def incremental_pairs_window(essays: DataFrame, topics: DataFrame | None = None)
 
     The window partition is one essay, whose size is bounded by the essay row.
     """
-    s = essays.select("essay_id", "prompt_id", F.posexplode(split_sentences("text")).alias("sent_idx", "sentence"))
-    if topics is not None:
-        s = s.join(bounded_broadcast(topics.select("prompt_id", "topic")), "prompt_id")
+    s = with_topic(essays, topics).select("essay_id", "topic", F.posexplode(split_sentences("text")).alias("sent_idx", "sentence"))
     w = Window.partitionBy("essay_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
     return (s.withColumn("context", F.array_join(F.collect_list("sentence").over(w), " "))
             .filter(F.col("sent_idx") >= 1)
@@ -89,14 +95,15 @@ def consensus_scores(stories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hol, inc
 
 
-def story_pairs_long(stories: DataFrame) -> DataFrame:
+def story_pairs_long(stories: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """P2 core: every sentence i (including 0) with its prefix context.
 
     ``stories``: uid, title, sents.  Output: uid, title, guid 'uid-i', sent_i,
-    sent1 (sentences 0..i-1 joined by ' '), sent2 (sentence i).
+    sent1 (sentences 0..i-1 joined by ' '), sent2 (sentence i) and the story
+    columns named in ``carry``.
     """
-    ex = stories.select("uid", "title", "sents", F.posexplode("sents").alias("sent_i", "sent2"))
-    return ex.select("uid", "title",
+    ex = stories.select("uid", "title", *carry, "sents", F.posexplode("sents").alias("sent_i", "sent2"))
+    return ex.select("uid", "title", *carry,
                      F.concat_ws("-", F.col("uid").cast("string"), F.col("sent_i").cast("string")).alias("guid"),
                      "sent_i", F.array_join(F.slice("sents", 1, F.col("sent_i")), " ").alias("sent1"), "sent2")
 
@@ -104,16 +111,18 @@ def story_pairs_long(stories: DataFrame) -> DataFrame:
 def story_to_pairs(stories: DataFrame, labels: DataFrame, multilabel: bool = False) -> DataFrame:
     """Story pairs labelled from a long (uid, sent_i, flags...) table.
 
-    Labels are joined on (uid, sent_i) instead of being zipped from per-story
-    maps, so a story's labels never have to be gathered into one row.  Missing
-    labels count as False (coherent).  ``multilabel`` returns label array<int>
+    A story's labels (at most one per sentence) become one map, joined at story
+    grain: no text is shuffled after the prefixes are built.  Missing labels
+    count as False (coherent).  ``multilabel`` returns label array<int>
     [coherence, cohesion, consistency, relevance].
     """
-    sp = story_pairs_long(stories)
-    j = sp.join(labels, ["uid", "sent_i"], "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
-    label = (F.array(*[flag(c) for c in ("coherence", "cohesion", "consistency", "relevance")])
-             if multilabel else flag("coherence"))
+    flags = ("coherence", "cohesion", "consistency", "relevance")
+    per_story = labels.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("sent_i").cast("int"), F.struct(*flags)))).alias("labels"))
+    j = story_pairs_long(stories.join(per_story, "uid", "left"), ("labels",))
+    own = F.element_at("labels", F.col("sent_i"))
+    flag = lambda c: F.coalesce(own[c], F.lit(False)).cast("int")
+    label = F.array(*[flag(c) for c in flags]) if multilabel else flag("coherence")
     return j.select("uid", "title", "guid", "sent_i", "sent1", "sent2", label.alias("label"))
 
 

@@ -1,12 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from coheral.plans import essay_queries  # noqa: F401
+from coheral.plans import (arena_queries, conversation_queries, essay_queries, external_queries, judge_queries,  # noqa: F401
+                           metric_queries, rating_queries, release_queries, topic_queries)
 from coheral.plans.registry import QUERIES  # noqa: F401
-
-for _m in ("metric_queries", "conversation_queries", "arena_queries", "rating_queries",
-           "judge_queries", "topic_queries", "external_queries", "release_queries"):
-    try:
-        __import__(f"coheral.plans.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"coheral.plans.{_m}":
-            raise

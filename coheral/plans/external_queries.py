@@ -102,7 +102,7 @@ def q_coerce_prediction(spark, sf_dir):
 def _pairs(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     e = fx.essays(t)
-    p = incremental_pairs(e, fx.topics(t)).join(e.select("essay_id", "ord"), "essay_id")
+    p = incremental_pairs(e, fx.topics(t), carry=("ord",))
     return p.withColumn("label", ((F.col("ord") * 100000 + F.col("sent_idx")) % 2).cast("int"))
 
 
@@ -188,21 +188,23 @@ _W_MID = S.WORD_TEMPLATE.split("{target_word}")[1].split("{sentence}")[0].replac
 
 
 @query("match_word_sft", "X11", f"""
-SELECT doc_id, md5(prompt) AS prompt_md5, completion,
+SELECT doc_id, sent_idx, md5(prompt) AS prompt_md5, completion,
        CAST(len(regexp_extract_all(prompt, '[^ \\t\\n\\r]+')) + 5 AS INTEGER) AS mask_len
-FROM (SELECT doc_id, '{{_W_PRE}}' || words[2] || '{{_W_MID}}' ||
+FROM (SELECT doc_id, sent_idx, '{{_W_PRE}}' || words[2] || '{{_W_MID}}' ||
              array_to_string(list_transform(words, lambda w, i: CASE WHEN i = 2 THEN '**' || w || '**' ELSE w END), ' ')
              AS prompt,
              'Substitutes: ' || array_to_string(words[3:5], ', ') || '</s>' AS completion
-      FROM (SELECT doc_id, string_split(split_part(text, '.', 1), ' ') AS words FROM documents) a
+      FROM (SELECT doc_id, CAST(i AS INTEGER) AS sent_idx, string_split(sents[i + 1], ' ') AS words
+            FROM (SELECT doc_id, string_split(text, '.') AS sents, unnest(range(len(string_split(text, '.')))) AS i
+                  FROM documents) z) a
       WHERE len(words) >= 5) b""".replace("{_W_PRE}", _W_PRE).replace("{_W_MID}", _W_MID))
 def q_match_word_sft(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
-    words = F.split(F.split("text", r"\.", 2)[0], " ", -1)
-    rows = d.select("doc_id", words.alias("w")).filter(F.size("w") >= 5).select(
-        "doc_id", F.col("w")[1].alias("target_word"),
+    sents = d.select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("sent_idx", "sentence"))
+    rows = sents.select("doc_id", "sent_idx", F.split("sentence", " ", -1).alias("w")).filter(F.size("w") >= 5).select(
+        "doc_id", "sent_idx", F.col("w")[1].alias("target_word"),
         F.array_join(F.transform("w", lambda x, i: F.when(i == 1, F.concat(F.lit("**"), x, F.lit("**")))
                                  .otherwise(x)), " ").alias("sentence"),
         F.slice("w", 3, 3).alias("substitutes"))
     out = S.match_word_sft(rows)
-    return out.select("doc_id", F.md5("prompt").alias("prompt_md5"), "completion", "mask_len")
+    return out.select("doc_id", "sent_idx", F.md5("prompt").alias("prompt_md5"), "completion", "mask_len")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 FIXTURE_SQL = {
-    "topics": "SELECT 'P' || CAST(item_id + 1 AS VARCHAR) AS prompt_id, text AS topic FROM benchmark WHERE item_id < 8",
-    "essays": "SELECT CAST(doc_id AS VARCHAR) AS essay_id, 'P' || CAST(doc_id % 8 + 1 AS VARCHAR) AS prompt_id, "
-              "text, doc_id AS ord FROM documents WHERE lang = 'en' AND n_chars <= 4000",
+    "topics": "SELECT 'P' || CAST(item_id + 1 AS VARCHAR) AS prompt_id, text AS topic FROM benchmark",
+    "essays": "SELECT CAST(doc_id AS VARCHAR) AS essay_id, 'P' || CAST(doc_id % (SELECT COUNT(*) FROM benchmark) + 1 AS VARCHAR) AS prompt_id, "
+              "text, doc_id AS ord FROM documents",
     "preds": "SELECT d.doc_id AS ord, CAST(l.quality AS INT) AS gold, CAST(CASE WHEN d.n_chars % 17 = 0 THEN -1 "
              "WHEN d.n_chars % 3 = 0 THEN 0 ELSE 1 END AS INT) AS pred, CASE WHEN d.doc_id % 4 = 0 THEN 'sent_binary' "
              "WHEN d.doc_id % 4 = 1 THEN 'sent_cohesion' WHEN d.doc_id % 4 = 2 THEN 'sent_consistency' "
@@ -14,24 +14,24 @@ FIXTURE_SQL = {
                    "AS annot, CAST(1 + l_partkey % 8 AS INT) AS reason, 3 AS num_annotators FROM lineitem",
     "battles": "SELECT event_id AS ord, 'm' || CAST(user_id % 8 AS VARCHAR) AS model_a, "
                "'m' || CAST((user_id + 1 + event_id % 7) % 8 AS VARCHAR) AS model_b, CASE event_type "
-               "WHEN 'view' THEN 'model_a' WHEN 'click' THEN 'model_b' WHEN 'purchase' THEN 'tie' "
-               "ELSE 'tie (bothbad)' END AS winner, CAST(user_id AS VARCHAR) AS judge, event_id % 3 <> 0 AS anony, "
-               "ts FROM events WHERE event_type <> 'signup'",
+               "WHEN 'view' THEN 'model_a' WHEN 'click' THEN 'model_b' WHEN 'purchase' THEN 'tie' WHEN 'error' THEN "
+               "'tie (bothbad)' ELSE CASE WHEN event_id % 2 = 0 THEN 'model_a' ELSE 'model_b' END END AS winner, CAST(user_id AS VARCHAR) AS judge, event_id % 3 <> 0 AS anony, "
+               "ts FROM events",
     "activity": "SELECT event_id AS ord, ts, CASE event_type WHEN 'view' THEN 'chat' WHEN 'click' THEN 'leftvote' "
                 "WHEN 'purchase' THEN 'rightvote' WHEN 'error' THEN 'tievote' ELSE 'bothbad_vote' END AS type, "
                 "'m' || CAST(event_id % 8 AS VARCHAR) AS model, CASE WHEN event_id % 3 = 0 THEN 'named' ELSE '' END "
                 "AS model_0, CAST(user_id AS VARCHAR) AS ip FROM events",
-    "single_judgments": "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey % 80 + 1 AS question_id, "
+    "single_judgments": "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey % (SELECT COUNT(*) FROM benchmark) + 1 AS question_id, "
                         "'m' || CAST(l_suppkey % 10 AS VARCHAR) AS model, CAST(1 + l_linenumber % 2 AS INT) AS turn, "
                         "CASE WHEN l_linenumber % 2 = 0 THEN 'single-v1' ELSE 'single-v1-multi-turn' END AS judge_prompt, "
                         "CASE WHEN l_partkey % 13 = 0 THEN -1.0E0 ELSE CAST(1 + l_partkey % 10 AS DOUBLE) END AS score "
                         "FROM lineitem",
-    "pair_judgments": "SELECT o_orderkey AS ord, o_orderkey % 80 + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
+    "pair_judgments": "SELECT o_orderkey AS ord, o_orderkey % (SELECT COUNT(*) FROM benchmark) + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
                       "AS model_1, 'm' || CAST((o_custkey + 1 + o_orderkey % 5) % 6 AS VARCHAR) AS model_2, "
                       "CASE o_orderkey % 7 WHEN 0 THEN 'tie' WHEN 1 THEN 'error' WHEN 2 THEN 'model_2' WHEN 3 THEN "
                       "'model_2' ELSE 'model_1' END AS g1_winner, CASE o_orderkey % 5 WHEN 0 THEN 'tie' WHEN 1 THEN "
                       "'model_2' ELSE 'model_1' END AS g2_winner, CAST(1 + o_orderkey % 2 AS INT) AS turn FROM orders",
-    "human_votes": "SELECT o_orderkey AS ord, o_orderkey % 80 + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
+    "human_votes": "SELECT o_orderkey AS ord, o_orderkey % (SELECT COUNT(*) FROM benchmark) + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
                    "AS model_a, 'm' || CAST((o_custkey + 1 + o_orderkey % 5) % 6 AS VARCHAR) AS model_b, "
                    "CASE o_orderkey % 4 WHEN 0 THEN 'model_a' WHEN 1 THEN 'model_b' WHEN 2 THEN 'tie' "
                    "ELSE 'tie (bothbad)' END AS winner, CASE WHEN o_custkey % 9 = 0 THEN 'author_0' "

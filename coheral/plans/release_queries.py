@@ -78,7 +78,7 @@ def q_language_counts(spark, sf_dir):
 # ---------------------------------------------------------- D18, U7, A17
 def _stories(spark, sf_dir) -> DataFrame:
     t = _t(spark, sf_dir)
-    e = fx.essays(t).join(F.broadcast(fx.topics(t)), "prompt_id")  # topics: <= 8 rows
+    e = fx.essays(t).join(fx.topics(t), "prompt_id")
     return e.select(F.col("ord").alias("uid"), F.col("topic").alias("title"), "text")
 
 
@@ -153,7 +153,7 @@ FROM (SELECT s.ord, s.sents, unnest(range(1, len(s.sents))) AS sent_idx
 def q_two_sentence_pairs(spark, sf_dir):
     t = _t(spark, sf_dir)
     e = fx.essays(t)
-    p = P.incremental_pairs(e, fx.topics(t)).join(e.select("essay_id", "ord"), "essay_id")
+    p = P.incremental_pairs(e, fx.topics(t), carry=("ord",))
     p = p.withColumn("label", ((F.col("ord") * 100000 + F.col("sent_idx")) % 2).cast("int"))
     # P4 consumes the story-format rows of P8: (uid, sents = [context, sentence], labels map)
     rows = p.select((F.col("ord") * 100000 + F.col("sent_idx")).alias("uid"),

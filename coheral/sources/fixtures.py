@@ -17,6 +17,11 @@ from coheral.functions.timefn import ntz_seconds
 from coheral.sources.tables import Tables
 
 
+def _n_questions(t: Tables) -> Column:
+    """Number of bench questions (scalar subquery)."""
+    return t.benchmark.agg(F.count(F.lit(1))).scalar()
+
+
 def _m(c: Column) -> Column:
     """'m' || <int>: model names used by the synthetic judge/battle fixtures."""
     return F.concat(F.lit("m"), c.cast("string"))
@@ -24,19 +29,16 @@ def _m(c: Column) -> Column:
 
 # ---------------------------------------------------------------- flat fixtures
 def topics(t: Tables) -> DataFrame:
-    b = t.benchmark
-    return (b.filter(F.col("item_id") < 8)
-            .select(F.concat(F.lit("P"), (F.col("item_id") + 1).cast("string")).alias("prompt_id"),
-                    F.col("text").alias("topic")))
+    return t.benchmark.select(F.concat(F.lit("P"), (F.col("item_id") + 1).cast("string")).alias("prompt_id"),
+                              F.col("text").alias("topic"))
 
 
 def essays(t: Tables) -> DataFrame:
-    d = t.documents
-    return (d.filter((F.col("lang") == "en") & (F.col("n_chars") <= 4000))
-            .select(F.col("doc_id").cast("string").alias("essay_id"),
-                    F.concat(F.lit("P"), (F.col("doc_id") % 8 + 1).cast("string")).alias("prompt_id"),
-                    "text",
-                    F.col("doc_id").alias("ord")))
+    """Every document as an essay; its prompt is one of all topics."""
+    n = t.benchmark.agg(F.count(F.lit(1))).scalar()  # scalar subquery, no join
+    return t.documents.select(F.col("doc_id").cast("string").alias("essay_id"),
+                              F.concat(F.lit("P"), (F.col("doc_id") % n + 1).cast("string")).alias("prompt_id"),
+                              "text", F.col("doc_id").alias("ord"))
 
 
 def preds(t: Tables) -> DataFrame:
@@ -63,15 +65,15 @@ def annotations(t: Tables) -> DataFrame:
 
 
 def battles(t: Tables) -> DataFrame:
-    e = t.events.filter(F.col("event_type") != "signup")
-    return e.select(
+    return t.events.select(
         F.col("event_id").alias("ord"),
         _m(F.col("user_id") % 8).alias("model_a"),
         _m((F.col("user_id") + 1 + F.col("event_id") % 7) % 8).alias("model_b"),
         F.when(F.col("event_type") == "view", "model_a")
          .when(F.col("event_type") == "click", "model_b")
          .when(F.col("event_type") == "purchase", "tie")
-         .otherwise("tie (bothbad)").alias("winner"),
+         .when(F.col("event_type") == "error", "tie (bothbad)")
+         .otherwise(F.when(F.col("event_id") % 2 == 0, "model_a").otherwise("model_b")).alias("winner"),
         F.col("user_id").cast("string").alias("judge"),
         (F.col("event_id") % 3 != 0).alias("anony"),
         F.col("ts"))
@@ -95,7 +97,7 @@ def single_judgments(t: Tables) -> DataFrame:
     li = t.lineitem
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
-        (F.col("l_partkey") % 80 + 1).alias("question_id"),
+        (F.col("l_partkey") % _n_questions(t) + 1).alias("question_id"),
         _m(F.col("l_suppkey") % 10).alias("model"),
         (F.lit(1) + F.col("l_linenumber") % 2).cast("int").alias("turn"),
         F.when(F.col("l_linenumber") % 2 == 0, "single-v1").otherwise("single-v1-multi-turn").alias("judge_prompt"),
@@ -112,7 +114,7 @@ def pair_judgments(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     m1, m2 = _pair_models(F.col("o_custkey"), k)
     return o.select(
-        k.alias("ord"), (k % 80 + 1).alias("question_id"), m1.alias("model_1"), m2.alias("model_2"),
+        k.alias("ord"), (k % _n_questions(t) + 1).alias("question_id"), m1.alias("model_1"), m2.alias("model_2"),
         F.when(k % 7 == 0, "tie").when(k % 7 == 1, "error").when(k % 7 == 2, "model_2")
          .when(k % 7 == 3, "model_2").otherwise("model_1").alias("g1_winner"),
         F.when(k % 5 == 0, "tie").when(k % 5 == 1, "model_2").otherwise("model_1").alias("g2_winner"),
@@ -124,7 +126,7 @@ def human_votes(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     ma, mb = _pair_models(F.col("o_custkey"), k)
     return o.select(
-        k.alias("ord"), (k % 80 + 1).alias("question_id"), ma.alias("model_a"), mb.alias("model_b"),
+        k.alias("ord"), (k % _n_questions(t) + 1).alias("question_id"), ma.alias("model_a"), mb.alias("model_b"),
         F.when(k % 4 == 0, "model_a").when(k % 4 == 1, "model_b").when(k % 4 == 2, "tie")
          .otherwise("tie (bothbad)").alias("winner"),
         F.when(F.col("o_custkey") % 9 == 0, "author_0")

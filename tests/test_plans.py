@@ -41,7 +41,18 @@ def test_topk_is_two_stage(spark):
     assert plan.count("Window") >= 2
 
 
-def test_scans_prune_and_push(spark):
+STORY_QUERIES = ["incremental_pairs", "story_to_pairs", "story_to_pairs_multilabel", "story_to_t5_text", "story_to_t5_multilabel",
+                 "story_to_prompt_completion", "pairs_to_story_format", "story_to_pairs_explode", "two_sentence_pairs", "sft_examples"]
+
+
+@pytest.mark.parametrize("name", STORY_QUERIES)
+def test_no_exchange_above_the_sentence_expansion(spark, name):
+    plan = _plan(QUERIES[name](spark, SMALL))
+    above = plan.split("Generate posexplode")[0]
+    assert "Generate posexplode" in plan and "Exchange" not in above and "Join" not in above
+
+
+def test_essays_are_whole(spark):
     plan = _plan(QUERIES["incremental_pairs"](spark, SMALL))
-    assert "PushedFilters: [IsNotNull(lang), IsNotNull(n_chars), EqualTo(lang,en), LessThanOrEqual(n_chars,4000)]" in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,n_chars:bigint>" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan  # no language, length or id filter
+    assert "LessThan" not in plan and "EqualTo" not in plan
