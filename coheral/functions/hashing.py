@@ -17,12 +17,6 @@ def hash_key(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def hash_unit(key: Column, seed: int | str) -> Column:
-    """Uniform double in [0, 1) from the first 13 hex digits of ``hash_key``."""
-    h = F.substring(hash_key(key, seed), 1, 13)
-    return F.conv(h, 16, 10).cast("double") / F.lit(float(16 ** 13))
-
-
 def coin(key: Column, seed: int | str) -> Column:
     """Fair coin: True when the first hex digit of ``hash_key`` is below 8."""
     return F.substring(hash_key(key, seed), 1, 1) < F.lit("8")

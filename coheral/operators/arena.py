@@ -135,12 +135,6 @@ def drop_counters(cleaned: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def anony_votes(log: DataFrame, model0: Column | None = None) -> DataFrame:
-    """P22 (votes): vote events whose first public model name is empty."""
-    m0 = model0 if model0 is not None else F.col("models")[0]
-    return log.filter(F.col("type").isin(*VOTE_TYPES) & (m0 == ""))
-
-
 def action_counts(log: DataFrame, key: str = "type", ts_us: str = "ts_us", only_type: str | None = None) -> DataFrame:
     """Counts all / last day / last hour (strictly newer than max - window) per key.
 
@@ -232,12 +226,6 @@ def find_upsets(battles: DataFrame) -> DataFrame:
             .withColumn("loser_model", F.when(wa, F.col("model_b")).otherwise(F.col("model_a")))
 
 
-def sort_battles(battles: DataFrame) -> tuple[DataFrame, Column]:
-    """Battles ordered by tstamp and the cut-off (max tstamp) as a scalar."""
-    return battles.orderBy("tstamp", *[c for c in ("ord",) if c in battles.columns]), \
-        battles.agg(F.max("tstamp")).scalar()
-
-
 def user_prompts(conv: Column) -> Column:
     """User-side messages of an openai-format conversation."""
     return F.transform(F.filter(conv, lambda m: m["role"] == "user"), lambda m: m["content"])

@@ -267,7 +267,7 @@ def clean_html_conversation(chats: DataFrame, convert=html_to_markdown) -> DataF
 
 
 # ---------------------------------------------------------------------- dedup
-def dedup_conversations(chats: DataFrame, order: str = "ord", max_rounds: int | None = None) -> DataFrame:
+def dedup_conversations(chats: DataFrame, order: str = "ord") -> DataFrame:
     """Greedy, order-dependent dedup as a distributed fixpoint.
 
     A row is kept iff no earlier *kept* row has the same id or the same
@@ -286,9 +286,7 @@ def dedup_conversations(chats: DataFrame, order: str = "ord", max_rounds: int |
     base = chats.filter(F.col("plugins").isNull()).withColumn("_key", key)
     und = base.select("id", "_key", F.col(order).alias("_o"))
     kept_keys = None
-    rounds = 0
     while True:
-        rounds += 1
         mid = und.groupBy("id").agg(F.min("_o").alias("_mid"))
         mkey = und.groupBy("_key").agg(F.min("_o").alias("_mkey"))
         cand = (und.join(mid, "id").join(mkey, "_key")
@@ -299,7 +297,7 @@ def dedup_conversations(chats: DataFrame, order: str = "ord", max_rounds: int |
         rest = (und.join(cand.select("id").distinct(), "id", "left_anti")
                 .join(cand.select("_key").distinct(), "_key", "left_anti"))
         rest = cut_lineage(rest)
-        if rest.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if rest.isEmpty():
             break
         und = rest
     return base.join(kept_keys.withColumnRenamed("_o", order), order, "left_semi").drop("_key")

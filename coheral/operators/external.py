@@ -129,22 +129,6 @@ def moderation_tag(df: DataFrame, text_col: str, fn: Callable[[str], bool] | Non
     return df.mapInPandas(run, schema)
 
 
-def token_count_udf(tokenizer_name: str | None = None):
-    """Arrow-batched token counter.  With a ``tokenizers`` JSON file it
-    counts subword tokens; without one it counts whitespace-delimited words."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("int")
-    def count(s: pd.Series) -> pd.Series:
-        if tokenizer_name:
-            from tokenizers import Tokenizer
-            tok = Tokenizer.from_file(tokenizer_name)
-            return pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist())], dtype="int32")
-        return s.fillna("").str.split().str.len().astype("int32")
-
-    return count
-
-
 def hashed_embedding(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "embedding") -> DataFrame:
     """X6 offline default: L2-normalised hashed bag of lower-cased words (MLlib HashingTF + Normalizer, JVM side)."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer

@@ -1,9 +1,9 @@
-"""Order-dependent building blocks that stay distributed.
+"""Order-dependent building blocks that stay distributed.
 
 * ``global_rank`` -- exact 0-based rank over a total order without a
-  partition-less window (which would pull every row into one task): rows are
-  range-partitioned, numbered inside each partition, and shifted by the sizes of
-  the preceding partitions (a table with one row per partition).
+  partition-less window (which would pull every row into one task): the order
+  columns are range-partitioned, numbered inside each partition, and shifted by
+  the sizes of the preceding partitions (a table with one row per partition).
 * ``topk_per_group`` -- two-stage top-k: first inside (group, salt) sub-groups,
   then over the <= k * salts survivors, so a group holding a third of the table
   is never sorted by a single task.
@@ -23,27 +23,42 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def global_rank(df: DataFrame, order_cols: list, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_cols: list, name: str = "rank", num_partitions: int | None = None,
+                key: list[str] | None = None) -> DataFrame:
     """Append a dense 0-based position under ``order_cols`` (must be a total order).
 
-    The range-partitioned frame is checkpointed (reliable checkpoint in
-    ``spark.checkpoint.dir``) so that partition ids are stable between the size
-    pass and the numbering pass and lineage is cut for executor loss.
+    One range exchange sorts the rows; the place inside a partition is the low
+    part of ``monotonically_increasing_id``, and a table with one row per
+    partition shifts it.  The sorted frame is checkpointed (reliable checkpoint in
+    ``spark.checkpoint.dir``) so that both passes see the same partitions.  With
+    ``key`` only the order and key columns are sorted and written, and the
+    position is joined back to the rows by key; without it ``df`` itself should
+    be narrow.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     oc = _cols(order_cols)
-    ranged = (df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
-    w = Window.partitionBy("_pid").orderBy(*oc)
-    local = ranged.withColumn("_rn", F.row_number().over(w) - 1)
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    if key is not None:
+        order = [c.alias(f"_o{i}") for i, c in enumerate(oc)]
+        narrow = global_rank(df.select(*key, *order), [f"_o{i}" for i in range(len(oc))], name, num_partitions)
+        return df.join(narrow.select(*key, name), key)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+                         .withColumn("_m", F.monotonically_increasing_id()))
+    pid, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(pid.alias("_pid")).agg((F.max(place) + 1).alias("_n"))
+    offsets = sizes.select(F.col("_pid").alias("_p"), (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     # one row per partition: bounded by the partition count, safe to broadcast
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_rn"))
-            .drop("_pid", "_rn", "_off"))
+    return (ranged.join(F.broadcast(offsets), pid == F.col("_p"))
+            .withColumn(name, F.col("_off") + place).drop("_m", "_p", "_off"))
+
+
+def rows_at(df: DataFrame, order_cols: list[str], positions: list[int]) -> dict[int, tuple]:
+    """The order values at the given positions (one row each on the driver); positions past the end are absent."""
+    ranked = global_rank(df.select(*order_cols), order_cols, "_pos")
+    return {r["_pos"]: tuple(r[c] for c in order_cols) for r in ranked.filter(F.col("_pos").isin(positions)).collect()}
+
+
+def _before(order_cols: list[str], bound: tuple) -> Column:
+    return F.struct(*order_cols) < F.struct(*[F.lit(v) for v in bound])
 
 
 def topk_per_group(df: DataFrame, group: list[str], order_cols: list, k: int, salts: int = 16,
@@ -70,25 +85,27 @@ def shuffle_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
 def split_train_test(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """Seeded permutation; the first ``int(ratio * n)`` rows are train, the rest test.
 
-    Exact counts via ``global_rank`` over the hash order.  Adds column ``split``.
+    The hash at that position (found over the hashes alone) is the boundary the
+    rows are compared with, so no row moves.  Adds column ``split``.
     """
     n = df.count()
     cut = int(ratio * n)
-    ranked = global_rank(df.withColumn("_h", hash_key(F.col(key), seed)), ["_h", key], "_pos")
-    return ranked.withColumn("split", F.when(F.col("_pos") < cut, "train").otherwise("test")).drop("_h", "_pos")
+    hashed = df.withColumn("_h", hash_key(F.col(key), seed))
+    bound = rows_at(hashed, ["_h", key], [cut]).get(cut)
+    train = _before(["_h", key], bound) if bound is not None else F.lit(True)
+    return hashed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_h")
 
 
 def slice_rows(df: DataFrame, order: str, begin: int | None = None, end: int | None = None) -> DataFrame:
-    """P20 / S3: positional ``[begin:end]`` slice under ``order`` (Python slice semantics, begin/end >= 0)."""
-    ranked = global_rank(df, [order], "_pos")
-    cond = F.lit(True)
-    if begin is not None:
-        cond = cond & (F.col("_pos") >= begin)
-    if end is not None:
-        cond = cond & (F.col("_pos") < end)
-    return ranked.filter(cond).drop("_pos")
-
+    """P20 / S3: positional ``[begin:end]`` slice under ``order`` (Python slice semantics, begin/end >= 0).
 
-def random_inspect(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` pseudo-random rows (hash order)."""
-    return shuffle_sample(df, key, n, seed)
+    ``order`` is unique.  The order values at both ends are found over that column
+    alone; the rows are filtered by comparison, without moving.
+    """
+    at = rows_at(df, [order], [p for p in (begin, end) if p])
+    out = df
+    if begin:
+        out = out.filter(F.col(order) >= F.lit(at[begin][0])) if begin in at else out.limit(0)
+    if end is not None:
+        out = out.limit(0) if end == 0 else out.filter(F.col(order) < F.lit(at[end][0])) if end in at else out
+    return out

@@ -42,7 +42,7 @@ def cluster_centres(df: DataFrame, label: str = "label", vec: str = "embedding")
 
 def with_centre_cosine(df: DataFrame, centres: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Attach cos(embedding, centre of its cluster); centres are |clusters| rows -> broadcast."""
-    j = df.join(F.broadcast(centres), label)
+    j = df.join(centres, label)
     return j.withColumn("cos", cosine(F.col(vec).cast("array<double>"), F.col("centre"))).drop("centre")
 
 
@@ -66,7 +66,7 @@ def relabel_by_size(df: DataFrame, label: str = "label") -> DataFrame:
     # one row per cluster: bounded window
     from pyspark.sql import Window
     m = sizes.withColumn("new_label", F.row_number().over(Window.orderBy(F.desc("size"), label)) - 1)
-    return df.join(F.broadcast(m.select(label, "new_label")), label)
+    return df.join(m.select(label, "new_label"), label)
 
 
 def cluster_share(df: DataFrame, label: str = "label") -> DataFrame:
@@ -83,9 +83,10 @@ def ranked_cluster_dump(df: DataFrame, label: str = "label", vec: str = "embeddi
     minus the first position of the cluster, so no cluster is sorted by one task.
     """
     scored = with_centre_cosine(df, cluster_centres(df, label, vec), label, vec)
-    g = global_rank(scored.withColumn("_neg", -F.col("cos")), [label, "_neg", key], "_g")
+    g = global_rank(scored.select(label, key, (-F.col("cos")).alias("_neg")), [label, "_neg", key], "_g")
     first = g.groupBy(label).agg(F.min("_g").alias("_g0"))
-    return g.join(F.broadcast(first), label).withColumn("rank", F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0", "_neg")
+    ranks = g.join(first, label).select(key, (F.col("_g") - F.col("_g0") + 1).alias("rank"))
+    return scored.join(ranks, key)
 
 
 def kmeans_topics(df: DataFrame, k: int = 20, seed: int = 42, vec: str = "embedding", bisecting: bool = False) -> tuple:
@@ -152,7 +153,8 @@ def shape_prompt_texts(rows: DataFrame, min_length: int | None = None, max_lengt
         ex = ex.filter(F.length("text") >= min_length)
     if max_length:
         ex = ex.filter(F.length("text") <= max_length)
-    ex = ex.withColumn("_o", F.struct(F.col(order), F.col("i")))
+    # one number for (order, i): a hash aggregate can keep its minimum
+    ex = ex.withColumn("_o", F.col(order).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("i"))
     return dedup_prompts(ex, "text", "_o").drop("_o")
 
 

@@ -1,4 +1,4 @@
-"""Registered queries: pairwise matrices, online Elo, Bradley-Terry, bootstrap, leaderboard."""
+"""Registered queries: pairwise matrices, Bradley-Terry, bootstrap, leaderboard."""
 
 from __future__ import annotations
 
@@ -83,30 +83,6 @@ def q_distinct_models(spark, sf_dir):
     return R.distinct_models(fx.battles(Tables(spark, sf_dir)))
 
 
-_ELO_SQL = with_fixtures("""
-WITH RECURSIVE b AS (
-  SELECT row_number() OVER (ORDER BY epoch_us(ts), ord) AS seq,
-         CAST(substr(model_a, 2) AS INTEGER) + 1 AS ia, CAST(substr(model_b, 2) AS INTEGER) + 1 AS ib,
-         CAST(CASE winner WHEN 'model_a' THEN 1 WHEN 'model_b' THEN 0 ELSE 0.5 END AS DOUBLE) AS sa
-  FROM battles WHERE anony),
-r(seq, ratings) AS (
-  SELECT 0, list_transform(range(8), lambda k: CAST(1000 AS DOUBLE))
-  UNION ALL
-  SELECT b.seq, list_transform(range(1, 9), lambda k:
-           CASE WHEN k = b.ia THEN r.ratings[b.ia] + 4 * (b.sa - 1 / (1 + pow(10, (r.ratings[b.ib] - r.ratings[b.ia]) / 400)))
-                WHEN k = b.ib THEN r.ratings[b.ib] + 4 * (1 - b.sa - 1 / (1 + pow(10, (r.ratings[b.ia] - r.ratings[b.ib]) / 400)))
-                ELSE r.ratings[k] END)
-  FROM r JOIN b ON b.seq = r.seq + 1)
-SELECT 'm' || CAST(k - 1 AS VARCHAR) AS model, round(ratings[k], 6) AS rating
-FROM (SELECT ratings FROM r ORDER BY seq DESC LIMIT 1) last, (SELECT unnest(range(1, 9)) AS k) ks
-""", "battles")
-
-
-@query("online_elo", "M1 F22", _ELO_SQL)
-def q_online_elo(spark, sf_dir):
-    return _r(R.online_elo(_anon(spark, sf_dir)))
-
-
 @query("bt_mle", "M2 U4")
 def q_bt_mle(spark, sf_dir):
     return R.bt_mle(_anon(spark, sf_dir)).select("model", F.round("rating", 2).alias("rating"))

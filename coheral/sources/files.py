@@ -60,7 +60,7 @@ def read_judge_prompts(spark: SparkSession, path: str) -> DataFrame:
     return first_per_key(d, ["name"], ["ord"], last=True).drop("ord")
 
 
-def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json", max_files: int | None = None) -> list[str]:
+def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json", max_files: int = 10_000) -> list[str]:
     """Log files under ``root`` (any depth) ordered by modification time, newest ``max_files`` kept.
 
     Only file metadata is read (the content column is pruned); the returned
@@ -68,9 +68,7 @@ def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json",
     """
     meta = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
             .load(root).select("path", "modificationTime"))
-    meta = meta.orderBy(F.desc("modificationTime"), F.desc("path"))
-    if max_files is not None:
-        meta = meta.limit(max_files)
+    meta = meta.orderBy(F.desc("modificationTime"), F.desc("path")).limit(max_files)
     return [r["path"] for r in meta.orderBy("modificationTime", "path").collect()]
 
 

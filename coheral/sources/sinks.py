@@ -1,5 +1,4 @@
-"""Writers.  Every writer is a distributed ``DataFrameWriter`` call;
-only the explicitly small renderers (K9) bring rows to the driver."""
+"""Writers.  Every writer is a distributed ``DataFrameWriter`` call."""
 
 from __future__ import annotations
 
@@ -47,17 +46,16 @@ def write_predictions(df: DataFrame, path: str, pred: str = "pred", gold: str =
 
 
 def checkpointed_sink(df: DataFrame, path: str, key: str, batch_col: str = "batch") -> DataFrame:
-    """K6: idempotent, resumable output.  Rows whose key is already written are
-    skipped (left anti join); new rows go to their own ``batch`` partition with
-    dynamic partition overwrite, so a retried batch replaces itself.  Returns
-    the rows written in this call."""
+    """K6: resumable output.  Rows whose key is already written are skipped (left
+    anti join) and the others are appended under their ``batch`` folder; nothing
+    written is ever replaced.  A call that fails commits no file, so calling it
+    again adds exactly the missing keys.  Returns the rows written in this call."""
     from coheral.session import fs_exists
     spark = df.sparkSession
     todo = df
     if fs_exists(spark, path):
         todo = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    todo.write.mode("overwrite").partitionBy(batch_col).parquet(path)
+    todo.write.mode("append").partitionBy(batch_col).parquet(path)
     return todo
 
 
@@ -74,12 +72,26 @@ def write_text_report(df: DataFrame, path: str, fmt: str, *cols: str) -> None:
     df.select(F.format_string(fmt, *[F.col(c) for c in cols]).alias("value")).write.mode("overwrite").text(path)
 
 
-def render_table(df: DataFrame, max_rows: int = 1000) -> str:
-    """K9: GitHub markdown table of a small aggregate (refuses more than ``max_rows`` rows)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"render_table is for small results (> {max_rows} rows)")
-    head = "| " + " | ".join(df.columns) + " |"
-    sep = "|" + "|".join("---" for _ in df.columns) + "|"
-    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    return "\n".join([head, sep, *body])
+def _cells(df: DataFrame):
+    return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+
+
+def render_table(df: DataFrame, html: bool = False) -> DataFrame:
+    """K9: one markdown (or HTML) table line per row in column ``value``, the head lines first.
+
+    Formatting is a column expression; write it with ``write_table``.
+    """
+    spark, cells = df.sparkSession, _cells(df)
+    if html:
+        head = ["<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"]
+        esc = [F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")) for c in cells]
+        line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in esc], F.lit("</tr>"))
+    else:
+        head = ["| " + " | ".join(df.columns) + " |", "|" + "|".join("---" for _ in df.columns) + "|"]
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(df.select(line.alias("value")))
+
+
+def write_table(df: DataFrame, path: str, html: bool = False) -> None:
+    """K9: the rendered table as text files; part files in order hold the lines in order."""
+    render_table(df, html).write.mode("overwrite").text(path)

@@ -3,19 +3,16 @@
 The reference recomputes every report from all log files every 300 seconds.
 Here the append-only JSONL log directory is a streaming source; activity counts
 are windowed aggregations with a watermark, cleaning is the same stateless
-column logic as the batch operator, and the order-dependent online Elo and the
-latest-record dedup keep their (small) state in tables under the session's
-``spark.checkpoint.dir`` updated by ``foreachBatch``.
+column logic as the batch operator, and the latest-record dedup keeps its state in a
+table under the session's ``spark.checkpoint.dir`` updated by ``foreachBatch``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coheral.operators import arena as A
-from coheral.operators.ratings import INIT_RATING, _fold_elo
 from coheral.session import checkpoint_dir, fs_delete, fs_list_names
 from coheral.sources import schemas as SC
 
@@ -61,74 +58,25 @@ def _prune(spark: SparkSession, table_dir: str, keep_from: int) -> None:
         fs_delete(spark, f"{table_dir}/v={v}")
 
 
-def online_elo_batch_writer(state_dir: str):
-    """``foreachBatch`` function folding each micro-batch (in tstamp order) into a ratings table.
-
-    Ratings are a |models|-row table; each batch is folded by one task (its size
-    bounded by ``maxFilesPerTrigger``) and a new version of the table is written
-    under ``state_dir/v=<batch_id>`` -- a retried batch rewrites its own version.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = None
-        versions = _versions(spark, state_dir, batch_id)
-        if versions:
-            prev = spark.read.parquet(f"{state_dir}/v={versions[-1]}")
-        state = {r["model"]: r["rating"] for r in prev.collect()} if prev is not None else {}  # |models| rows
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["tstamp", "ord"] if "ord" in pdf else ["tstamp"])
-            r = _fold_elo(dict(state), pdf["model_a"].to_numpy(), pdf["model_b"].to_numpy(),
-                          pdf["winner"].to_numpy())
-            return pd.DataFrame({"model": list(r), "rating": list(r.values())})
-
-        cols = [c for c in ("tstamp", "ord", "model_a", "model_b", "winner") if c in batch.columns]
-        new = (batch.select(*cols).withColumn("_g", F.lit(0)).groupBy("_g")
-               .applyInPandas(lambda pdf: fold(pdf.drop(columns=["_g"])), "model string, rating double"))
-        rows = new.collect()
-        if not rows:  # empty batch: carry the state forward
-            rows = [(m, r) for m, r in state.items()]
-        spark.createDataFrame(rows, "model string, rating double").coalesce(1).write.mode("overwrite") \
-            .parquet(f"{state_dir}/v={batch_id}")
-        if versions:
-            _prune(spark, state_dir, versions[-1])
-    return write
-
-
-def latest_version(spark: SparkSession, table_dir: str, schema: str | None = None) -> DataFrame:
+def latest_version(spark: SparkSession, table_dir: str, schema: str) -> DataFrame:
     """The newest committed version of a streaming state table."""
     versions = _versions(spark, table_dir)
     if not versions:
-        return spark.createDataFrame([], schema or "model string, rating double")
+        return spark.createDataFrame([], schema)
     return spark.read.parquet(f"{table_dir}/v={versions[-1]}")
 
 
-def latest_ratings(spark: SparkSession, state_dir: str) -> DataFrame:
-    return latest_version(spark, state_dir, "model string, rating double")
-
-
-def stream_online_elo(battles: DataFrame, state_dir: str | None = None, trigger: dict | None = None,
-                      checkpoint: str | None = None):
-    """R3 + R6: start a query folding anonymous battles into ratings; returns (query, state_dir)."""
-    spark = battles.sparkSession
-    state_dir = state_dir or _state_path(spark, "online_elo")
-    ck = checkpoint or _state_path(spark, "online_elo_ck")
-    q = (battles.filter(F.col("anony")).writeStream.foreachBatch(online_elo_batch_writer(state_dir))
-         .option("checkpointLocation", ck).trigger(**(trigger or {"availableNow": True})).start())
-    return q, state_dir
-
-
 def dedup_batch_writer(table_dir: str, key: str = "conversation_id", order=("tstamp",)):
     """``foreachBatch`` upsert keeping the latest record per key (versioned Parquet table)."""
-    from coheral.operators.joins import first_per_key
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cur = batch
         versions = _versions(spark, table_dir, batch_id)
         if versions:
             cur = spark.read.parquet(f"{table_dir}/v={versions[-1]}").unionByName(batch)
-        first_per_key(cur, [key], list(order), last=True).write.mode("overwrite").parquet(f"{table_dir}/v={batch_id}")
+        others = [c for c in cur.columns if c != key]
+        latest = cur.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r"))  # ties in time are one record
+        latest.select(key, "r.*").write.mode("overwrite").parquet(f"{table_dir}/v={batch_id}")
         if versions:
             _prune(spark, table_dir, versions[-1])
     return write
@@ -145,9 +93,16 @@ def stream_dedup_chats(rows: DataFrame, key: str = "conversation_id", order=("ts
     return q, table_dir
 
 
-def start_refresh(df: DataFrame, name: str, output_mode: str = "complete", period: str = "300 seconds",
-                  checkpoint: str | None = None):
-    """Periodic refresh of a report into a queryable in-memory table."""
-    ck = checkpoint or _state_path(df.sparkSession, f"{name}_ck")
-    return (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-            .option("checkpointLocation", ck).trigger(processingTime=period).start())
+def start_refresh(df: DataFrame, path: str, period: str = "300 seconds", checkpoint: str | None = None):
+    """Periodic refresh of a report: every trigger writes the aggregate's new state as table ``path/v=<batch id>``."""
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        done = _versions(spark, path, batch_id)
+        if done:
+            _prune(spark, path, done[-1])
+
+    ck = checkpoint or path.rstrip("/") + "_ck"
+    return (df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", ck)
+            .trigger(processingTime=period).start())

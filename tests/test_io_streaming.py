@@ -58,12 +58,18 @@ def test_checkpointed_sink_resumes(spark, scratch):
     written = SK.checkpointed_sink(b, path, "id")
     assert sorted(r["id"] for r in written.collect()) == list(range(10, 15))
     assert spark.read.parquet(path).count() == 15
+    again = spark.range(0, 20).withColumn("batch", F.lit(1))   # resumed under the same batch number
+    SK.checkpointed_sink(again, path, "id")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(20))
 
 
 def test_render_table_and_metric_report(spark, scratch):
     df = spark.createDataFrame([(0.5, 0.25)], "precision_macro double, recall_macro double")
-    md = SK.render_table(df)
-    assert md.splitlines()[0] == "| precision_macro | recall_macro |"
+    SK.write_table(df, os.path.join(scratch, "md"))
+    lines = [r["value"] for r in spark.read.text(os.path.join(scratch, "md")).collect()]
+    assert sorted(lines) == sorted(["| precision_macro | recall_macro |", "|---|---|", "| 0.5 | 0.25 |"])
+    html = [r["value"] for r in SK.render_table(spark.createDataFrame([("a<b", None)], "x string, y int"), html=True).collect()]
+    assert html == ["<tr><th>x</th><th>y</th></tr>", "<tr><td>a&lt;b</td><td></td></tr>"]
     SK.write_metric_report(df, os.path.join(scratch, "rep"))
     back = {(r["metric"], r["average"]): r["value_x100"] for r in FI.read_metric_report(spark, os.path.join(scratch, "rep")).collect()}
     assert back == {("precision", "macro"): 50, ("recall", "macro"): 25}
@@ -93,28 +99,26 @@ def test_stream_activity_matches_batch(spark, scratch):
     assert a == b
 
 
-def test_stream_online_elo_and_dedup_match_batch(spark, scratch):
-    d = os.path.join(scratch, "logs")
+def test_stream_refresh_replaces_its_table(spark, scratch):
+    d, path = os.path.join(scratch, "logs"), os.path.join(scratch, "report")
     log = _write_log_days(spark, d)
-    ev = SM.stream_log_source(spark, d, max_files_per_trigger=100)   # one micro-batch: totally ordered
-    battles = SM.stream_clean_battles(ev)
-    q, state = SM.stream_online_elo(battles, state_dir=os.path.join(scratch, "elo"),
-                                    checkpoint=os.path.join(scratch, "ck_elo"))
-    q.awaitTermination()
-    got = {r["model"]: r["rating"] for r in SM.latest_ratings(spark, state).collect()}
-    batch = A.clean_battles(log).filter(F.col("reason").isNull() & F.col("anony"))
-    exp = {r["model"]: r["rating"] for r in R.online_elo(batch.select("tstamp", "model_a", "model_b", "winner"))
-           .collect()}
-    assert got.keys() == exp.keys()
-    for k in exp:
-        assert abs(got[k] - exp[k]) < 1e-9
+    ev = SM.stream_log_source(spark, d)
+    q = SM.start_refresh(ev.groupBy("type").agg(F.count(F.lit(1)).alias("n")), path, period="1 second")
+    q.processAllAvailable()
+    q.stop()
+    got = {r["type"]: r["n"] for r in SM.latest_version(spark, path, "type string, n bigint").collect()}
+    assert got == {r["type"]: r["count"] for r in log.groupBy("type").count().collect()}
+
 
+def test_stream_dedup_matches_batch(spark, scratch):
+    d = os.path.join(scratch, "logs")
+    log = _write_log_days(spark, d)
     ev2 = SM.stream_log_source(spark, d, max_files_per_trigger=3)
     rows = ev2.filter(F.col("type") == "chat").select(F.col("states")[0]["conv_id"].alias("conversation_id"),
                                                       "tstamp", F.col("states")[0]["model_name"].alias("model"))
     q2, table = SM.stream_dedup_chats(rows, table_dir=os.path.join(scratch, "dedup"),
                                       checkpoint=os.path.join(scratch, "ck_dd"))
     q2.awaitTermination()
-    got2 = {r["conversation_id"]: r["tstamp"] for r in SM.latest_version(spark, table).collect()}
+    got2 = {r["conversation_id"]: r["tstamp"] for r in SM.latest_version(spark, table, "conversation_id string, tstamp double").collect()}
     b2 = log.filter(F.col("type") == "chat").groupBy(F.col("states")[0]["conv_id"].alias("c")).agg(F.max("tstamp").alias("t"))
     assert got2 == {r["c"]: r["t"] for r in b2.collect()}

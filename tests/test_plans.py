@@ -30,11 +30,26 @@ def test_first_per_key_aggregates_map_side(spark):
                                    F.col("id").alias("ord"), (F.col("id") * 2).alias("v"))
     out = JN.first_per_key(df, ["k"], ["ord"])
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("HashAggregate") + plan.count("ObjectHashAggregate") + plan.count("SortAggregate") >= 2
-    assert "Window" not in plan
+    assert plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan and "Window" not in plan
     assert out.filter(F.col("k") == 0).first()["ord"] == 0
 
 
+def test_prompt_dedup_does_not_sort_texts(spark):
+    for name in ("dedup_prompts", "shape_prompt_texts"):
+        assert "SortAggregate" not in _plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_global_rank_sorts_once(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.lit("wide").alias("text"))
+    ranked = O.global_rank(df, ["k"], "pos", num_partitions=4, key=["k"])
+    plan = _plan(ranked)
+    assert "hashpartitioning(_pid" not in plan and "rangepartitioning" not in plan  # cut by the checkpoint
+    assert all(r["k"] == r["pos"] for r in ranked.collect())
+    sliced = O.slice_rows(df, "k", 10, 20)
+    assert "Exchange" not in _plan(sliced)
+    assert sorted(r["k"] for r in sliced.collect()) == list(range(10, 20))
+
+
 def test_topk_is_two_stage(spark):
     df = spark.range(30000).select((F.col("id") % 2).alias("g"), F.col("id"), F.rand(1).alias("v"))
     plan = _plan(O.topk_per_group(df, ["g"], [F.desc("v"), "id"], 10, salts=16))
