@@ -89,6 +89,12 @@ class Forest:
         return out
 
 
+def truncated(f: Forest, depth: int) -> Forest:
+    """The forest with every tree cut at ``depth``."""
+    inner = (1 << depth) - 1
+    return Forest(f.dirs[:, :inner], f.cuts[:, :inner], depth, f.longest)
+
+
 def grow(sample: np.ndarray, longest: float, trees: int, depth: int, seed: int) -> Forest:
     rng = np.random.default_rng(seed)
     inner = (1 << depth) - 1
@@ -138,7 +144,12 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (dim["dim"] if dim else 0))
 
 
-def fit(rows: DataFrame, k: int, trees: int, leaf_size: int, sample_rows: int, recall: float, seed: int) -> Forest | None:
+def fit(rows: DataFrame, k: int, trees: int, leaf_size: int, sample_rows: int, recall: float, most_probes: int, seed: int) -> Forest | None:
+    """Grow on the sample; the depth is the greatest one that reaches ``recall`` with at most ``most_probes`` leaves.
+
+    Clustered vectors get deep trees and few candidates; where there is no structure to use, leaves
+    are few and large, and a query still sends back ``k`` rows from ``most_probes`` leaves at most.
+    """
     stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     if not stats["n"]:
         return None
@@ -147,8 +158,14 @@ def fit(rows: DataFrame, k: int, trees: int, leaf_size: int, sample_rows: int, r
     depth = 0
     while stats["n"] >> depth > leaf_size and len(sample) >> depth > 32:
         depth += 1
-    f = grow(sample, stats["longest"], trees if depth else 1, depth, seed)
-    f.probes = _probes_for(f, sample, k, recall) if depth else 1
+    whole = grow(sample, stats["longest"], trees if depth else 1, depth, seed)
+    for d in range(depth, 0, -1):
+        f = truncated(whole, d)
+        f.probes = _probes_for(f, sample, k, recall)
+        if f.probes <= most_probes:
+            return f
+    f = truncated(whole, 0)
+    f.dirs, f.cuts = f.dirs[:1], f.cuts[:1]  # one leaf: one tree has all rows
     return f
 
 
@@ -157,12 +174,13 @@ def _matrix(v: pd.Series) -> np.ndarray:
 
 
 def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 10,
-            leaf_size: int = 400, sample_rows: int = 16384, recall: float = 0.96, block: int = 4096, seed: int = 5) -> DataFrame:
+            leaf_size: int = 400, sample_rows: int = 16384, recall: float = 0.96,
+            most_probes: int = 40, block: int = 4096, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` (a Column over vec_id)."""
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = usable(df, key, vector)
-    forest = fit(rows, k, trees, leaf_size, sample_rows, recall, seed)
+    forest = fit(rows, k, trees, leaf_size, sample_rows, recall, most_probes, seed)
     if forest is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     shared = spark.sparkContext.broadcast(forest)
