@@ -222,7 +222,7 @@ _BLOCK_TYPE = np.dtype([("core", "<u8"), ("left", "<u8"), ("right", "<u8"), ("of
 def _emit_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for chunk, ids, nulls, blob, bounds, check in _chunks(batches):
         yield pd.DataFrame([{"chunk": chunk, "kind": 0, "doc": _pack(np.concatenate([ids, nulls]).astype(np.int64)),
-                             "place": _pack(bounds), "check": check.to_bytes(4, "little"), "blob": blob}])
+                             "place": _pack(bounds), "check": check.to_bytes(4, "little"), "blob": zlib.compress(blob, 1)}])
 
 
 def _check(rows_check: bytes, text_check: bytes) -> None:
@@ -271,7 +271,7 @@ def _emit_blocks(shards: int):
                 continue
             ids = _unpack(text.doc, np.int64)
             ids = ids[: len(ids) // 2]
-            bounds, data = _unpack(text.place, np.int64), np.frombuffer(text.blob, np.uint8)
+            bounds, data = _unpack(text.place, np.int64), _unpack(text.blob, np.uint8)
             doc, place, code = (np.concatenate([f[k] for f in found]) for k in range(3))
             h, docs, blocks = Hashes(data), [], []
             for want, width in ((2, BLOCK), (3, 1)):
@@ -400,7 +400,7 @@ def _finish(keep_bytes: bool):
         for _, rows in _sorted_rows(batches, "chunk"):
             for r in rows:
                 if r.kind == 0:
-                    text, bounds, data = r, _unpack(r.place, np.int64), np.frombuffer(r.blob, np.uint8)
+                    text, bounds, data = r, _unpack(r.place, np.int64), _unpack(r.blob, np.uint8)
                     change = np.zeros(len(data) + WIDTH + 1, np.int32)  # +1 where a removed window starts, -1 after it
                 elif r.kind == 1:
                     _check(r.check, text.check)
@@ -417,7 +417,7 @@ def _finish(keep_bytes: bool):
                         np.add.at(change, own, 1)
                         np.add.at(change, own + WIDTH, -1)
             gone = np.cumsum(change[: len(data)]) > 0
-            ids, blob, out = _unpack(text.doc, np.int64).reshape(2, -1), text.blob, []
+            ids, blob, out = _unpack(text.doc, np.int64).reshape(2, -1), data.tobytes(), []
             for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
                 g = gone[lo:hi]
                 removed = int(np.count_nonzero(g))
