@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coheral.llm.common import cut, mix64, text_slices
+from coheral.llm.common import cut, mix64, modest_batches, text_slices
 from coheral.llm.components import components
 from coheral.llm.words import shingle_sets
 
@@ -272,6 +272,7 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
                  recall: float = 0.9999, depth: int = 2, split_above: int = 1024, block: int = 2048) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_copies (documents with the same set, itself included)."""
     spark = df.sparkSession
+    modest_batches(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     docs = cut(sketches(df, key, text, width))

@@ -22,6 +22,17 @@ def id_remainder(key: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(mod))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower this session's Arrow batch limit: rows here are texts, which are held several times over while in work."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "0b").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) == 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     checkpoint_dir(df.sparkSession)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coheral.llm.common import mix64, text_slices
+from coheral.llm.common import mix64, modest_batches, text_slices
 
 UNKNOWN = "und"
 CHUNK = 1 << 18
@@ -145,6 +145,7 @@ class LanguageFilter:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", min_share: float = 1e-4) -> LanguageFilter:
     """Learn from every row of ``df``.  At most ``1 / min_share`` n-grams per language reach the driver."""
+    modest_batches(df.sparkSession)
     counts = count_ngrams(df, text, lang)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * F.lit(min_share)).select("lang", "gram")
@@ -156,6 +157,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", min_share: float
 
 def predict(df: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score; same-named columns are replaced."""
+    modest_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
 

@@ -187,6 +187,7 @@ SCAN_TYPE = ("n_words bigint, places array<struct<start:bigint,label:string>>, "
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", index: LicenceIndex | None = None) -> DataFrame:
     """One row per input row: key, n_words, phrase places, covered template spans (word positions)."""
+    modest_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(index or LicenceIndex())
 
     @F.pandas_udf(SCAN_TYPE)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coheral.llm.common import cut, mix64, text_slices
+from coheral.llm.common import cut, mix64, modest_batches, text_slices
 from coheral.llm.words import words
 
 SPELLING = 32          # classes by spelling
@@ -332,6 +332,7 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
     """
     spark = df.sparkSession
+    modest_batches(spark)
     shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
     learn = rows.filter("key IS NOT NULL AND NOT held_out").select("key", "text")

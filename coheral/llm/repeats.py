@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coheral.llm.common import cut, mix64, text_slices
+from coheral.llm.common import cut, mix64, modest_batches, text_slices
 from coheral.llm.lyndon import suffix_ranks
 from coheral.llm.words import _powers
 
@@ -450,6 +450,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
                    keep_bytes: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
     spark = df.sparkSession
+    modest_batches(spark)
     shards = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     hot = hot_anchors(rows, sample_rows, hot_share)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from coheral.llm.common import cut
+from coheral.llm.common import cut, modest_batches
 
 
 @dataclass
@@ -178,6 +178,7 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
             most_probes: int = 40, block: int = 4096, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` (a Column over vec_id)."""
     spark = df.sparkSession
+    modest_batches(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = usable(df, key, vector)
     forest = fit(rows, k, trees, leaf_size, sample_rows, recall, most_probes, seed)
