@@ -28,9 +28,9 @@ BATCH_BYTES = 4 << 20
 def modest_batches(spark: SparkSession) -> None:
     """Lower this session's Arrow batch limit: rows here are texts, which are held several times over while in work."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "0b").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) == 0:
-        spark.conf.set(key, str(BATCH_BYTES))
+    now = spark.conf.get(key, "2147483646b").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def cut(df: DataFrame) -> DataFrame:
