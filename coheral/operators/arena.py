@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,7 +69,8 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
 
     ``reason`` is null for kept battles, otherwise the first failed check:
     null_model (uncounted in the reference), invalid, leaked_identity, banned.
-    Callers keep ``reason IS NULL`` and count the rest with ``drop_counters``.
+    Callers keep ``reason IS NULL`` and count the rest with ``drop_counters``;
+    ``language`` means nothing for dropped rows.
     ``language`` (a Column over the first message) defaults to the stop-word
     detector in ``coheral.operators.conversations``.
     """
@@ -88,7 +88,9 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
     hid0, hid1, anony = F.col("_hid0"), F.col("_hid1"), F.col("_anony")
     msgs = F.concat(_from_offset(s0), _from_offset(s1))
     v = v.withColumn("_text", F.lower(F.array_join(F.transform(msgs, lambda m: m[1]), "")))
-    leaked = contains_any(F.col("_text"), [w.lower() for w in IDENTITY_WORDS], lower=False)
+    words = [w.lower() for w in IDENTITY_WORDS]
+    words = [w for w in words if not any(o != w and o in w for o in words)]  # a phrase that holds another adds nothing
+    leaked = contains_any(F.col("_text"), words, lower=False)
     v = (v.withColumn("_ma", normalise_model_name(F.when(anony, hid0).otherwise(pub0), F.col("tstamp")))
           .withColumn("_mb", normalise_model_name(F.when(anony, hid1).otherwise(pub1), F.col("tstamp"))))
     ma_n, mb_n = F.col("_ma"), F.col("_mb")
@@ -96,17 +98,14 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
     banned = F.col("ip").isin(*ban_ips) if ban_ips else F.lit(False)
     reason = (F.when(F.col("models")[0].isNull() | F.col("models")[1].isNull(), "null_model")
               .when(((pub0 == "") & (pub1 != "")) | ((pub1 == "") & (pub0 != "")), "invalid")
-              .when(~anony & ((pub0 != hid0) | (pub1 != hid1)), "invalid")
+              .when(~anony & (~pub0.eqNullSafe(hid0) | ~pub1.eqNullSafe(hid1)), "invalid")
               .when(s0["offset"] >= F.size(s0["messages"]), "invalid")
               .when(leaked, "leaked_identity")
               .when(excluded, "invalid")
               .when(banned, "banned"))
-    # ``reason`` is computed below an observation point (CollectMetrics): a later
-    # filter on it is not pushed below that node, so the text scans run once per
-    # row; output columns are computed above it, only when selected and, for the
-    # language, only for kept rows.  The observed metric counts vote rows.
-    v = v.withColumn("reason", reason).observe(f"clean_battles_{uuid.uuid4().hex}",
-                                               F.count(F.lit(1)).alias("votes"))
+    # nothing below refers to ``reason``: a later filter on it is pushed below the output
+    # columns, so the text is scanned once and the language is detected for kept rows only
+    v = v.withColumn("reason", reason)
     first_msg = F.try_element_at(s0["messages"], s0["offset"] + 1)[1]
     lang = language if language is not None else detect_language(first_msg)
     conv_a = to_openai_format(_from_offset(s0))
@@ -119,7 +118,7 @@ def clean_battles(log: DataFrame, exclude_models: list[str] | None = None, ban_i
         s0["conv_id"].alias("question_id"), ma_n.alias("model_a"), mb_n.alias("model_b"), winner.alias("winner"),
         F.col("ip"), conv_a.alias("conversation_a"), conv_b.alias("conversation_b"),
         (n_a / 2).cast("int").alias("turn"), anony.alias("anony"),
-        F.when(F.col("reason").isNull(), lang).alias("language"), F.col("tstamp"))
+        lang.alias("language"), F.col("tstamp"))
     if sanitize_ip:
         ids = dense_user_id(out.filter(F.col("reason").isNull() | (F.col("reason") == "banned")), "ip", "ord")
         out = out.join(ids, "ip", "left").withColumn("judge", F.concat(F.lit("arena_user_"), F.col("user_id").cast("string")))
@@ -172,16 +171,16 @@ def hourly_24(log: DataFrame, ts_us: str = "ts_us") -> DataFrame:
 
     Output: bucket (1 = oldest .. 24 = newest), start_us, n.
     """
-    now = log.agg(F.max(ts_us)).scalar()
-    last_day = log.filter(F.col(ts_us) > now - F.lit(86_400_000_000))
-    base = last_day.agg(F.min(ts_us)).scalar()
-    hour = F.lit(3_600_000_000)
-    chats = last_day.filter(F.col("type") == "chat")
-    counts = (chats.select((F.floor((F.col(ts_us) - base) / hour) + 1).cast("int").alias("bucket"))
-              .groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    day, hour = 86_400_000_000, 3_600_000_000
+    # the newest time and the last day's first one are two aggregates; the counts are one more scan
+    now = log.agg(F.max(ts_us)).first()[0] or 0
+    last_day = log.filter(F.col(ts_us) > now - day)
+    base = last_day.agg(F.min(ts_us)).first()[0] or 0
+    counts = (last_day.filter(F.col("type") == "chat")
+              .groupBy((F.floor((F.col(ts_us) - base) / hour) + 1).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     buckets = log.sparkSession.range(1, 25).select(F.col("id").cast("int").alias("bucket"))
     return (buckets.join(counts, "bucket", "left")
-            .select("bucket", (base + (F.col("bucket") - 1) * hour).alias("start_us"),
+            .select("bucket", (F.lit(base) + (F.col("bucket") - 1) * F.lit(hour)).alias("start_us"),
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
@@ -357,9 +356,9 @@ def clean_chats(log: DataFrame, action_type: str = "chat", language: Column | No
                    F.col("_conv").alias("conversation"), (F.size("_conv") / 2).cast("int").alias("turn"),
                    F.when(reason.isNull(), lang).alias("language"), F.col("ip"), F.col("tstamp"))
     kept = rows.select(F.inline(F.array(row))).filter(F.col("reason").isNull()).drop("reason")
+    # ids come from narrow columns; the last records are chosen first, so that text meets the ids once
     ids = dense_user_id(kept, "ip", "ord")
-    kept = kept.join(ids, "ip").drop("ip")
-    return dedup_latest_by_conv(kept, "conversation_id", ("tstamp", "ord"))
+    return dedup_latest_by_conv(kept, "conversation_id", ("tstamp", "ord")).join(ids, "ip").drop("ip")
 
 
 def release_stats(chats: DataFrame, token_len=None) -> DataFrame:
@@ -367,14 +366,18 @@ def release_stats(chats: DataFrame, token_len=None) -> DataFrame:
     response length (tokens, per message) of an openai-format chat table."""
     from coheral.functions.text import word_count
     tl = token_len or word_count
-    msgs = chats.select(F.posexplode("conversation").alias("i", "m"))
-    lens = msgs.select(F.when(F.col("m.role") == "user", tl(F.col("m.content"))).alias("p"),
-                       F.when(F.col("m.role") == "assistant", tl(F.col("m.content"))).alias("r"))
-    return chats.agg(F.count(F.lit(1)).alias("n_conversations"), F.countDistinct("user_id").alias("n_users"),
-                     F.countDistinct("model").alias("n_models"), F.countDistinct("language").alias("n_languages"),
-                     F.avg("turn").alias("avg_turns")).select(
-        "*", lens.agg(F.avg("p")).scalar().alias("avg_prompt_tokens"),
-        lens.agg(F.avg("r")).scalar().alias("avg_response_tokens"))
+    def tokens(role: str) -> tuple[Column, Column]:
+        """Tokens and number of a side's messages, inside the conversation's row."""
+        own = F.filter("conversation", lambda m: (m["role"] == role) & m["content"].isNotNull())
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, m: a + tl(m["content"])), F.size(own)
+
+    p, n_p = tokens("user")
+    r, n_r = tokens("assistant")
+    per = chats.select("user_id", "model", "language", "turn", p.alias("p"), n_p.alias("np"), r.alias("r"), n_r.alias("nr"))
+    return per.agg(F.count(F.lit(1)).alias("n_conversations"), F.countDistinct("user_id").alias("n_users"),
+                   F.countDistinct("model").alias("n_models"), F.countDistinct("language").alias("n_languages"),
+                   F.avg("turn").alias("avg_turns"), (F.sum("p") / F.sum("np")).alias("avg_prompt_tokens"),
+                   (F.sum("r") / F.sum("nr")).alias("avg_response_tokens"))
 
 
 def language_counts(chats: DataFrame, top: int = 25) -> DataFrame:

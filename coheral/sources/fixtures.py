@@ -219,7 +219,8 @@ def arena_log(t: Tables) -> DataFrame:
     msgs = (conv.groupBy("conv_id")
             .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
             .select("conv_id", F.transform("m", lambda x: F.array(x["role"], x["text"])).alias("messages")))
-    a = act.withColumn("c0", F.col("ord") % n).withColumn("c1", (F.col("ord") + 1) % n)
+    # events are dealt out while narrow: the texts they meet are scanned in many tasks
+    a = act.repartition("ord").withColumn("c0", F.col("ord") % n).withColumn("c1", (F.col("ord") + 1) % n)
     m0 = msgs.select(F.col("conv_id").alias("c0"), F.col("messages").alias("msg0"))
     m1 = msgs.select(F.col("conv_id").alias("c1"), F.col("messages").alias("msg1"))
     a = a.join(m0, "c0", "left").join(m1, "c1", "left")
