@@ -75,6 +75,13 @@ def stub_model(prompt: str) -> str:
     return ("1" if h[0] < "8" else "0") + "\nstub reply " + h[:8]
 
 
+def stub_judge(prompt: str) -> str:
+    """Deterministic offline judge: a pair verdict and a score derived from the prompt's MD5."""
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()
+    verdict = "[[A]]" if h[0] < "6" else "[[B]]" if h[0] < "c" else "[[C]]" if h[0] < "f" else "undecided"
+    return f"{h[:8]}: {verdict} Rating: [[{int(h[1], 16) % 10 + 1}]]"
+
+
 def llm_map(df: DataFrame, prompt_col: str, fn: Callable[[str], str] = stub_model, out_col: str = "reply",
             policy=None, concurrency: int = 4, key: str | None = None, resume_from: DataFrame | None = None,
             empty_on_error: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coheral.operators.joins import first_per_key
@@ -151,32 +151,40 @@ def judgments_last_by_game(pair: DataFrame, judge_cols=("turn",), order: str = "
     """Last row per (judge, question, model_1, model_2), then canonical model order.
 
     Game keys are normalised so model_1 < model_2, reversing the winner when
-    swapped.  When both orientations of a game exist, the one whose raw key was
+    swapped; the two games' judgment texts (columns g1_judgment, g2_judgment, when
+    present) change places with them.  When both orientations of a game exist, the one whose raw key was
     first seen later wins -- the overwrite order of the reference's dict rebuild.
     """
     jc = list(judge_cols)
     raw_key = jc + ["question_id", "model_1", "model_2"]
     w = pair_winner("g1_winner", "g2_winner")
+    texts = [c for c in ("g1_judgment", "g2_judgment") if c in pair.columns]
     r = (pair.withColumn("winner", w)
          .groupBy(*raw_key)
          .agg(F.min(order).alias("first_ord"),
-              F.max_by(F.struct("winner", order), F.col(order)).alias("last")))
+              F.max_by(F.struct("winner", order, *texts), F.col(order)).alias("last")))
     swap = F.col("model_1") >= F.col("model_2")
     norm = r.select(*jc, "question_id",
                     F.when(swap, F.col("model_2")).otherwise(F.col("model_1")).alias("model_lo"),
                     F.when(swap, F.col("model_1")).otherwise(F.col("model_2")).alias("model_hi"),
                     F.when(swap, _reverse(F.col("last.winner"))).otherwise(F.col("last.winner")).alias("winner"),
-                    "first_ord", F.col(f"last.{order}").alias("src_ord"))
+                    "first_ord", F.col(f"last.{order}").alias("src_ord"),
+                    *[F.when(swap, F.col(f"last.{o}")).otherwise(F.col(f"last.{c}")).alias(c)
+                      for c, o in zip(texts, reversed(texts))])
     return (norm.groupBy(*jc, "question_id", "model_lo", "model_hi")
-            .agg(F.max_by(F.struct("winner", "src_ord"), F.col("first_ord")).alias("g"))
-            .select(*jc, "question_id", "model_lo", "model_hi", "g.winner", "g.src_ord"))
+            .agg(F.max_by(F.struct("winner", "src_ord", *texts), F.col("first_ord")).alias("g"))
+            .select(*jc, "question_id", "model_lo", "model_hi", "g.winner", "g.src_ord", *[f"g.{c}" for c in texts]))
 
 
 # ------------------------------------------------------------- agreement
 def judge_group(judge) -> Column:
-    """expert* -> human, author* -> author, anything else null (excluded)."""
+    """gpt-4 with a pair prompt -> gpt4-pair, expert* -> human, author* -> author, anything else null (excluded).
+
+    A model judge is written ``model:prompt name``.
+    """
     j = _c(judge)
-    return F.when(j.startswith("expert"), "human").when(j.startswith("author"), "author")
+    return (F.when(j.startswith("gpt-4:pair"), "gpt4-pair").when(j.startswith("expert"), "human")
+            .when(j.startswith("author"), "author"))
 
 
 def votes_by_game(votes: DataFrame) -> DataFrame:
@@ -191,14 +199,15 @@ def votes_by_game(votes: DataFrame) -> DataFrame:
         judge_group("judge").alias("judge_group"), *[c for c in votes.columns if c == "ord"])
 
 
-def judge_agreement(votes: DataFrame, judge: str = "author", other: str = "human") -> DataFrame:
+def judge_agreement(votes: DataFrame, judge: str = "gpt4-pair", other: str = "human") -> DataFrame:
     """Agreement counts per turn, with and without ties, without emitting vote pairs.
 
     Two votes agree when both are ties of any kind or they name the same winner.
     Per game and vote class c with n_c votes: judge-vs-human agree = sum_c
     nj_c * nh_c over total NJ * NH; human-vs-human agree = sum_c C(n_c, 2) over
     C(N, 2).  Counting per (game, class) keeps the work linear in the votes even
-    when one game holds most of them.
+    when one game holds most of them.  A model judge votes once per game; a game
+    with human votes and another number of judge votes fails the job.
     """
     g = votes_by_game(votes).filter(F.col("judge_group").isNotNull())
     cls = F.when(F.col("winner").contains("tie"), "tie").otherwise(F.col("winner"))
@@ -206,6 +215,12 @@ def judge_agreement(votes: DataFrame, judge: str = "author", other: str = "human
     counts = (g.groupBy(*key, cls.alias("cls"))
               .agg(F.count(F.when(F.col("judge_group") == judge, 1)).alias("nj"),
                    F.count(F.when(F.col("judge_group") == other, 1)).alias("nh")))
+    if judge.startswith("gpt4"):
+        votes_here = F.sum("nj").over(Window.partitionBy(*key))
+        humans_here = F.sum("nh").over(Window.partitionBy(*key))
+        twice = (votes_here > 1) & (humans_here > 0)
+        counts = counts.withColumn("nj", F.when(twice, F.raise_error(F.concat(
+            F.lit("more than one judge vote on question "), F.col("question_id").cast("string"))).cast("long")).otherwise(F.col("nj")))
     nt = F.col("cls") != "tie"
     nj_nt, nh_nt = F.when(nt, F.col("nj")).otherwise(0), F.when(nt, F.col("nh")).otherwise(0)
     # both variants (ties kept / ties banned) in one pass of conditional sums
@@ -269,7 +284,7 @@ def match_all_pairs(questions: DataFrame, answers: DataFrame, models: list[str])
     """
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
     arr = F.array(*[F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2")) for a, b in pairs])
-    q = questions.select("question_id", F.inline(arr))
+    q = questions.select("*", F.inline(arr))
     a1 = answers.select("question_id", F.col("model_id").alias("model_1"), F.col("choices").alias("answer_1"))
     a2 = answers.select("question_id", F.col("model_id").alias("model_2"), F.col("choices").alias("answer_2"))
     return q.join(a1, ["question_id", "model_1"]).join(a2, ["question_id", "model_2"])
@@ -282,14 +297,113 @@ def question_preview(questions: DataFrame, width: int = 128) -> DataFrame:
     return questions.select("category", "question_id", text.alias("preview"))
 
 
-def explanation_view(pair: DataFrame, model_a: str, model_b: str) -> DataFrame:
-    """Judgment text per game oriented to (model_a, model_b); 'N/A' when missing."""
+# ---- fixed values: layout of an explanation -------------------------------
+EXPLANATION_GAME = "**Game {n}**. **A**: {a}, **B**: {b}\n\n**Judgment**: "
+EXPLANATION_RULE = "\n\n`--------------------------`\n\n"
+NO_EXPLANATION = "N/A"
+# ---------------------------------------------------------------------------
+
+
+def explanation_view(games: DataFrame, judgments: DataFrame, model_a: str, model_b: str) -> DataFrame:
+    """Both games' judgment texts for (question_id, turn) of ``games``, shown with ``model_a`` as A in game 1.
+
+    ``judgments`` is D6's output with texts; a game without a judgment reads 'N/A'.
+    """
     lo, hi = sorted([model_a, model_b])
-    keyed = pair.filter((F.col("model_lo") == lo) & (F.col("model_hi") == hi))
-    flip = model_a != lo
-    w = F.col("winner")
-    return keyed.select("question_id", "turn", F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"),
-                        F.coalesce(_reverse(w) if flip else w, F.lit("N/A")).alias("winner"))
+    g1, g2 = ("g1_judgment", "g2_judgment") if model_a == lo else ("g2_judgment", "g1_judgment")
+    own = judgments.filter((F.col("model_lo") == lo) & (F.col("model_hi") == hi)).select(
+        "question_id", "turn", F.col(g1).alias("_g1"), F.col(g2).alias("_g2"))
+    head = [F.lit(EXPLANATION_GAME.format(n=n, a=a, b=b)) for n, a, b in ((1, model_a, model_b), (2, model_b, model_a))]
+    text = F.concat(head[0], F.col("_g1"), F.lit(EXPLANATION_RULE), head[1], F.col("_g2"))
+    return (games.select("question_id", "turn").join(own, ["question_id", "turn"], "left")
+            .select("question_id", "turn", F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"),
+                    F.coalesce(text, F.lit(NO_EXPLANATION)).alias("explanation")))
+
+
+def single_explanation_view(games: DataFrame, judgments: DataFrame, model: str) -> DataFrame:
+    """P40 (single grading): score and judgment text of ``model`` per (question_id, turn); 'N/A' without one."""
+    own = judgments.filter(F.col("model") == model).select("question_id", "turn", F.col("score").alias("_s"), F.col("judgment").alias("_j"))
+    text = F.concat(F.lit(f"**Game 1**. **A**: {model}, **Score**: "), F.col("_s").cast("string"),
+                    F.lit("\n\n**Judgment**: "), F.col("_j"))
+    return (games.select("question_id", "turn").join(own, ["question_id", "turn"], "left")
+            .select("question_id", "turn", F.lit(model).alias("model"), F.coalesce(text, F.lit(NO_EXPLANATION)).alias("explanation")))
+
+
+# ------------------------------------------------------------- judge runs
+def attach_references(matches: DataFrame, references: DataFrame) -> DataFrame:
+    """Reference answers (question_id, turns array) for questions of the categories that need one, else null."""
+    ref = references.select("question_id", F.col("turns").alias("reference_turns"))
+    need = F.col("category").isin(*NEED_REF_CATS)
+    return matches.join(ref, "question_id", "left").withColumn(
+        "reference_turns", F.when(need, F.col("reference_turns")))
+
+
+def missing_references(questions: DataFrame, references: DataFrame) -> DataFrame:
+    """Questions that need a reference answer and have none."""
+    need = questions.filter(F.col("category").isin(*NEED_REF_CATS)).select("question_id")
+    return need.join(references.select("question_id"), "question_id", "left_anti")
+
+
+def render_prompt(template: Column, values: dict[str, Column]) -> Column:
+    """fill ``{name}`` placeholders of a template column in one pass (values are never searched again)."""
+    parts = F.split(template, r"(?=\{[a-z0-9_]+\})|(?<=\})", -1)
+    filled = F.create_map(*[x for k, v in values.items() for x in (F.lit("{" + k + "}"), v)])
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at(filled, p), p)), "")
+
+
+def _values(first: Column, second: Column | None, ref: Column, multi: bool) -> dict[str, Column]:
+    """Placeholder values of a match: ``first`` / ``second`` are answer turn arrays, ``ref`` the reference's."""
+    q, names = F.col("turns"), {}
+    sides = [("answer", first)] if second is None else [("answer_a", first), ("answer_b", second)]
+    if multi:
+        names |= {"question_1": q[0], "question_2": q[1]}
+        for n, side in sides:
+            names |= {f"{n}_1": side[0], f"{n}_2": side[1]}
+    else:
+        names |= {"question": q[0]} | {n: side[0] for n, side in sides}
+    return names | {"ref_answer_1": ref[0], "ref_answer_2": ref[1]}
+
+
+def judge_pairs(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, **call) -> DataFrame:
+    """Play both games of every match against a judge (the hook of ``llm_map``) and write the judgment rows.
+
+    ``matches``: question_id, category, turns, model_1, model_2, answer_1, answer_2 (turn arrays),
+    reference_turns.  ``prompts``: name, system_prompt, prompt_template (S5).  Game 1 shows model_1
+    as A, game 2 model_2.  Output: question_id, model_1, model_2, turn, judge_prompt, both winners,
+    prompts and judgments.
+    """
+    from coheral.operators.external import llm_map
+
+    need = F.col("category").isin(*NEED_REF_CATS)
+    name = F.concat(F.when(need, F.lit("pair-math-v1")).otherwise(F.lit("pair-v2")), F.lit("-multi-turn" if multi_turn else ""))
+    m = matches.withColumn("judge_prompt", name).join(
+        prompts.select(F.col("name").alias("judge_prompt"), "system_prompt", "prompt_template"), "judge_prompt")
+    ref = F.col("reference_turns")
+    game = lambda n, a, b: F.struct(F.lit(n).alias("game"), F.concat(
+        F.col("system_prompt"), F.lit("\n\n"), render_prompt(F.col("prompt_template"), _values(F.col(a), F.col(b), ref, multi_turn))).alias("prompt"))
+    games = m.select("question_id", "model_1", "model_2", "judge_prompt",
+                     F.explode(F.array(game(1, "answer_1", "answer_2"), game(2, "answer_2", "answer_1"))).alias("g")).select(
+        "question_id", "model_1", "model_2", "judge_prompt", "g.*")
+    played = llm_map(games, "prompt", fn, out_col="judgment", **call)
+    one = lambda c, n: F.max(F.when(F.col("game") == n, F.col(c)))
+    out = played.groupBy("question_id", "model_1", "model_2", "judge_prompt").agg(
+        *[one(c, n).alias(f"g{n}_{o}") for n in (1, 2) for c, o in (("prompt", "user_prompt"), ("judgment", "judgment"))])
+    g1, g2 = map_positions(parse_pair_verdict("g1_judgment"), parse_pair_verdict("g2_judgment"))
+    return out.withColumns({"turn": F.lit(2 if multi_turn else 1), "g1_winner": g1, "g2_winner": g2})
+
+
+def judge_singles(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, **call) -> DataFrame:
+    """X4 (single grading): one call per (question, model answer); the score is parsed from the reply (-1: none)."""
+    from coheral.operators.external import llm_map
+
+    need = F.col("category").isin(*NEED_REF_CATS)
+    name = F.concat(F.when(need, F.lit("single-math-v1")).otherwise(F.lit("single-v1")), F.lit("-multi-turn" if multi_turn else ""))
+    m = matches.withColumn("judge_prompt", name).join(
+        prompts.select(F.col("name").alias("judge_prompt"), "system_prompt", "prompt_template"), "judge_prompt")
+    text = F.concat(F.col("system_prompt"), F.lit("\n\n"), render_prompt(
+        F.col("prompt_template"), _values(F.col("answer"), None, F.col("reference_turns"), multi_turn)))
+    played = llm_map(m.select("question_id", "model_id", "judge_prompt", text.alias("user_prompt")), "user_prompt", fn, out_col="judgment", **call)
+    return played.withColumns({"turn": F.lit(2 if multi_turn else 1), "score": parse_single_score("judgment")})
 
 
 def judge_stats(matches: DataFrame, model: str = "model_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coheral.operators import judge as J
+from coheral.operators.external import stub_judge
 from coheral.plans.metric_queries import _r
 from coheral.plans.oracle_fixtures import with_fixtures
 from coheral.plans.registry import query
@@ -120,16 +121,20 @@ def q_pairwise_results_baseline(spark, sf_dir):
 
 @query("judgments_last_by_game", "D6 A20", with_fixtures("""
 WITH r AS (SELECT turn, question_id, model_1, model_2, min(ord) AS first_ord, max(ord) AS src_ord,
-                  arg_max(CASE WHEN g1_winner = g2_winner THEN g1_winner ELSE 'inconsistent' END, ord) AS w
+                  arg_max(CASE WHEN g1_winner = g2_winner THEN g1_winner ELSE 'inconsistent' END, ord) AS w,
+                  arg_max(g1_judgment, ord) AS j1, arg_max(g2_judgment, ord) AS j2
            FROM pair_judgments GROUP BY turn, question_id, model_1, model_2),
 n AS (SELECT turn, question_id, CASE WHEN model_1 >= model_2 THEN model_2 ELSE model_1 END AS model_lo,
              CASE WHEN model_1 >= model_2 THEN model_1 ELSE model_2 END AS model_hi,
              CASE WHEN model_1 >= model_2 THEN (CASE w WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1'
-                  ELSE w END) ELSE w END AS winner, first_ord, src_ord FROM r)
-SELECT turn, question_id, model_lo, model_hi, arg_max(winner, first_ord) AS winner, arg_max(src_ord, first_ord) AS src_ord
+                  ELSE w END) ELSE w END AS winner, first_ord, src_ord,
+             CASE WHEN model_1 >= model_2 THEN j2 ELSE j1 END AS j1, CASE WHEN model_1 >= model_2 THEN j1 ELSE j2 END AS j2 FROM r)
+SELECT turn, question_id, model_lo, model_hi, arg_max(winner, first_ord) AS winner, arg_max(src_ord, first_ord) AS src_ord,
+       arg_max(j1, first_ord) AS g1_judgment, arg_max(j2, first_ord) AS g2_judgment
 FROM n GROUP BY turn, question_id, model_lo, model_hi""", "pair_judgments"))
 def q_judgments_last_by_game(spark, sf_dir):
-    return J.judgments_last_by_game(fx.pair_judgments(_t(spark, sf_dir)))
+    g = J.judgments_last_by_game(fx.pair_judgments(_t(spark, sf_dir)))
+    return g.select("turn", "question_id", "model_lo", "model_hi", "winner", "src_ord", "g1_judgment", "g2_judgment")
 
 
 _MODELS8 = [f"m{i}" for i in range(8)]
@@ -168,19 +173,20 @@ def q_missing_models(spark, sf_dir):
     "SELECT question_id, turn, least(model_a, model_b) AS model_lo, greatest(model_a, model_b) AS model_hi, "
     "CASE WHEN model_a >= model_b THEN (CASE winner WHEN 'model_a' THEN 'model_b' WHEN 'model_b' THEN 'model_a' "
     "ELSE winner END) ELSE winner END AS winner, CASE WHEN starts_with(judge, 'expert') THEN 'human' "
-    "WHEN starts_with(judge, 'author') THEN 'author' END AS judge_group, ord FROM human_votes", "human_votes"))
+    "WHEN starts_with(judge, 'author') THEN 'author' WHEN starts_with(judge, 'gpt-4:pair') THEN 'gpt4-pair' END AS judge_group, "
+    "ord FROM judge_votes", "judge_votes"))
 def q_votes_by_game(spark, sf_dir):
-    return J.votes_by_game(fx.human_votes(_t(spark, sf_dir)))
+    return J.votes_by_game(fx.judge_votes(_t(spark, sf_dir)))
 
 
 _AGREE_SQL = with_fixtures("""
 WITH v AS (SELECT turn, question_id, least(model_a, model_b) AS lo, greatest(model_a, model_b) AS hi,
                   CASE WHEN model_a >= model_b THEN (CASE winner WHEN 'model_a' THEN 'model_b' WHEN 'model_b'
                        THEN 'model_a' ELSE winner END) ELSE winner END AS w,
-                  CASE WHEN starts_with(judge, 'expert') THEN 'human' WHEN starts_with(judge, 'author') THEN 'author'
-                  END AS g FROM human_votes),
+                  CASE WHEN starts_with(judge, 'expert') THEN 'human' WHEN starts_with(judge, 'gpt-4:pair')
+                  THEN 'gpt4-pair' END AS g FROM judge_votes),
 c AS (SELECT turn, question_id, lo, hi, CASE WHEN contains(w, 'tie') THEN 'tie' ELSE w END AS cls,
-             COUNT(CASE WHEN g = 'author' THEN 1 END) AS nj, COUNT(CASE WHEN g = 'human' THEN 1 END) AS nh
+             COUNT(CASE WHEN g = 'gpt4-pair' THEN 1 END) AS nj, COUNT(CASE WHEN g = 'human' THEN 1 END) AS nh
       FROM v WHERE g IS NOT NULL GROUP BY ALL),
 t AS (SELECT true AS with_tie UNION ALL SELECT false),
 pg AS (SELECT turn, with_tie, question_id, lo, hi, SUM(nj * nh) AS ja, SUM(nj) * SUM(nh) AS jt,
@@ -188,15 +194,15 @@ pg AS (SELECT turn, with_tie, question_id, lo, hi, SUM(nj * nh) AS ja, SUM(nj) *
        FROM c JOIN t ON (t.with_tie OR c.cls <> 'tie') GROUP BY turn, with_tie, question_id, lo, hi),
 a AS (SELECT turn, with_tie, CAST(SUM(ja) AS BIGINT) AS ja, CAST(SUM(jt) AS BIGINT) AS jt,
              CAST(SUM(ha) AS BIGINT) AS ha, CAST(SUM(ht) AS BIGINT) AS ht FROM pg GROUP BY turn, with_tie)
-SELECT turn, with_tie, 'author_vs_human' AS pair, ja AS agree, jt AS total,
+SELECT turn, with_tie, 'gpt4-pair_vs_human' AS pair, ja AS agree, jt AS total,
        round(CASE WHEN jt > 0 THEN ja / jt END, 6) AS ratio FROM a
 UNION ALL
-SELECT turn, with_tie, 'human_vs_human', ha, ht, round(CASE WHEN ht > 0 THEN ha / ht END, 6) FROM a""", "human_votes")
+SELECT turn, with_tie, 'human_vs_human', ha, ht, round(CASE WHEN ht > 0 THEN ha / ht END, 6) FROM a""", "judge_votes")
 
 
 @query("judge_agreement", "A21 J13 J14", _AGREE_SQL)
 def q_judge_agreement(spark, sf_dir):
-    return _r(J.judge_agreement(fx.human_votes(_t(spark, sf_dir))))
+    return _r(J.judge_agreement(fx.judge_votes(_t(spark, sf_dir))))
 
 
 @query("question_preview", "P43", with_fixtures(
@@ -258,17 +264,74 @@ def q_check_completeness(spark, sf_dir):
 
 
 @query("explanation_view", "P40", with_fixtures("""
-WITH r AS (SELECT turn, question_id, model_1, model_2, min(ord) AS first_ord,
-                  arg_max(CASE WHEN g1_winner = g2_winner THEN g1_winner ELSE 'inconsistent' END, ord) AS w
-           FROM pair_judgments GROUP BY turn, question_id, model_1, model_2),
-n AS (SELECT turn, question_id, least(model_1, model_2) AS model_lo, greatest(model_1, model_2) AS model_hi,
-             CASE WHEN model_1 >= model_2 THEN (CASE w WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1'
-                  ELSE w END) ELSE w END AS winner, first_ord FROM r),
-g AS (SELECT turn, question_id, model_lo, model_hi, arg_max(winner, first_ord) AS winner FROM n
-      GROUP BY turn, question_id, model_lo, model_hi)
-SELECT question_id, turn, 'm3' AS model_a, 'm1' AS model_b,
-       coalesce(CASE winner WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE winner END, 'N/A') AS winner
-FROM g WHERE model_lo = 'm1' AND model_hi = 'm3'""", "pair_judgments"))
+WITH r AS (SELECT turn, question_id, model_1, model_2, min(ord) AS first_ord, arg_max(g1_judgment, ord) AS j1,
+                  arg_max(g2_judgment, ord) AS j2 FROM pair_judgments GROUP BY turn, question_id, model_1, model_2),
+n AS (SELECT turn, question_id, first_ord, CASE WHEN model_1 = 'm3' THEN j1 ELSE j2 END AS as_a,
+             CASE WHEN model_1 = 'm3' THEN j2 ELSE j1 END AS as_b FROM r
+      WHERE (model_1 = 'm3' AND model_2 = 'm1') OR (model_1 = 'm1' AND model_2 = 'm3')),
+g AS (SELECT turn, question_id, arg_max(as_a, first_ord) AS g1, arg_max(as_b, first_ord) AS g2 FROM n GROUP BY turn, question_id)
+SELECT q.question_id, 1 AS turn, 'm3' AS model_a, 'm1' AS model_b, coalesce('**Game 1**. **A**: m3, **B**: m1' || chr(10) || chr(10) ||
+       '**Judgment**: ' || g.g1 || chr(10) || chr(10) || '`--------------------------`' || chr(10) || chr(10) ||
+       '**Game 2**. **A**: m1, **B**: m3' || chr(10) || chr(10) || '**Judgment**: ' || g.g2, 'N/A') AS explanation
+FROM questions q LEFT JOIN g ON g.question_id = q.question_id AND g.turn = 1""", "pair_judgments", "questions"))
 def q_explanation_view(spark, sf_dir):
-    g = J.judgments_last_by_game(fx.pair_judgments(_t(spark, sf_dir)))
-    return J.explanation_view(g, "m3", "m1")
+    t = _t(spark, sf_dir)
+    games = fx.questions(t).select("question_id", F.lit(1).alias("turn"))
+    return J.explanation_view(games, J.judgments_last_by_game(fx.pair_judgments(t)), "m3", "m1")
+
+
+_REF_SQL = ("refs AS (SELECT question_id, list_transform(turns, lambda x: 'Reference for: ' || x) AS turns FROM questions "
+            "WHERE question_id % 4 <> 0)")
+_HEAD = "CASE WHEN q.category = 'math' THEN 'Reference: ' || coalesce(r.turns[1], '{ref_answer_1}') || chr(10) ELSE '' END"
+
+
+def _verdict(h: str) -> str:
+    return f"CASE WHEN {h}[1] < '6' THEN 'A' WHEN {h}[1] < 'c' THEN 'B' WHEN {h}[1] < 'f' THEN 'tie' ELSE 'error' END"
+
+
+@query("judge_run_pairs", "X4 F12 J6 J7 X1", with_fixtures(f"""
+WITH {_REF_SQL}, m AS (
+  SELECT q.question_id, a.model_id AS model_1, b.model_id AS model_2,
+         CASE WHEN q.category = 'math' THEN 'pair-math-v1' ELSE 'pair-v2' END AS judge_prompt,
+         'Compare the two answers.' || chr(10) || chr(10) || {_HEAD} || 'Q: ' || q.turns[1] || chr(10) || 'A: ' AS head,
+         a.model_id || ' says: ' || q.turns[1] AS x, b.model_id || ' says: ' || q.turns[1] AS y
+  FROM questions q JOIN answers a ON a.question_id = q.question_id JOIN answers b ON b.question_id = q.question_id
+       AND a.model_id < b.model_id LEFT JOIN refs r ON r.question_id = q.question_id
+  WHERE a.model_id IN ('m0', 'm1', 'm2', 'm3', 'm4', 'm5') AND b.model_id IN ('m0', 'm1', 'm2', 'm3', 'm4', 'm5')),
+p AS (SELECT *, head || x || chr(10) || 'B: ' || y AS p1, head || y || chr(10) || 'B: ' || x AS p2 FROM m),
+v AS (SELECT *, {_verdict("md5(p1)")} AS v1, {_verdict("md5(p2)")} AS v2 FROM p)
+SELECT question_id, model_1, model_2, judge_prompt, 1 AS turn, md5(p1) AS g1_md5, md5(p2) AS g2_md5,
+       CASE v1 WHEN 'A' THEN 'model_1' WHEN 'B' THEN 'model_2' ELSE v1 END AS g1_winner,
+       CASE v2 WHEN 'A' THEN 'model_2' WHEN 'B' THEN 'model_1' ELSE v2 END AS g2_winner FROM v""", "answers"))
+def q_judge_run_pairs(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = J.match_all_pairs(fx.questions(t), fx.answers(t), _PAIR_MODELS)
+    m = m.select("question_id", "category", "turns", "model_1", "model_2",
+                 F.col("answer_1")[0]["turns"].alias("answer_1"), F.col("answer_2")[0]["turns"].alias("answer_2"))
+    out = J.judge_pairs(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge)
+    return out.select("question_id", "model_1", "model_2", "judge_prompt", "turn", F.md5("g1_user_prompt").alias("g1_md5"),
+                      F.md5("g2_user_prompt").alias("g2_md5"), "g1_winner", "g2_winner")
+
+
+@query("judge_run_singles", "X4 F12 J8 X1", with_fixtures(f"""
+WITH {_REF_SQL}, p AS (
+  SELECT q.question_id, a.model_id, CASE WHEN q.category = 'math' THEN 'single-math-v1' ELSE 'single-v1' END || '-multi-turn' AS judge_prompt,
+         'Grade the answer.' || chr(10) || chr(10) || {_HEAD} || 'Q1: ' || q.turns[1] || chr(10) || 'A1: ' || a.model_id || ' says: ' ||
+         q.turns[1] || chr(10) || 'Q2: ' || q.turns[2] || chr(10) || 'A2: ' || a.model_id || ' says: ' || q.turns[2] AS prompt
+  FROM questions q JOIN answers a ON a.question_id = q.question_id LEFT JOIN refs r ON r.question_id = q.question_id
+  WHERE len(q.turns) >= 2)
+SELECT question_id, model_id, judge_prompt, 2 AS turn, md5(prompt) AS prompt_md5,
+       CAST((strpos('0123456789abcdef', md5(prompt)[2]) - 1) % 10 + 1 AS DOUBLE) AS score FROM p""", "answers"))
+def q_judge_run_singles(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = J.match_single(fx.questions(t), fx.answers(t)).filter(F.size("turns") >= 2)
+    m = m.select("question_id", "category", "turns", "model_id", F.col("choices")[0]["turns"].alias("answer"))
+    out = J.judge_singles(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge, multi_turn=True)
+    return out.select("question_id", "model_id", "judge_prompt", "turn", F.md5("user_prompt").alias("prompt_md5"), "score")
+
+
+@query("missing_references", "J9", with_fixtures(
+    "SELECT question_id FROM questions WHERE category = 'math' AND question_id % 4 = 0", "questions"))
+def q_missing_references(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.missing_references(fx.questions(t), fx.reference_answers(t))

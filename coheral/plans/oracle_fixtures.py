@@ -29,7 +29,7 @@ FIXTURE_SQL = {
     "pair_judgments": "SELECT o_orderkey AS ord, o_orderkey % (SELECT COUNT(*) FROM benchmark) + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
                       "AS model_1, 'm' || CAST((o_custkey + 1 + o_orderkey % 5) % 6 AS VARCHAR) AS model_2, "
                       "CASE o_orderkey % 7 WHEN 0 THEN 'tie' WHEN 1 THEN 'error' WHEN 2 THEN 'model_2' WHEN 3 THEN "
-                      "'model_2' ELSE 'model_1' END AS g1_winner, CASE o_orderkey % 5 WHEN 0 THEN 'tie' WHEN 1 THEN "
+                      "'model_2' ELSE 'model_1' END AS g1_winner, 'first game of ' || CAST(o_orderkey AS VARCHAR) AS g1_judgment, 'second game of ' || CAST(o_orderkey AS VARCHAR) AS g2_judgment, CASE o_orderkey % 5 WHEN 0 THEN 'tie' WHEN 1 THEN "
                       "'model_2' ELSE 'model_1' END AS g2_winner, CAST(1 + o_orderkey % 2 AS INT) AS turn FROM orders",
     "human_votes": "SELECT o_orderkey AS ord, o_orderkey % (SELECT COUNT(*) FROM benchmark) + 1 AS question_id, 'm' || CAST(o_custkey % 6 AS VARCHAR) "
                    "AS model_a, 'm' || CAST((o_custkey + 1 + o_orderkey % 5) % 6 AS VARCHAR) AS model_b, "
@@ -37,6 +37,12 @@ FIXTURE_SQL = {
                    "ELSE 'tie (bothbad)' END AS winner, CASE WHEN o_custkey % 9 = 0 THEN 'author_0' "
                    "ELSE 'expert_' || CAST(o_custkey % 9 AS VARCHAR) END AS judge, CAST(1 + o_orderkey % 2 AS INT) "
                    "AS turn FROM orders",
+    "judge_votes": "SELECT ord, question_id, model_a, model_b, winner, judge, turn FROM human_votes UNION ALL "
+                   "SELECT max(ord), question_id, least(model_1, model_2), greatest(model_1, model_2), arg_max(CASE "
+                   "WHEN g1_winner <> g2_winner THEN 'tie (inconsistent)' WHEN g1_winner IN ('model_1', 'model_2') THEN "
+                   "CASE WHEN (g1_winner = 'model_1') = (model_1 <= model_2) THEN 'model_a' ELSE 'model_b' END ELSE 'tie' "
+                   "END, ord), 'gpt-4:pair-v2', turn FROM pair_judgments GROUP BY question_id, turn, "
+                   "least(model_1, model_2), greatest(model_1, model_2)",
     "judge_outputs": "SELECT event_id AS ord, CASE WHEN event_id % 6 = 0 THEN 'Clear and correct. Rating: [[' || "
                      "CAST(1 + event_id % 10 AS VARCHAR) || ']]' WHEN event_id % 6 = 1 THEN 'Rating: [' || "
                      "CAST(1 + event_id % 10 AS VARCHAR) || ']' WHEN event_id % 6 = 2 THEN 'A is better [[A]]' "
@@ -64,7 +70,7 @@ FIXTURE_SQL = {
 }
 
 # dependencies between fixture CTEs
-DEPS = {"essay_sents": ["essays"], "answers": ["single_judgments", "questions"]}
+DEPS = {"judge_votes": ["human_votes", "pair_judgments"], "essay_sents": ["essays"], "answers": ["single_judgments", "questions"]}
 
 
 def with_fixtures(body: str, *names: str) -> str:

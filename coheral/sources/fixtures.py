@@ -117,6 +117,8 @@ def pair_judgments(t: Tables) -> DataFrame:
         k.alias("ord"), (k % _n_questions(t) + 1).alias("question_id"), m1.alias("model_1"), m2.alias("model_2"),
         F.when(k % 7 == 0, "tie").when(k % 7 == 1, "error").when(k % 7 == 2, "model_2")
          .when(k % 7 == 3, "model_2").otherwise("model_1").alias("g1_winner"),
+        F.concat(F.lit("first game of "), k.cast("string")).alias("g1_judgment"),
+        F.concat(F.lit("second game of "), k.cast("string")).alias("g2_judgment"),
         F.when(k % 5 == 0, "tie").when(k % 5 == 1, "model_2").otherwise("model_1").alias("g2_winner"),
         (F.lit(1) + k % 2).cast("int").alias("turn"))
 
@@ -134,6 +136,42 @@ def human_votes(t: Tables) -> DataFrame:
         (F.lit(1) + k % 2).cast("int").alias("turn"))
 
 
+def judge_votes(t: Tables) -> DataFrame:
+    """Votes for judge agreement: the human votes and one vote of the model judge per game (its last judgment)."""
+    p = pair_judgments(t)
+    first = F.col("model_1") <= F.col("model_2")
+    w = (F.when(F.col("g1_winner") != F.col("g2_winner"), "tie (inconsistent)")
+         .when(F.col("g1_winner") == "model_1", F.when(first, "model_a").otherwise("model_b"))
+         .when(F.col("g1_winner") == "model_2", F.when(first, "model_b").otherwise("model_a")).otherwise("tie"))
+    model = (p.withColumn("w", w).groupBy("question_id", "turn", F.least("model_1", "model_2").alias("model_a"),
+                                          F.greatest("model_1", "model_2").alias("model_b"))
+             .agg(F.max("ord").alias("ord"), F.max_by("w", "ord").alias("winner")).withColumn("judge", F.lit("gpt-4:pair-v2")))
+    return human_votes(t).unionByName(model.select(human_votes(t).columns))
+
+
+def judge_prompts(t: Tables) -> DataFrame:
+    """Judge prompts (S5's columns) with short wording of our own."""
+    rows = []
+    for ref in ("", "-math"):
+        for multi in ("", "-multi-turn"):
+            extra = "Reference: {ref_answer_1}\n" if ref else ""
+            if multi:
+                pair = "Q1: {question_1}\nA1: {answer_a_1}\nB1: {answer_b_1}\nQ2: {question_2}\nA2: {answer_a_2}\nB2: {answer_b_2}"
+                single = "Q1: {question_1}\nA1: {answer_1}\nQ2: {question_2}\nA2: {answer_2}"
+            else:
+                pair, single = "Q: {question}\nA: {answer_a}\nB: {answer_b}", "Q: {question}\nA: {answer}"
+            rows.append((f"pair{ref}-v{1 if ref else 2}{multi}", "Compare the two answers.", extra + pair))
+            rows.append((f"single{ref}-v1{multi}", "Grade the answer.", extra + single))
+    return t.spark.createDataFrame(rows, "name string, system_prompt string, prompt_template string")
+
+
+def reference_answers(t: Tables) -> DataFrame:
+    """Reference answers for three quarters of the questions."""
+    q = questions(t)
+    return q.filter(F.col("question_id") % 4 != 0).select(
+        "question_id", F.transform("turns", lambda x: F.concat(F.lit("Reference for: "), x)).alias("turns"))
+
+
 def judge_outputs(t: Tables) -> DataFrame:
     e = t.events
     i = F.col("event_id")
