@@ -161,3 +161,14 @@ def temperature(category, force=None, required=None, default: float = 0.7) -> Co
     parts = [p for p in (force, required) if p is not None]
     return F.coalesce(*[F.lit(float(p)) if not isinstance(p, Column) else p for p in parts],
                       F.try_element_at(cfg, col_(category)), F.lit(float(default)))
+
+
+def parse_flag_map(text: Column) -> Column:
+    """a map of flags written as text ("{'sent0': True, 'sent1': False}") -> map<string, boolean>; null if malformed."""
+    json = F.replace(F.replace(F.replace(text, F.lit("'"), F.lit('"')), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false"))
+    return F.from_json(json, "map<string,boolean>")
+
+
+def parse_list(text: Column, element: str = "int") -> Column:
+    """a list written as text ("[1, 2]" or "['a']") -> array; null if malformed."""
+    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), f"array<{element}>")

@@ -20,7 +20,7 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 # ---- fixed values of the reference's retry policies ---------------------------
 API_MAX_RETRY = 16
@@ -116,26 +116,48 @@ def llm_map(df: DataFrame, prompt_col: str, fn: Callable[[str], str] = stub_mode
     return df.mapInPandas(run, schema)
 
 
-def moderation_tag(df: DataFrame, text_col: str, fn: Callable[[str], bool] | None = None,
+# ---- fixed values: marks that the offline moderation default looks for ----------
+MODERATION_MARKS = ["<redacted>", "<anonymized>"]
+# ---------------------------------------------------------------------------
+
+
+def moderation_tag(df: DataFrame, text_col: str, fn: Callable[[str], dict] | None = None,
                    conservative: bool = True) -> DataFrame:
-    """Moderation flag per row; a failing call is flagged (serving) or null (batch)."""
-    f = fn or (lambda t: "<redacted>" in t or "<anonymized>" in t)
-    schema = StructType(list(df.schema.fields) + [StructField("flagged", BooleanType())])
+    """``df`` with flagged, categories (array of names) and error.
+
+    The offline default is a column expression over MODERATION_MARKS.  With ``fn`` (text ->
+    {"flagged": bool, "categories": [...]}) a failing call gives its message in ``error`` and
+    counts as flagged (serving, ``conservative``) or null (batch).
+    """
+    if fn is None:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        found = F.array_compact(F.array(*[F.when(text.contains(m), m.strip("<>")) for m in MODERATION_MARKS]))
+        return df.withColumns({"flagged": F.size(found) > 0, "categories": found, "error": F.lit(None).cast("string")})
+    schema = StructType([*df.schema.fields, StructField("flagged", BooleanType()),
+                         StructField("categories", ArrayType(StringType())), StructField("error", StringType())])
+
+    def one(text):
+        try:
+            got = fn(text or "")
+            return bool(got["flagged"]), list(got.get("categories", [])), None
+        except Exception as e:  # noqa: BLE001 -- any client error becomes a value
+            return (True if conservative else None), [], str(e)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for t in pdf[text_col].tolist():
-                try:
-                    out.append(bool(f(t or "")))
-                except Exception:  # noqa: BLE001
-                    out.append(True if conservative else None)
-            pdf["flagged"] = out
+            rows = [one(t) for t in pdf[text_col].tolist()]
+            for k, c in enumerate(("flagged", "categories", "error")):
+                pdf[c] = [r[k] for r in rows]
             yield pdf
 
     return df.mapInPandas(run, schema)
 
 
+def tags_per_message(tagged: DataFrame, conv: str = "conv_id", turn: str = "turn", tag: str = "flagged") -> DataFrame:
+    """One array of message tags per conversation, in turn order."""
+    return tagged.groupBy(conv).agg(F.transform(F.sort_array(F.collect_list(F.struct(turn, tag))), lambda x: x[tag]).alias("tags"))
+
+
 def hashed_embedding(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "embedding") -> DataFrame:
     """X6 offline default: L2-normalised hashed bag of lower-cased words (MLlib HashingTF + Normalizer, JVM side)."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer

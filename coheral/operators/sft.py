@@ -25,6 +25,40 @@ DETECTION_TEMPLATE = (
     "and \nd) the new sentence S does not contradict or is not inconsistent with previously presented information "
     "in C, and \ne) the new sentence S introduces information that is relevant to the context C established by the "
     "writer. Now, please generate: \nC: {context} \nS: {sentence} \n")
+COHESION_TEMPLATE = (
+    "You are about to perform the task of cohesion detection for the sentences written by second-language English "
+    "learners. In this task, given a sentence S that is incoherent with a context C, you need to output 1 if S is "
+    "incoherent with C because of a lack of cohesion based on the following instructions; otherwise, output 0. You "
+    "should output 1 only if: \na) sentence S does not connect semantically with context C, or \nb) sentence S "
+    "discusses an entity that has not been introduced in C yet, or sentence S discusses an entity that is ambiguous "
+    "in C, or \nc) the relation between sentence S and previous ones in C doesn't make sense due to a missing "
+    "discourse marker. \nC: {context} \nS: {sentence} \nAnswer:")
+CONSISTENCY_TEMPLATE = (
+    "You are about to perform the task of consistency detection for the sentences written by second-language English "
+    "learners. In this task, given a sentence S that is incoherent with a context C, you need to output 1 if S "
+    "contradicts previously presented information in C; otherwise, output 0. \nC: {context} \nS: {sentence} \nAnswer:")
+RELEVANCE_TEMPLATE = (
+    "In this task, given a sentence S that is incoherent with a context C, you need to output 1 if S is incoherent "
+    "with C because of a lack of relevance based on the following instructions; otherwise, output 0. You should "
+    "output 1 only if: \na) sentence S introduces information that is completely irrelevant to context C, or \nb) "
+    "sentence S introduces information that is either tangential or slightly irrelevant to context C. \n"
+    "C: {context} \nS: {sentence} \nAnswer:")
+OTHER_TEMPLATE = (
+    "In this task, given a sentence S that is incoherent with a context C, you need to output 1 if S is incoherent "
+    "with C because of the disagreement between the topic and the comment of sentence S; otherwise, output 0. "
+    "Specifically, you should output 1 only if the comment of sentence S does not agree with the topic of the "
+    "sentence itself. \nC: {context} \nS: {sentence} \nAnswer:")
+REWRITING_TEMPLATE = (
+    "You are about to perform the task of sentence rewriting for the sentences written by second-language English "
+    "learners. In this task, given a sentence S and a context C, you need to rewrite sentence S to make it more "
+    "coherent with C. \nC: {context} \nS: {sentence} \nAnswer:")
+REWRITING_REASONS_TEMPLATE = (
+    "You are about to perform the task of sentence rewriting for the sentences written by second-language English "
+    "learners. In this task, given a sentence S and a context C, you need to rewrite sentence S to make it more "
+    "coherent with C according to the following instructions: {reason_texts}  \nC: {context} \nS: {sentence} \nAnswer:")
+TASK_TEMPLATES = {"detection": DETECTION_TEMPLATE, "cohesion": COHESION_TEMPLATE, "consistency": CONSISTENCY_TEMPLATE,
+                  "relevance": RELEVANCE_TEMPLATE, "other": OTHER_TEMPLATE, "rewriting": REWRITING_TEMPLATE,
+                  "rewriting_reasons": REWRITING_REASONS_TEMPLATE}
 TARGET_TEMPLATE = "Answer: {label}</s>"
 # Lexical substitution task (word SFT): prompt and target.
 WORD_TEMPLATE = (
@@ -55,6 +89,28 @@ CONV_TEMPLATES = {
     "one_shot_style": (VICUNA_SYSTEM, ("Human", "Assistant"), "ADD_COLON_SINGLE", "\n### ", None),
     "no_colon": ("", ("<|user|>", "<|assistant|>"), "NO_COLON_SINGLE", "<|end|>", None),
     "new_line": ("", ("user", "assistant"), "ADD_NEW_LINE_SINGLE", "\n", None),
+    "colon_space": (VICUNA_SYSTEM, ("USER", "ASSISTANT"), "ADD_COLON_SPACE_SINGLE", "\n", None),
+    "no_colon_two": ("", ("<human>:", "<bot>:"), "NO_COLON_TWO", " ", "</s>"),
+    "llama-2": ("", ("[INST]", "[/INST]"), "LLAMA2", " ", " </s><s>"),
+    "chatml": ("<|im_start|>system\nYou are a helpful assistant.", ("<|im_start|>user", "<|im_start|>assistant"), "CHATML", "<|im_end|>", None),
+    "robin": (VICUNA_SYSTEM, ("###Human", "###Assistant"), "ROBIN", "\n", None),
+    "phoenix": (VICUNA_SYSTEM, ("Human", "Assistant"), "PHOENIX", "", None),
+    "dolly": ("", ("### Instruction", "### Response"), "DOLLY", "\n\n", "### End"),
+}
+# style -> (head: how the system text opens the prompt; between role and message; after a role without a message;
+#           how a message ends: its separator, the separators in turn, or a fixed text)
+STYLES = {
+    "ADD_COLON_SINGLE": ("sep", ": ", ":", "{sep}"),
+    "ADD_COLON_TWO": ("sep", ": ", ":", "{turn}"),
+    "ADD_COLON_SPACE_SINGLE": ("sep", ": ", ": ", "{sep}"),
+    "NO_COLON_SINGLE": ("bare", "", "", "{sep}"),
+    "NO_COLON_TWO": ("bare", "", "", "{turn}"),
+    "ADD_NEW_LINE_SINGLE": ("sep if any", "\n", "\n", "{sep}"),
+    "LLAMA2": ("inst", " ", "", "{turn}"),
+    "CHATML": ("line if any", "\n", "\n", "{sep}\n"),
+    "ROBIN": ("sep", ":\n", ":\n", "{sep}"),
+    "PHOENIX": ("bare", ": <s>", ": <s>", "</s>"),
+    "DOLLY": ("bare", ":\n", ":\n", "{turn}"),
 }
 # ---------------------------------------------------------------------------
 
@@ -124,46 +180,81 @@ def render_conversation(conv: Column, template: str = "vicuna_v1.1", system: str
     """
     sys_msg, roles, style, sep, sep2 = CONV_TEMPLATES[template]
     sys_msg = sys_msg if system is None else system
-    r = lambda i: F.when(i % 2 == 0, F.lit(roles[0])).otherwise(F.lit(roles[1]))
-    s = lambda i: F.when(i % 2 == 0, F.lit(sep)).otherwise(F.lit(sep2 if sep2 is not None else sep))
-    has = lambda m: m["value"].isNotNull() & (F.length(m["value"]) > 0)
-    if style == "ADD_COLON_SINGLE":
-        head = sys_msg + sep
-        body = F.transform(conv, lambda m, i: F.when(has(m), F.concat(r(i), F.lit(": "), m["value"], F.lit(sep)))
-                           .otherwise(F.concat(r(i), F.lit(":"))))
-    elif style == "ADD_COLON_TWO":
-        head = sys_msg + sep
-        body = F.transform(conv, lambda m, i: F.when(has(m), F.concat(r(i), F.lit(": "), m["value"], s(i)))
-                           .otherwise(F.concat(r(i), F.lit(":"))))
-    elif style == "NO_COLON_SINGLE":
-        head = sys_msg
-        body = F.transform(conv, lambda m, i: F.when(has(m), F.concat(r(i), m["value"], F.lit(sep))).otherwise(r(i)))
-    elif style == "ADD_NEW_LINE_SINGLE":
-        head = "" if sys_msg == "" else sys_msg + sep
-        body = F.transform(conv, lambda m, i: F.when(has(m), F.concat(r(i), F.lit("\n"), m["value"], F.lit(sep)))
-                           .otherwise(F.concat(r(i), F.lit("\n"))))
-    else:
-        raise ValueError(style)
-    return F.concat(F.lit(head), F.array_join(body, ""))
+    opening, between, bare, ending = STYLES[style]
+    head = {"sep": sys_msg + sep, "bare": sys_msg, "sep if any": sys_msg and sys_msg + sep,
+            "line if any": sys_msg and sys_msg + sep + "\n", "inst": sys_msg or "[INST] "}[opening]
+    by_turn = lambda i, even, odd: F.when(i % 2 == 0, F.lit(even)).otherwise(F.lit(odd))
+    extra = "\n\n" if style == "DOLLY" else ""
+    ends = [ending.format(sep=sep, turn=x) for x in (sep, (sep if sep2 is None else sep2) + extra)]
+
+    def message(m: Column, i: Column) -> Column:
+        role = by_turn(i, *roles)
+        full = F.concat(role, F.lit(between), m["value"], by_turn(i, *ends))
+        if style == "LLAMA2":  # the head has opened the first instruction already
+            full = F.when(i == 0, F.concat(m["value"], F.lit(" "))).otherwise(full)
+        has = m["value"].isNotNull() & (F.length(m["value"]) > 0)
+        return F.when(has, full).otherwise(F.concat(role, F.lit(bare)))
+
+    return F.concat(F.lit(head), F.array_join(F.transform(conv, message), ""))
+
+
+def prompt_separators(template: str) -> tuple[str, str]:
+    """(separator after which a user turn begins, end of the instruction part of a turn)."""
+    _, roles, style, sep, sep2 = CONV_TEMPLATES[template]
+    answer = {"LLAMA2": " ", "CHATML": "\n"}.get(style, ": ")
+    user = sep2 if sep2 is not None else roles[0] + ": " if style == "ADD_COLON_SPACE_SINGLE" else sep
+    return user, roles[1] + answer
+
 
+# Tokens of the default counter: an end mark, a word, or one other visible character.  Cutting a text at
+# an end mark cuts no token, so that the lengths of turns add up.
+PIECE_PATTERN = r"</s>|\w+|[^\w\s]"
 
-def chat_sft_masks(chats: DataFrame, template: str = "vicuna_v1.1", token_len=None) -> DataFrame:
-    """Rendered text plus per-turn (start, length) token spans of the assistant replies to train on.
 
-    A leading assistant message is dropped first.  Spans are computed from
-    token counts of the rendered pieces (pluggable ``token_len``).
+def piece_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(PIECE_PATTERN))
+
+
+def chat_sft_masks(chats: DataFrame, template: str = "vicuna_v1.1", token_len=piece_count, max_length: int = 2048) -> DataFrame:
+    """Rendered text and the (start, length) token spans of the assistant replies to train on.
+
+    A leading assistant message is dropped first.  The text is cut into turns at the
+    user separator; of each turn the part up to the first assistant mark is masked.
+    Where the turns' lengths don't add up to the text's and it is not cut off by
+    ``max_length``, nothing is trained on (no spans, ``matched`` false).
     """
-    tl = token_len or word_count
     conv = F.col("conversations")
-    conv = F.when(F.size(conv) > 0, F.when(conv[0]["from"] != "human",
-                                           F.slice(conv, 2, F.greatest(F.size(conv) - 1, F.lit(1)))).otherwise(conv)) \
-        .otherwise(conv)
-    d = chats.withColumn("_conv", conv)
-    sys_msg, roles, style, sep, sep2 = CONV_TEMPLATES[template]
-    text = render_conversation(F.col("_conv"), template)
-    piece = F.transform("_conv", lambda m, i: F.struct(i.alias("i"), tl(m["value"]).alias("n")))
-    return d.select("id", text.alias("text"), piece.alias("token_counts"),
-                    F.filter(piece, lambda p: p["i"] % 2 == 1).alias("train_spans")).drop("_conv")
+    conv = F.when((F.size(conv) > 0) & (F.get(conv, F.lit(0))["from"] != "human"),
+                  F.slice(conv, 2, F.greatest(F.size(conv) - 1, F.lit(1)))).otherwise(conv)
+    user_sep, answer_sep = prompt_separators(template)
+    d = chats.select("id", conv.alias("_c")).select("id", render_conversation(F.col("_c"), template).alias("text"))
+    cut = F.split("text", re.escape(user_sep), -1)
+    stop = F.array_position(cut, "")  # the first empty turn ends the walk
+    kept = F.when(stop > 0, F.slice(cut, F.lit(1), (stop - 1).cast("int"))).otherwise(cut)
+    turns = F.transform(kept, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.lit(user_sep), t)))
+    d = d.withColumn("_turns", turns)
+    sizes = F.transform("_turns", lambda t: F.struct(
+        token_len(t).cast("int").alias("n"),
+        token_len(F.when(F.instr(t, answer_sep) > 0, F.concat(F.substring_index(t, answer_sep, 1), F.lit(answer_sep))).otherwise(t))
+        .cast("int").alias("masked")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    walk = F.aggregate(sizes, zero, lambda a, t: F.struct(
+        (a["at"] + t["n"]).alias("at"),
+        F.when(t["masked"] < t["n"], F.concat(a["spans"], F.array(F.struct(
+            (a["at"] + t["masked"]).alias("start"), (t["n"] - t["masked"]).alias("length"))))).otherwise(a["spans"]).alias("spans")))
+    d = d.select("id", "text", token_len(F.col("text")).cast("int").alias("n_tokens"), walk.alias("_w"))
+    matched = (F.col("_w.at") >= max_length) | (F.col("_w.at") == F.col("n_tokens"))
+    return d.select("id", "text", "n_tokens", matched.alias("matched"),
+                    F.when(matched, F.col("_w.spans")).otherwise(F.slice("_w.spans", 1, 0)).alias("train_spans"))
+
+
+def task_prompts(pairs: DataFrame, task: Column, reasons: Column | None = None) -> DataFrame:
+    """The prompt of each pair's task (a key of TASK_TEMPLATES); ``reasons`` fills rewriting with reasons."""
+    cols = {"context": F.col("context"), "sentence": F.col("sentence"), "reason_texts": reasons if reasons is not None else F.lit("")}
+    prompt = F.lit(None).cast("string")
+    for name, template in TASK_TEMPLATES.items():
+        prompt = F.when(task == name, fill_template(template, **cols)).otherwise(prompt)
+    return pairs.select("*", task.alias("task"), prompt.alias("prompt"))
 
 
 def qa_examples(chats: DataFrame, max_tokens: int, eos: str = "</s>") -> DataFrame:

@@ -187,5 +187,5 @@ def cluster_summary_prompts(topk: DataFrame, random_prompts: DataFrame, num_prom
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", tr(F.col(text)).alias("t")))),
                                           lambda s: s["t"]), "\n")).scalar())
     body = F.when(F.length(tail) > 0, F.concat_ws("\n", F.col("top"), tail)).otherwise(F.col("top"))
-    return top.select(label, F.concat(F.lit("BEGIN OF THE MESSAGE LIST\n"), body,
+    return top.select(label, F.concat(F.lit(SUMMARY_INSTRUCTION + "\n\nBEGIN OF THE MESSAGE LIST\n"), body,
                                       F.lit("\nEND OF THE MESSAGE LIST.")).alias("prompt"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coheral.functions.timefn import ntz_micros
 from coheral.operators import arena as A
+from coheral.plans.conversation_queries import _lang_sql
 from coheral.plans.metric_queries import _r
 from coheral.plans.oracle_fixtures import with_fixtures
 from coheral.plans.registry import query
@@ -156,7 +157,9 @@ def q_drop_counters(spark, sf_dir):
     return A.drop_counters(_clean(spark, sf_dir))
 
 
-@query("battle_language", "P23 P15")
+@query("battle_language", "P23 P15", with_fixtures(
+    f"WITH {_CLEAN_CTE} SELECT {_lang_sql('msg0[1][2]')} AS language, COUNT(*) AS n FROM c WHERE reason IS NULL GROUP BY 1",
+    "activity"))
 def q_battle_language(spark, sf_dir):
     c = _clean(spark, sf_dir).filter(F.col("reason").isNull())
     return c.groupBy("language").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from coheral.operators import replies as RP
 from coheral.operators import sft as S
-from coheral.operators.external import llm_map, moderation_tag
+from coheral.functions.text import parse_flag_map, parse_list
+from coheral.operators.external import llm_map, moderation_tag, tags_per_message
 from coheral.operators.pairs import incremental_pairs
 from coheral.plans.oracle_fixtures import with_fixtures
 from coheral.plans.registry import query
@@ -143,10 +144,97 @@ def q_render_conversation(spark, sf_dir):
     return c.select("id", F.md5(S.render_conversation(F.col("conversations"))).alias("text_md5"))
 
 
-@query("chat_sft_masks", "X9")
+_PIECES = r"len(regexp_extract_all({v}, '</s>|\w+|[^\w\s]'))"
+
+
+@query("chat_sft_masks", "X9", with_fixtures(f"""
+WITH c AS (SELECT id, CASE WHEN len(conversations) > 0 AND conversations[1]['from'] <> 'human' THEN conversations[2:]
+                      ELSE conversations END AS conv FROM chats),
+t AS (SELECT id, '{S.VICUNA_SYSTEM.replace("'", "''")} ' || array_to_string(list_transform(conv, lambda m, i:
+        CASE WHEN i % 2 = 1 THEN 'USER' ELSE 'ASSISTANT' END || CASE WHEN coalesce(m.value, '') = '' THEN ':'
+        ELSE ': ' || m.value || CASE WHEN i % 2 = 1 THEN ' ' ELSE '</s>' END END), '') AS text FROM c),
+p AS (SELECT id, text, i, CASE WHEN i = 1 THEN parts[i] ELSE '</s>' || parts[i] END AS turn, parts[i] = '' AS none
+      FROM (SELECT id, text, string_split(text, '</s>') AS parts, unnest(range(1, len(string_split(text, '</s>')) + 1)) AS i FROM t) z),
+k AS (SELECT * FROM (SELECT *, max(CAST(none AS INT)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended
+      FROM p) z WHERE ended = 0),
+n AS (SELECT id, i, {_PIECES.format(v="turn")} AS n, {_PIECES.format(v="CASE WHEN contains(turn, 'ASSISTANT: ') THEN split_part(turn, 'ASSISTANT: ', 1) || 'ASSISTANT: ' ELSE turn END")} AS masked FROM k),
+s AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY i) - n + masked AS start FROM n)
+SELECT t.id, CAST({_PIECES.format(v="t.text")} AS INTEGER) AS n_tokens, CAST(coalesce(g.total, 0) = {_PIECES.format(v="t.text")} OR coalesce(g.total, 0) >= 2048 AS BOOLEAN) AS matched,
+       CASE WHEN coalesce(g.total, 0) = {_PIECES.format(v="t.text")} OR coalesce(g.total, 0) >= 2048 THEN coalesce(g.spans, '') ELSE '' END AS spans
+FROM t LEFT JOIN (SELECT id, sum(n) AS total, string_agg(CASE WHEN masked < n THEN CAST(start AS BIGINT) || '+' || (n - masked) END, ',' ORDER BY i) AS spans
+                  FROM s GROUP BY id) g ON g.id = t.id""", "chats"))
 def q_chat_sft_masks(spark, sf_dir):
     m = S.chat_sft_masks(fx.chats(Tables(spark, sf_dir)))
-    return m.select("id", F.length("text").alias("chars"), F.size("train_spans").alias("n_train_turns"))
+    spans = F.array_join(F.transform("train_spans", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))), ",")
+    return m.select("id", "n_tokens", "matched", spans.alias("spans"))
+
+
+def _style_sql(name: str) -> str:
+    """The rendered text of ``conversations`` in one style, written out per style."""
+    sys_msg, (user, bot), style, sep, sep2 = S.CONV_TEMPLATES[name]
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    role = f"CASE WHEN i % 2 = 1 THEN {q(user)} ELSE {q(bot)} END"
+    two = f"CASE WHEN i % 2 = 1 THEN {q(sep)} ELSE {q(sep2 or sep)} END"
+    full, bare, head = {
+        "ADD_COLON_SINGLE": (f"{role} || ': ' || m.value || {q(sep)}", f"{role} || ':'", sys_msg + sep),
+        "ADD_COLON_TWO": (f"{role} || ': ' || m.value || {two}", f"{role} || ':'", sys_msg + sep),
+        "ADD_COLON_SPACE_SINGLE": (f"{role} || ': ' || m.value || {q(sep)}", f"{role} || ': '", sys_msg + sep),
+        "NO_COLON_SINGLE": (f"{role} || m.value || {q(sep)}", role, sys_msg),
+        "NO_COLON_TWO": (f"{role} || m.value || {two}", role, sys_msg),
+        "ADD_NEW_LINE_SINGLE": (f"{role} || chr(10) || m.value || {q(sep)}", f"{role} || chr(10)", sys_msg and sys_msg + sep),
+        "LLAMA2": (f"CASE WHEN i = 1 THEN m.value || ' ' ELSE {role} || ' ' || m.value || {two} END", role, sys_msg or "[INST] "),
+        "CHATML": (f"{role} || chr(10) || m.value || {q(sep)} || chr(10)", f"{role} || chr(10)", sys_msg and sys_msg + sep + "\n"),
+        "ROBIN": (f"{role} || ':' || chr(10) || m.value || {q(sep)}", f"{role} || ':' || chr(10)", sys_msg + sep),
+        "PHOENIX": (f"{role} || ': <s>' || m.value || '</s>'", f"{role} || ': <s>'", sys_msg),
+        "DOLLY": (f"{role} || ':' || chr(10) || m.value || {two} || CASE WHEN i % 2 = 0 THEN chr(10) || chr(10) ELSE '' END",
+                  f"{role} || ':' || chr(10)", sys_msg)}[style]
+    return (f"{q(head)} || array_to_string(list_transform(conversations, lambda m, i: CASE WHEN coalesce(m.value, '') = '' "
+            f"THEN {bare} ELSE {full} END), '')")
+
+
+@query("render_styles", "F13", with_fixtures(" UNION ALL ".join(
+    f"SELECT id, '{n}' AS style, md5({_style_sql(n)}) AS text_md5 FROM chats" for n in S.CONV_TEMPLATES), "chats"))
+def q_render_styles(spark, sf_dir):
+    c = fx.chats(Tables(spark, sf_dir))
+    each = F.array(*[F.struct(F.lit(n).alias("style"), F.md5(S.render_conversation(F.col("conversations"), n)).alias("text_md5"))
+                     for n in S.CONV_TEMPLATES])
+    return c.select("id", F.inline(each))
+
+
+_TASK_NAMES = list(S.TASK_TEMPLATES)
+_REASON_SQL = " || ".join(f"CASE WHEN (ord >> {i}) & 1 = 1 THEN '{r}' ELSE '' END" for i, r in enumerate(S.REASON_SENTENCES))
+
+
+def _template_sql(template: str) -> str:
+    out = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for name, value in (("context", "context"), ("sentence", "sentence"), ("reason_texts", _REASON_SQL)):
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+@query("task_prompts", "F11 X8 F10", with_fixtures(
+    "SELECT essay_id, CAST(sent_idx AS INTEGER) AS sent_idx, task, md5(CASE task " + " ".join(
+        f"WHEN '{n}' THEN {_template_sql(t)}" for n, t in S.TASK_TEMPLATES.items()) + " END) AS prompt_md5 FROM (SELECT *, ["
+    + ", ".join(f"'{n}'" for n in _TASK_NAMES) + f"][ord % {len(_TASK_NAMES)} + 1] AS task FROM (SELECT s.essay_id, s.ord, s.sents, "
+    "unnest(range(1, len(s.sents))) AS sent_idx FROM essay_sents s JOIN topics t ON s.prompt_id = t.prompt_id) x, LATERAL (SELECT "
+    "array_to_string(x.sents[1:x.sent_idx], ' ') AS context, x.sents[x.sent_idx + 1] AS sentence) y) z", "essay_sents", "topics"))
+def q_task_prompts(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    task = F.element_at(F.array(*[F.lit(n) for n in _TASK_NAMES]), (F.col("ord") % len(_TASK_NAMES) + 1).cast("int"))
+    reasons = S.reason_instructions([F.shiftright(F.col("ord"), i).bitwiseAND(1) for i in range(7)])
+    return S.task_prompts(p, task, reasons).select("essay_id", "sent_idx", "task", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("typed_import", "F19", """
+SELECT doc_id, n_chars % 2 = 0 AS sent0, doc_id % 3 = 0 AS sent1, CAST(n_chars % 7 + doc_id % 5 AS BIGINT) AS total FROM documents""")
+def q_typed_import(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select("doc_id", "n_chars")
+    word = lambda c: F.when(c, "True").otherwise("False")
+    flags = F.format_string("{'sent0': %s, 'sent1': %s}", word(F.col("n_chars") % 2 == 0), word(F.col("doc_id") % 3 == 0))
+    numbers = F.format_string("[%d, %d]", F.col("n_chars") % 7, F.col("doc_id") % 5)
+    rows = d.select("doc_id", parse_flag_map(flags).alias("m"), parse_list(numbers).alias("l"))
+    return rows.select("doc_id", F.col("m")["sent0"].alias("sent0"), F.col("m")["sent1"].alias("sent1"),
+                       F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("qa_examples", "X10")
@@ -155,7 +243,13 @@ def q_qa_examples(spark, sf_dir):
         "id", "i", F.length("question").alias("q_chars"), F.length("answer").alias("a_chars"))
 
 
-@query("llm_map", "X1 X2 X4 K6")
+@query("llm_map", "X1 X2", with_fixtures(f"""
+SELECT essay_id, CAST(sent_idx AS INTEGER) AS sent_idx, CASE WHEN md5(prompt) < '8' THEN 1 ELSE 0 END AS pred
+FROM (SELECT essay_id, sent_idx, '{_SFT_PRE}' || context || '{_SFT_MID}' || sentence || '{_SFT_END}' AS prompt
+      FROM (SELECT s.essay_id, s.ord, s.sents, unnest(range(1, len(s.sents))) AS sent_idx
+            FROM essay_sents s JOIN topics t ON s.prompt_id = t.prompt_id) x,
+           LATERAL (SELECT array_to_string(x.sents[1:x.sent_idx], ' ') AS context, x.sents[x.sent_idx + 1] AS sentence) y
+     ) z""", "essay_sents", "topics"))
 def q_llm_map(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     s = S.sft_examples(p)
@@ -163,10 +257,32 @@ def q_llm_map(spark, sf_dir):
     return out.select("essay_id", "sent_idx", RP.parse_detection_reply_api("reply").alias("pred"))
 
 
-@query("moderation_tag", "X5")
-def q_moderation_tag(spark, sf_dir):
+_MOD_SQL = ("SELECT conv_id, turn, text || CASE WHEN (conv_id + turn) % 7 = 0 THEN ' <redacted>' ELSE '' END || "
+            "CASE WHEN (conv_id + turn) % 10 = 3 THEN ' <anonymized>' ELSE '' END AS text FROM conversations WHERE role = 'user'")
+
+
+def _moderated(spark, sf_dir) -> DataFrame:
     c = Tables(spark, sf_dir).conversations.filter(F.col("role") == "user")
-    return moderation_tag(c.select("conv_id", "turn", "text"), "text").groupBy("flagged").count()
+    k = F.col("conv_id") + F.col("turn")
+    text = F.concat("text", F.when(k % 7 == 0, " <redacted>").otherwise(""), F.when(k % 10 == 3, " <anonymized>").otherwise(""))
+    return moderation_tag(c.select("conv_id", "turn", text.alias("text")), "text")
+
+
+@query("moderation_tag", "X5", f"""
+SELECT conv_id, turn, contains(text, '<redacted>') OR contains(text, '<anonymized>') AS flagged,
+       array_to_string(list_filter([CASE WHEN contains(text, '<redacted>') THEN 'redacted' END,
+                                    CASE WHEN contains(text, '<anonymized>') THEN 'anonymized' END], lambda x: x IS NOT NULL), ',') AS categories
+FROM ({_MOD_SQL}) z""")
+def q_moderation_tag(spark, sf_dir):
+    return _moderated(spark, sf_dir).select("conv_id", "turn", "flagged", F.array_join("categories", ",").alias("categories"))
+
+
+@query("tags_per_message", "J4", f"""
+SELECT conv_id, string_agg(CASE WHEN contains(text, '<redacted>') OR contains(text, '<anonymized>') THEN '1' ELSE '0' END, '' ORDER BY turn) AS tags
+FROM ({_MOD_SQL}) z GROUP BY conv_id""")
+def q_tags_per_message(spark, sf_dir):
+    t = tags_per_message(_moderated(spark, sf_dir))
+    return t.select("conv_id", F.array_join(F.transform("tags", lambda x: F.when(x, "1").otherwise("0")), "").alias("tags"))
 
 
 @query("logit_decisions", "F17 F29", """

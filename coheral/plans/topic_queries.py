@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coheral.operators import topics as T
@@ -109,7 +109,7 @@ def q_summarise_clusters(spark, sf_dir):
     e = e.withColumn("_d", F.col("vec_id") % n_docs).join(texts, "_d").drop("_d")
     top = T.cluster_topk(e, 8)
     rnd = T.choose_random_prompts(e.select("vec_id", "text"), 10, 42).withColumn(
-        "r", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("vec_id")))
+        "r", F.row_number().over(Window.orderBy("vec_id")))  # ten prompts
     prompts = T.cluster_summary_prompts(top, rnd, num_prompts=10)
     out = llm_map(prompts, "prompt", out_col="topic")
     share = T.cluster_share(e)
