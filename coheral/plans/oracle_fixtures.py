@@ -37,6 +37,8 @@ FIXTURE_SQL = {
                    "ELSE 'tie (bothbad)' END AS winner, CASE WHEN o_custkey % 9 = 0 THEN 'author_0' "
                    "ELSE 'expert_' || CAST(o_custkey % 9 AS VARCHAR) END AS judge, CAST(1 + o_orderkey % 2 AS INT) "
                    "AS turn FROM orders",
+    "model_info": "SELECT 'm' || CAST(n_nationkey AS VARCHAR) AS model, n_name AS simple_name, 'https://example.org/models/' "
+                  "|| CAST(n_nationkey AS VARCHAR) AS link, 'a model from ' || n_name AS description FROM nation",
     "judge_votes": "SELECT ord, question_id, model_a, model_b, winner, judge, turn FROM human_votes UNION ALL "
                    "SELECT max(ord), question_id, least(model_1, model_2), greatest(model_1, model_2), arg_max(CASE "
                    "WHEN g1_winner <> g2_winner THEN 'tie (inconsistent)' WHEN g1_winner IN ('model_1', 'model_2') THEN "

@@ -104,15 +104,20 @@ def q_all_splits(spark, sf_dir):
 
 
 @query("consensus_scores", "A17", with_fixtures(
-    "SELECT t.topic AS title, md5(e.text) AS text_md5, CAST(2 * l.quality + l.toxic AS INTEGER) AS consensus "
-    "FROM essays e JOIN topics t ON e.prompt_id = t.prompt_id JOIN labels l ON l.doc_id = e.ord", "essays", "topics"))
+    "WITH s AS (SELECT e.ord, t.topic AS title, e.text, CAST(2 * l.quality + l.toxic AS INTEGER) AS hol, "
+    "CAST(coalesce(a.n, 0) AS INTEGER) AS inc FROM essays e JOIN topics t ON e.prompt_id = t.prompt_id JOIN labels l ON l.doc_id = e.ord "
+    "LEFT JOIN (SELECT story_id, COUNT(*) AS n FROM annotations GROUP BY story_id) a ON a.story_id = e.ord) "
+    "SELECT 'holistic' AS kind, title, md5(text) AS text_md5, hol AS consensus FROM s "
+    "UNION ALL SELECT 'incremental', title, md5(text), inc FROM s", "essays", "topics", "annotations"))
 def q_consensus_scores(spark, sf_dir):
-    s = _stories(spark, sf_dir).join(_t(spark, sf_dir).labels.select(F.col("doc_id").alias("uid"), "quality", "toxic"),
-                                     "uid")
-    s = s.withColumn("holistic_consensus", (2 * F.col("quality") + F.col("toxic")).cast("int")) \
-         .withColumn("incremental_consensus", F.col("holistic_consensus"))
-    hol, _ = P.consensus_scores(s)
-    return hol.select("title", F.md5("text").alias("text_md5"), "consensus")
+    t = _t(spark, sf_dir)
+    lab = t.labels.select(F.col("doc_id").alias("uid"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("holistic_consensus"))
+    inc = fx.annotations(t).groupBy(F.col("story_id").alias("uid")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    s = (_stories(spark, sf_dir).join(lab, "uid").join(inc, "uid", "left")
+         .withColumn("incremental_consensus", F.coalesce("n", F.lit(0))))
+    both = [x.select(F.lit(k).alias("kind"), "title", F.md5("text").alias("text_md5"), "consensus")
+            for k, x in zip(("holistic", "incremental"), P.consensus_scores(s))]
+    return both[0].unionByName(both[1])
 
 
 # ------------------------------------------------------------ U2, U3, P4
@@ -124,11 +129,10 @@ _TASKS = ["sent_binary", "sent_cohesion", "sent_consistency", "sent_relevance"]
     " END AS task_ids, gold, pred FROM preds", "preds"))
 def q_concat_tasks(spark, sf_dir):
     p = fx.preds(_t(spark, sf_dir))
-    parts = [p.filter(F.col("task") == t).withColumn("task_ids", F.lit(i)) for i, t in enumerate(_TASKS)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("ord", "task_ids", "gold", "pred")
+    ids = F.lit(None).cast("int")
+    for i, t in enumerate(_TASKS):
+        ids = F.when(F.col("task") == t, i).otherwise(ids)
+    return p.filter(F.col("task").isin(_TASKS)).select("ord", ids.alias("task_ids"), "gold", "pred")
 
 
 @query("combine_corpora", "U3", with_fixtures(
@@ -187,30 +191,29 @@ def q_leaderboard_csv_render(spark, sf_dir):
     return R.leaderboard_csv_render(t, "score", ["model", "score", "num_battles"])
 
 
-@query("leaderboard_join", "J10 D10", with_fixtures(
+@query("leaderboard_join", "J10 J11 D10", with_fixtures(
     f"WITH {_NB}, {_AW} SELECT aw.model, round(aw.avg_win_rate, 6) AS avg_win_rate, nb.num_battles, "
-    "CAST(row_number() OVER (ORDER BY round(aw.avg_win_rate, 9) DESC, aw.model) AS INTEGER) AS rank FROM aw LEFT JOIN nb ON aw.model = nb.model",
-    "battles"))
+    "CAST(row_number() OVER (ORDER BY round(aw.avg_win_rate, 9) DESC, aw.model) AS INTEGER) AS rank, "
+    "coalesce(i.link, '-') AS link_or_default, coalesce(i.description, '-') AS description_or_default "
+    "FROM aw LEFT JOIN nb ON aw.model = nb.model LEFT JOIN model_info i ON i.model = aw.model",
+    "battles", "model_info"))
 def q_leaderboard_join(spark, sf_dir):
     b = _anon(spark, sf_dir)
     aw = R.average_win_rate(b.filter(~F.col("winner").contains("tie")))
     aw = aw.withColumn("_key", F.round("avg_win_rate", 9))  # rank on a value both engines agree on
     ranked = R.rank_ratings(aw, "_key").join(R.num_battles(b), "model", "left")
-    return _r(ranked.select("model", "avg_win_rate", "num_battles", "rank"))
-
+    out = R.leaderboard_join(ranked, fx.model_info(_t(spark, sf_dir)))
+    return _r(out.select("model", "avg_win_rate", "num_battles", "rank", "link_or_default", "description_or_default"))
 
-_NAMES = ["gpt-4", "claude-v1", "bard", "vicuna-13b", "gpt-3.5-turbo", "llama-13b", "claude-2", "koala-13b"]
 
-
-@query("model_info_lookup", "J11", "SELECT DISTINCT name AS model, coalesce(r.simple_name, name) AS simple_name, "
-       "coalesce(r.link, '') AS link FROM (SELECT [" + ", ".join(f"'{n}'" for n in _NAMES) + "][user_id % 8 + 1] AS name "
-       "FROM events) e LEFT JOIN (VALUES " + ", ".join(f"('{m}', '{s}', '{l}')" for m, s, l, _ in R.MODEL_INFO) +
-       ") r(model, simple_name, link) ON e.name = r.model")
+@query("model_info_lookup", "J11", with_fixtures(
+    "SELECT e.model, coalesce(r.simple_name, e.model) AS simple_name, coalesce(r.link, '') AS link, "
+    "coalesce(r.description, '') AS description FROM (SELECT DISTINCT 'm' || CAST(user_id % 40 AS VARCHAR) AS model FROM events) e "
+    "LEFT JOIN model_info r ON e.model = r.model", "model_info"))
 def q_model_info_lookup(spark, sf_dir):
-    e = _t(spark, sf_dir).events
-    names = e.select(F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("user_id") % 8 + 1).cast("int"))
-                     .alias("model")).distinct()
-    return R.model_info_lookup(names, R.model_info(spark)).select("model", "simple_name", "link")
+    t = _t(spark, sf_dir)
+    names = t.events.select(F.concat(F.lit("m"), (F.col("user_id") % 40).cast("string")).alias("model")).distinct()
+    return R.model_info_lookup(names, fx.model_info(t)).select("model", "simple_name", "link", "description")
 
 
 # --------------------------------------------------------------- A30, A32

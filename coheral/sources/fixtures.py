@@ -299,3 +299,11 @@ def answers(t: Tables) -> DataFrame:
                     F.array(F.struct(F.lit(0).alias("index"),
                                      F.transform("turns", lambda x: F.concat(F.col("model"), F.lit(" says: "), x))
                                      .alias("turns"))).alias("choices")))
+
+
+def model_info(t: Tables) -> DataFrame:
+    """Model registry: one model per nation."""
+    k = F.col("n_nationkey").cast("string")
+    return t.nation.select(F.concat(F.lit("m"), k).alias("model"), F.col("n_name").alias("simple_name"),
+                           F.concat(F.lit("https://example.org/models/"), k).alias("link"),
+                           F.concat(F.lit("a model from "), F.col("n_name")).alias("description"))
