@@ -61,7 +61,9 @@ FIXTURE_SQL = {
     "chats": "SELECT CAST(conv_id AS VARCHAR) AS id, conv_id AS ord, CASE WHEN conv_id % 3 = 0 THEN 'gpt4' "
              "WHEN conv_id % 3 = 1 THEN NULL ELSE 'other' END AS model, CAST(NULL AS VARCHAR) AS plugins, "
              "list({'from': CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, "
-             "'value': text} ORDER BY turn) AS conversations FROM conversations GROUP BY conv_id",
+             "'value': text || CASE WHEN turn = 0 AND conv_id % 9 = 4 THEN chr(10) || '1. one' || chr(10) || '1. two' "
+             "WHEN turn = 0 AND conv_id % 9 = 7 THEN ' call 777777777' ELSE '' END} ORDER BY turn) AS conversations "
+             "FROM conversations GROUP BY conv_id",
     "questions": "SELECT item_id AS question_id, CASE WHEN item_id % 10 = 0 THEN 'math' ELSE 'generic' END AS category, "
                  "CASE WHEN item_id % 2 = 0 THEN [text, 'Now expand on: ' || text] ELSE [text] END AS turns FROM benchmark",
     "answers": "SELECT DISTINCT s.question_id, s.model AS model_id FROM single_judgments s "

@@ -211,8 +211,13 @@ ROLE_MAP = {"user": "human", "assistant": "gpt"}
 
 
 def chats(t: Tables) -> DataFrame:
-    """ShareGPT-shaped conversations, one row per ``conv_id``."""
-    c = t.conversations
+    """ShareGPT-shaped conversations, one row per ``conv_id``.
+
+    Some first messages end in a list numbered 1. twice, others in a digit repeated nine times.
+    """
+    k = F.when(F.col("turn") == 0, F.col("conv_id") % 9)
+    c = t.conversations.withColumn("text", F.concat(
+        "text", F.when(k == 4, "\n1. one\n1. two").when(k == 7, " call 777777777").otherwise("")))
     frm = (F.when(F.col("role") == "user", "human")
             .when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")))
     grouped = (c.groupBy("conv_id")
@@ -230,9 +235,12 @@ def chats(t: Tables) -> DataFrame:
 
 def html_chats(t: Tables) -> DataFrame:
     """Pages paired into two-message HTML conversations (page 2k human, 2k+1 gpt)."""
-    p = t.pages
+    i = F.col("page_id")
+    # some pages come back with a blocked phrase, empty, or from the other side
+    p = t.pages.withColumn("html", F.when(i % 22 == 5, F.concat("html", F.lit("<p>made with ChatGPT</p>")))
+                           .when(i % 26 == 8, "").otherwise(F.col("html")))
     k = F.floor(F.col("page_id") / 2)
-    frm = F.when(F.col("page_id") % 2 == 0, "human").otherwise("gpt")
+    frm = F.when((i % 2 == 0) | (i % 18 == 3), "human").otherwise("gpt")
     grouped = (p.groupBy(k.alias("k"))
                .agg(F.sort_array(F.collect_list(F.struct(F.col("page_id"), frm.alias("from"),
                                                          F.col("html").alias("value")))).alias("msgs")))
