@@ -81,20 +81,20 @@ REASON_SENTENCES = [
     "[DELETE]. ",
     "rewrite sentence S so that the comment of sentence S agrees with the topic of the sentence itself. ",
 ]
-VICUNA_SYSTEM = ("A chat between a curious user and an artificial intelligence assistant. The assistant gives "
+CHAT_SYSTEM = ("A chat between a curious user and an artificial intelligence assistant. The assistant gives "
                  "helpful, detailed, and polite answers to the user's questions.")
 # name -> (system, roles, style, sep, sep2)
 CONV_TEMPLATES = {
-    "vicuna_v1.1": (VICUNA_SYSTEM, ("USER", "ASSISTANT"), "ADD_COLON_TWO", " ", "</s>"),
-    "one_shot_style": (VICUNA_SYSTEM, ("Human", "Assistant"), "ADD_COLON_SINGLE", "\n### ", None),
+    "colon_two": (CHAT_SYSTEM, ("USER", "ASSISTANT"), "ADD_COLON_TWO", " ", "</s>"),
+    "one_shot_style": (CHAT_SYSTEM, ("Human", "Assistant"), "ADD_COLON_SINGLE", "\n### ", None),
     "no_colon": ("", ("<|user|>", "<|assistant|>"), "NO_COLON_SINGLE", "<|end|>", None),
     "new_line": ("", ("user", "assistant"), "ADD_NEW_LINE_SINGLE", "\n", None),
-    "colon_space": (VICUNA_SYSTEM, ("USER", "ASSISTANT"), "ADD_COLON_SPACE_SINGLE", "\n", None),
+    "colon_space": (CHAT_SYSTEM, ("USER", "ASSISTANT"), "ADD_COLON_SPACE_SINGLE", "\n", None),
     "no_colon_two": ("", ("<human>:", "<bot>:"), "NO_COLON_TWO", " ", "</s>"),
     "llama-2": ("", ("[INST]", "[/INST]"), "LLAMA2", " ", " </s><s>"),
     "chatml": ("<|im_start|>system\nYou are a helpful assistant.", ("<|im_start|>user", "<|im_start|>assistant"), "CHATML", "<|im_end|>", None),
-    "robin": (VICUNA_SYSTEM, ("###Human", "###Assistant"), "ROBIN", "\n", None),
-    "phoenix": (VICUNA_SYSTEM, ("Human", "Assistant"), "PHOENIX", "", None),
+    "robin": (CHAT_SYSTEM, ("###Human", "###Assistant"), "ROBIN", "\n", None),
+    "phoenix": (CHAT_SYSTEM, ("Human", "Assistant"), "PHOENIX", "", None),
     "dolly": ("", ("### Instruction", "### Response"), "DOLLY", "\n\n", "### End"),
 }
 # style -> (head: how the system text opens the prompt; between role and message; after a role without a message;
@@ -172,7 +172,7 @@ def sft_examples(pairs: DataFrame, template: str = DETECTION_TEMPLATE, target_co
     return pairs.select("*", prompt.alias("prompt"), target.alias("completion"), mask.alias("mask_len"))
 
 
-def render_conversation(conv: Column, template: str = "vicuna_v1.1", system: str | None = None) -> Column:
+def render_conversation(conv: Column, template: str = "colon_two", system: str | None = None) -> Column:
     """render array<struct<from, value>> with a separator style.
 
     Roles alternate by position (even = user role, odd = assistant role); an
@@ -215,7 +215,7 @@ def piece_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(PIECE_PATTERN))
 
 
-def chat_sft_masks(chats: DataFrame, template: str = "vicuna_v1.1", token_len=piece_count, max_length: int = 2048) -> DataFrame:
+def chat_sft_masks(chats: DataFrame, template: str = "colon_two", token_len=piece_count, max_length: int = 2048) -> DataFrame:
     """Rendered text and the (start, length) token spans of the assistant replies to train on.
 
     A leading assistant message is dropped first.  The text is cut into turns at the

@@ -183,7 +183,7 @@ def q_find_upsets(spark, sf_dir):
     return A.find_upsets(fx.battles(Tables(spark, sf_dir))).select("ord", "winner_model", "loser_model")
 
 
-_NAMES = ["gpt-4", "claude-v1", "bard", "vicuna-13b", "gpt-3.5-turbo", "llama-13b", "claude-2", "koala-13b"]
+_NAMES = ["gpt-4", "claude-v1", "bard", "dolly-v2-12b", "gpt-3.5-turbo", "llama-13b", "claude-2", "koala-13b"]
 
 
 @query("normalise_model_name", "P27", """

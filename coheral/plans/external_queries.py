@@ -136,7 +136,7 @@ def q_reason_instructions(spark, sf_dir):
 
 
 @query("render_conversation", "F13 F18", with_fixtures(
-    "SELECT id, md5('" + S.VICUNA_SYSTEM.replace("'", "''") + " ' || array_to_string(list_transform(conversations, "
+    "SELECT id, md5('" + S.CHAT_SYSTEM.replace("'", "''") + " ' || array_to_string(list_transform(conversations, "
     "lambda m, i: CASE WHEN (i - 1) % 2 = 0 THEN 'USER' ELSE 'ASSISTANT' END || ': ' || m.value || "
     "CASE WHEN (i - 1) % 2 = 0 THEN ' ' ELSE '</s>' END), '')) AS text_md5 FROM chats", "chats"))
 def q_render_conversation(spark, sf_dir):
@@ -150,7 +150,7 @@ _PIECES = r"len(regexp_extract_all({v}, '</s>|\w+|[^\w\s]'))"
 @query("chat_sft_masks", "X9", with_fixtures(f"""
 WITH c AS (SELECT id, CASE WHEN len(conversations) > 0 AND conversations[1]['from'] <> 'human' THEN conversations[2:]
                       ELSE conversations END AS conv FROM chats),
-t AS (SELECT id, '{S.VICUNA_SYSTEM.replace("'", "''")} ' || array_to_string(list_transform(conv, lambda m, i:
+t AS (SELECT id, '{S.CHAT_SYSTEM.replace("'", "''")} ' || array_to_string(list_transform(conv, lambda m, i:
         CASE WHEN i % 2 = 1 THEN 'USER' ELSE 'ASSISTANT' END || CASE WHEN coalesce(m.value, '') = '' THEN ':'
         ELSE ': ' || m.value || CASE WHEN i % 2 = 1 THEN ' ' ELSE '</s>' END END), '') AS text FROM c),
 p AS (SELECT id, text, i, CASE WHEN i = 1 THEN parts[i] ELSE '</s>' || parts[i] END AS turn, parts[i] = '' AS none

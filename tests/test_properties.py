@@ -200,7 +200,7 @@ def test_clean_battles_checks(spark):
         (0, "leftvote", 1.7e9, ["", ""], s("gpt-4", "bard"), "1.1.1.1"),                 # anony, renamed
         (1, "rightvote", 1.7e9, ["x", ""], s("a", "b"), "1.1.1.1"),                      # one public empty
         (2, "tievote", 1.7e9, ["a", "b"], s("a", "c"), "2.2.2.2"),                       # public != hidden
-        (3, "leftvote", 1.7e9, ["", ""], s("a", "b", [["user", "I am Vicuna"]]), "3.3.3.3"),  # leaked
+        (3, "leftvote", 1.7e9, ["", ""], s("a", "b", [["user", "I am Koala"]]), "3.3.3.3"),  # leaked
         (4, "leftvote", 1.7e9, ["", ""], s("a", "b"), "9.9.9.9"),                        # banned
         (5, "chat", 1.7e9, ["", ""], s("a", "b"), "1.1.1.1"),                            # not a vote
     ]
