@@ -306,14 +306,14 @@ def dedup_conversations(chats: DataFrame, order: str = "ord") -> DataFrame:
 
 
 # --------------------------------------------------------------- splitting
-def split_long_conversation(chats: DataFrame, max_length: int, token_len=None) -> DataFrame:
+def split_long_conversation(chats: DataFrame, max_length: int, token_len=None, keep_tail: bool = False) -> DataFrame:
     """Greedy packing of (human, gpt) rounds into chunks of at most ``max_length`` tokens.
 
     Per round length = tokens(human) + tokens(gpt) + 12 (6 per message).  If the
     running length plus the round exceeds ``max_length`` the chunk [start, i)
     is emitted (possibly empty) and a new one starts at i; otherwise the last
     round closes [start, i + 2).  As in the reference an overflowing final round
-    is dropped.  A row-local ``aggregate`` fold -- no shuffle.  New id is
+    is dropped, unless ``keep_tail`` makes it a chunk of its own.  A row-local ``aggregate`` fold -- no shuffle.  New id is
     ``<id>_<start>``.
     """
     tl = token_len or word_count
@@ -336,7 +336,8 @@ def split_long_conversation(chats: DataFrame, max_length: int, token_len=None) -
         return F.struct(
             F.when(over, i).otherwise(acc["start"]).alias("start"),
             F.when(over, tmp).otherwise(acc["cur"] + tmp).alias("cur"),
-            F.when(over, F.concat(acc["chunks"], chunk_over))
+            F.when(over & last & F.lit(keep_tail), F.concat(acc["chunks"], chunk_over, F.array(F.struct(i.alias("s"), (i + 2).alias("e")))))
+             .when(over, F.concat(acc["chunks"], chunk_over))
              .when(last, F.concat(acc["chunks"], chunk_last)).otherwise(acc["chunks"]).alias("chunks"))
 
     folded = F.aggregate(rounds, init, step)["chunks"]

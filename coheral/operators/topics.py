@@ -21,23 +21,18 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def l2_normalize(v: Column) -> Column:
-    """x / ||x||."""
-    n = F.sqrt(_dot(v, v))
-    return F.transform(v, lambda x: x / n)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """cosine similarity of two arrays."""
     return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
 def cluster_centres(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Mean vector per cluster: (label, centre array<double>)."""
-    ex = df.select(label, F.posexplode(vec).alias("i", "x"))
-    per_dim = ex.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return per_dim.groupBy(label).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    """Mean vector per cluster: (label, centre array<double>), one partial aggregate per task and cluster."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = df.select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return v.groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centre"))
 
 
 def with_centre_cosine(df: DataFrame, centres: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:

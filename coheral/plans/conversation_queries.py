@@ -173,12 +173,6 @@ def q_dedup_conversations(spark, sf_dir):
     return C.dedup_conversations(_dup_chats(spark, sf_dir)).select("id", "ord")
 
 
-@query("split_long_conversation", "D7 X7")
-def q_split_long_conversation(spark, sf_dir):
-    s = C.split_long_conversation(_chats(spark, sf_dir), max_length=400)
-    return s.select("id", "start", F.size("conversations").alias("n_msgs"))
-
-
 _TOK = "len(regexp_extract_all({v}, '[^ \\t\\n\\r]+'))"
 _STATS_CTE = ("per AS (SELECT id, len(conversations) // 2 AS turns, conversations FROM chats), "
               "pr AS (SELECT id, turns, " + _TOK.format(v="conversations[2 * i + 1].value") + " AS p, "
@@ -253,3 +247,36 @@ def q_slice_rows(spark, sf_dir):
 def q_tokenize_count(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     return d.select("doc_id", word_count("text").alias("n_tokens"))
+
+
+def _split_sql(keep_tail: bool) -> str:
+    tail = "r.last AND r.len + (CASE WHEN w.n = 0 THEN 0 ELSE w.cur END) > 400" if keep_tail else "false"
+    return with_fixtures(f"""
+WITH RECURSIVE rounds AS (
+  SELECT id, i, i = len(conversations) // 2 AS last,
+         {_TOK.format(v="conversations[2 * i - 1].value")} + {_TOK.format(v="conversations[2 * i].value")} + 12 AS len
+  FROM (SELECT id, conversations, unnest(range(1, len(conversations) // 2 + 1)) AS i FROM chats) z),
+walk(id, n, start, cur, s, e, s2, e2) AS (
+  SELECT DISTINCT id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+         CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM rounds
+  UNION ALL
+  SELECT w.id, r.i, CASE WHEN w.cur + r.len > 400 THEN 2 * (r.i - 1) ELSE w.start END,
+         CASE WHEN w.cur + r.len > 400 THEN r.len ELSE w.cur + r.len END,
+         CASE WHEN w.cur + r.len > 400 OR r.last THEN w.start END,
+         CASE WHEN w.cur + r.len > 400 THEN 2 * (r.i - 1) WHEN r.last THEN 2 * r.i END,
+         CASE WHEN {tail} THEN 2 * (r.i - 1) END, CASE WHEN {tail} THEN 2 * r.i END
+  FROM walk w JOIN rounds r ON r.id = w.id AND r.i = w.n + 1)
+SELECT id || '_' || CAST(s AS VARCHAR) AS id, CAST(s AS INTEGER) AS start, CAST(e - s AS INTEGER) AS n_msgs FROM walk WHERE s IS NOT NULL
+UNION ALL SELECT id || '_' || CAST(s2 AS VARCHAR), CAST(s2 AS INTEGER), CAST(e2 - s2 AS INTEGER) FROM walk WHERE s2 IS NOT NULL""", "chats")
+
+
+@query("split_long_conversation", "D7 X7", _split_sql(False))
+def q_split_long_conversation(spark, sf_dir):
+    s = C.split_long_conversation(_chats(spark, sf_dir), max_length=400)
+    return s.select("id", "start", F.size("conversations").alias("n_msgs"))
+
+
+@query("split_long_conversation_keep_tail", "D7 X7", _split_sql(True))
+def q_split_long_conversation_keep_tail(spark, sf_dir):
+    s = C.split_long_conversation(_chats(spark, sf_dir), max_length=400, keep_tail=True)
+    return s.select("id", "start", F.size("conversations").alias("n_msgs"))

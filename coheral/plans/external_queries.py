@@ -237,10 +237,15 @@ def q_typed_import(spark, sf_dir):
                        F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("qa_examples", "X10")
+@query("qa_examples", "X10", with_fixtures("""
+SELECT id, CAST(i - 1 AS INTEGER) AS i, md5(array_to_string(q[greatest(len(q) - 63, 1):], ' ') || '</s>') AS question_md5,
+       md5(array_to_string(a[1:64], ' ') || '</s>') AS answer_md5
+FROM (SELECT id, i, regexp_split_to_array(array_to_string(list_transform(conversations[1:i - 1], lambda m: m['from'] || ': ' || m.value),
+             chr(10)), '\\s+') AS q, regexp_split_to_array(conversations[i].value, '\\s+') AS a, conversations[i]['from'] AS who
+      FROM (SELECT id, conversations, unnest(range(1, len(conversations) + 1)) AS i FROM chats) z) y WHERE who = 'gpt'""", "chats"))
 def q_qa_examples(spark, sf_dir):
     return S.qa_examples(fx.chats(Tables(spark, sf_dir)), max_tokens=64).select(
-        "id", "i", F.length("question").alias("q_chars"), F.length("answer").alias("a_chars"))
+        "id", "i", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
 @query("llm_map", "X1 X2", with_fixtures(f"""

@@ -88,6 +88,17 @@ def q_bt_mle(spark, sf_dir):
     return R.bt_mle(_anon(spark, sf_dir)).select("model", F.round("rating", 2).alias("rating"))
 
 
+@query("bt_optimality", "M2 U4", with_fixtures(
+    "SELECT DISTINCT model, true AS optimal FROM (SELECT model_a AS model FROM battles WHERE anony "
+    "UNION ALL SELECT model_b FROM battles WHERE anony) z", "battles"))
+def q_bt_optimality(spark, sf_dir):
+    """The fit's certificate: no model's gradient exceeds a millionth of the battles."""
+    b = _anon(spark, sf_dir)
+    n = b.agg(F.count(F.lit(1))).scalar()
+    g = R.bt_gradient(b, R.bt_mle(b, anchor=None))
+    return g.select("model", (F.abs("gradient") <= n * 1e-6).alias("optimal"))
+
+
 @query("bootstrap_summary", "M3 A27 D20 F24")
 def q_bootstrap_summary(spark, sf_dir):
     return R.bootstrap_summary(R.bootstrap_ratings(_anon(spark, sf_dir), rounds=100, seed=42))
