@@ -80,25 +80,32 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame, runs: int, depth: int, split_above: int) -> DataFrame:
-    """(digest, slot, bucket): leaves of the recursion; a slot numbers (run, branches taken)."""
+    """(digest, slot, bucket): leaves of the recursion with two sets or more; a slot numbers (run, branches taken).
+
+    Only sets in buckets that are split again are joined with their tokens.
+    """
     per_run = BRANCH ** depth
-    root = F.array(*[F.struct(F.lit(r * per_run).alias("slot"), F.lit(per_run).alias("span"),
-                              F.xxhash64(F.lit(r), F.substring("tokens", (r * 7 % POSITIONS) * 8 + 1, 8)).alias("bucket"))
+    token = lambda at: F.substr("tokens", at * 8 + 1, F.lit(8))
+    root = F.array(*[F.struct(F.lit(r * per_run).alias("slot"), F.xxhash64(F.lit(r), token(F.lit(r * 7 % POSITIONS))).alias("bucket"))
                      for r in range(runs)])
-    rows = classes.select("digest", "tokens", F.explode(root).alias("b")).select("digest", "tokens", "b.*")
-    for _ in range(depth):
-        rows = cut(rows)
+    rows = classes.select("digest", F.explode(root).alias("b")).select("digest", "b.*")
+    done = None
+    for level in range(depth + 1):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = rows.join(sizes, "bucket")  # sets alone in a bucket are done with it
+        rows = cut(rows.join(sizes, "bucket"))  # sets alone in a bucket are done with it
+        large = rows.filter(F.col("n") > split_above)
+        if level == depth or large.isEmpty():
+            rows = rows.drop("n")
+            return rows if done is None else done.unionByName(rows)
+        small = rows.filter(F.col("n") <= split_above).drop("n")
+        done = small if done is None else done.unionByName(small)
+        step = per_run // BRANCH ** (level + 1)
         position = lambda c: F.pmod(F.xxhash64("bucket", F.lit(c)), F.lit(POSITIONS)).cast("int")
-        step = (F.col("span") / BRANCH).cast("int")
-        children = F.array(*[F.struct(
-            (F.col("slot") + step * c).cast("int").alias("slot"), step.alias("span"),
-            F.xxhash64("bucket", F.lit(c), F.substr("tokens", position(c) * 8 + 1, F.lit(8))).alias("bucket")) for c in range(BRANCH)])
-        same = F.array(F.struct(F.col("slot").cast("int").alias("slot"), F.col("span").cast("int").alias("span"), "bucket"))
-        rows = rows.select("digest", "tokens", F.explode(F.when(F.col("n") > split_above, children).otherwise(same)).alias("b"))
-        rows = rows.select("digest", "tokens", "b.*")
-    return rows.select("digest", "slot", "bucket")
+        children = F.array(*[F.struct((F.col("slot") + step * c).cast("int").alias("slot"), F.xxhash64(
+            "bucket", F.lit(c), token(position(c))).alias("bucket")) for c in range(BRANCH)])
+        rows = (large.join(classes.select("digest", "tokens"), "digest").select("digest", F.explode(children).alias("b"))
+                .select("digest", "b.*"))
+    return rows
 
 
 def block_pairs(leaves: DataFrame, block: int) -> DataFrame:
