@@ -18,31 +18,33 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _field(lines: Column, k: int) -> Column:
-    """Python ``lines[k].split(': ')[1].strip()``; null where Python would raise."""
+def _field(lines: Column, k: int, full_text: bool = False) -> Column:
+    """Value of line k: the second piece between ': ' marks, or all after the first mark; null without one."""
     line = F.try_element_at(lines, F.lit(k + 1))
-    piece = F.try_element_at(F.split(line, ": ", -1), F.lit(2))
+    piece = F.try_element_at(F.split(line, ": ", 2 if full_text else -1), F.lit(2))
     return py_strip(piece)
 
 
-def parse_annotation_reply(df: DataFrame, reply: str = "reply", rewrite_only: bool = False) -> DataFrame:
+def parse_annotation_reply(df: DataFrame, reply: str = "reply", rewrite_only: bool = False,
+                           full_text: bool = False) -> DataFrame:
     """Label, R1..R7, rewrite from a line-per-field reply.
 
     Line k holds ``name: value``; the value is the second piece of
     ``split(': ')``, stripped.  Only label '0' carries reasons and a rewrite
     (lines 1..8).  ``rewrite_only`` parses R1..R7 and rewrite from lines 0..7.
+    ``full_text`` keeps a value's own ': ' marks instead of ending there.
     A failed line keeps the fields parsed before it and leaves the rest ''.
     """
     lines = F.split(_c(reply), "\n", -1)
     if rewrite_only:
         names, offs = REASON_FIELDS + ["rewrite"], list(range(8))
-        vals = [_field(lines, k) for k in offs]
+        vals = [_field(lines, k, full_text) for k in offs]
         gate = F.lit(True)
         out = [F.lit(None).cast("string").alias("label")]
     else:
-        label = _field(lines, 0)
+        label = _field(lines, 0, full_text)
         names, offs = REASON_FIELDS + ["rewrite"], list(range(1, 9))
-        vals = [_field(lines, k) for k in offs]
+        vals = [_field(lines, k, full_text) for k in offs]
         gate = label.isNotNull() & (label == "0")
         out = [F.coalesce(label, F.lit("")).alias("label")]
     ok = gate

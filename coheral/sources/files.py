@@ -72,6 +72,24 @@ def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json",
     return [r["path"] for r in meta.orderBy("modificationTime", "path").collect()]
 
 
+def list_log_files_by_date(spark: SparkSession, root: str, pattern: str = "*-conv.json", first: str | None = None,
+                           last: str | None = None, max_files: int = 10_000) -> list[str]:
+    """Log files named by date (``YYYY-MM-DD-...``) under server folders, by (date, server), the last ``max_files``.
+
+    ``first`` and ``last`` bound the dates; only file names are read.
+    """
+    meta = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+            .load(root).select("path"))
+    meta = meta.select("path", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).alias("day"),
+                       F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("server")).filter("day <> ''")
+    if first is not None:
+        meta = meta.filter(F.col("day") >= first)
+    if last is not None:
+        meta = meta.filter(F.col("day") <= last)
+    newest = meta.orderBy(F.desc("day"), F.desc("server"), F.desc("path")).limit(max_files)
+    return [r["path"] for r in newest.orderBy("day", "server", "path").collect()]
+
+
 def scan_log_projected(spark: SparkSession, paths) -> DataFrame:
     """Type, tstamp, model ('' default), models (['', ''] default)."""
     r = spark.read.schema(SC.ARENA_LOG).json(paths)
@@ -130,9 +148,16 @@ def read_metric_report(spark: SparkSession, path: str) -> DataFrame:
     return t.select("metric", "average", F.bround(F.col("value").cast("double") * 100).cast("int").alias("value_x100"))
 
 
-def read_split_cache(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of a dataset cached as Parquet partitioned by ``split`` (partition pruning)."""
-    return spark.read.parquet(path).filter(F.col("split") == split)
+def read_split_cache(spark: SparkSession, path: str, split: str, one_per_class: str | None = None, order: str = "ord") -> DataFrame:
+    """One split of a dataset cached as Parquet partitioned by ``split`` (partition pruning).
+
+    ``one_per_class`` names the label column of which only the first row each is kept (D19).
+    """
+    d = spark.read.parquet(path).filter(F.col("split") == split)
+    if one_per_class is None:
+        return d
+    from coheral.operators.joins import first_per_key
+    return first_per_key(d, [one_per_class], [order])
 
 
 def read_pair_csv(spark: SparkSession, path: str, task: str = "detection") -> DataFrame:

@@ -86,3 +86,24 @@ def test_llm_map_resume_and_errors(spark):
     assert set(r["reply"] for r in failing.collect()) == {""}
     stub = {r["k"]: r["reply"] for r in X.llm_map(df, "p").collect()}
     assert stub[3] == X.stub_model("prompt 3")
+
+
+def test_log_files_by_date_and_server(spark, scratch):
+    import os
+    from coheral.sources import files as FI
+    for day, server in (("2024-01-02", "server1"), ("2024-01-01", "server2"), ("2024-01-02", "server0"), ("2024-01-03", "server0")):
+        os.makedirs(os.path.join(scratch, server), exist_ok=True)
+        open(os.path.join(scratch, server, f"{day}-conv.json"), "w").write("{}")
+    names = lambda **k: ["/".join(p.split("/")[-2:]) for p in FI.list_log_files_by_date(spark, scratch, **k)]
+    assert names() == ["server2/2024-01-01-conv.json", "server0/2024-01-02-conv.json", "server1/2024-01-02-conv.json", "server0/2024-01-03-conv.json"]
+    assert names(max_files=2) == ["server1/2024-01-02-conv.json", "server0/2024-01-03-conv.json"]
+    assert names(first="2024-01-02", last="2024-01-02") == ["server0/2024-01-02-conv.json", "server1/2024-01-02-conv.json"]
+
+
+def test_split_cache_one_row_per_class(spark, scratch):
+    import os
+    from coheral.sources import files as FI
+    path = os.path.join(scratch, "cache")
+    spark.range(20).selectExpr("id AS ord", "id % 3 AS label", "IF(id < 10, 'train', 'dev') AS split").write.partitionBy("split").parquet(path)
+    got = FI.read_split_cache(spark, path, "dev", one_per_class="label").collect()
+    assert sorted((r.label, r.ord) for r in got) == [(0, 12), (1, 10), (2, 11)]

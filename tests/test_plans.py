@@ -28,7 +28,7 @@ def test_first_per_key_aggregates_map_side(spark):
     # one key holds a third of the rows
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
                                    F.col("id").alias("ord"), (F.col("id") * 2).alias("v"))
-    out = JN.first_per_key(df, ["k"], ["ord"])
+    out = JN.first_per_key(df, ["k"], ["ord"], unique_order=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan and "Window" not in plan
     assert out.filter(F.col("k") == 0).first()["ord"] == 0

@@ -69,3 +69,9 @@ def test_agreement_with_hot_game(spark):
         hh_total += n * (n - 1) // 2
         hh_agree += sum(c * (c - 1) // 2 for c in g["cls"].value_counts())
     assert got[(True, "human_vs_human")] == (hh_agree, hh_total)
+
+
+def test_first_per_key_ties_give_one_row(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 5, "n"), (None, 5, "n")], "key string, ord int, v string")
+    got = first_per_key(df, ["key"], ["ord"]).collect()
+    assert sorted((r["key"] or "", r["ord"]) for r in got) == [("", 5), ("a", 1)]
