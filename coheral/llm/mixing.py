@@ -68,31 +68,36 @@ def hypergeometric(population: Column, marked: Column, draws: Column, u: Column)
     The probabilities are walked upwards from ten standard deviations below the mean, by
     the ratio of neighbouring terms; what lies outside has a mass below double precision.
     """
-    R, K, n = (c.cast("double") for c in (population, marked, draws))
-    mean = n * K / R
-    sd = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - K / R) * (R - n) / F.greatest(R - 1, F.lit(1.0))))
-    least, most = F.greatest(F.lit(0.0), n + K - R), F.least(n, K)
-    lo = F.greatest(least, F.floor(mean - 10 * sd - 10).cast("double")).cast("long")
-    hi = F.least(most, F.ceil(mean + 10 * sd + 10).cast("double")).cast("long")
-
-    def ratio(x: Column) -> Column:
-        return (K - x) * (n - x) / ((x + 1) * (R - K - n + x + 1))
-
-    steps = F.sequence(lo, hi)
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
-    whole = F.aggregate(steps, start, lambda a, x: F.struct(
-        F.when(x < hi, a["w"] * ratio(x)).otherwise(F.lit(0.0)).alias("w"), (a["sum"] + a["w"]).alias("sum")),
-        lambda a: a["sum"])
-    first = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), lo.alias("at"))
-
-    def step(goal):
-        return lambda a, x: F.struct(
-            F.when(x < hi, a["w"] * ratio(x)).otherwise(F.lit(0.0)).alias("w"), (a["sum"] + a["w"]).alias("sum"),
-            F.when((x > lo) & (a["sum"] < goal), x).otherwise(a["at"]).alias("at"))
-
-    goal = F.transform(F.array(whole), lambda t: t * u)  # evaluate the total once
-    drawn = F.element_at(F.transform(goal, lambda g: F.aggregate(steps, first, step(g), lambda a: a["at"])), 1)
-    return F.when((R <= 0) | (n <= 0) | (K <= 0), F.lit(0).cast("long")).when(n >= R, marked.cast("long")).otherwise(drawn)
+    def bind(rows: Column, **more) -> Column:
+        """Give each value a name once: what follows refers to it instead of repeating its expression."""
+        return F.transform(rows, lambda a: F.struct(a["R"].alias("R"), a["K"].alias("K"), a["n"].alias("n"), a["u"].alias("u"),
+                                                    *[f(a).alias(name) for name, f in more.items()]))
+
+    def ratio(a: Column, x: Column) -> Column:
+        return (a["K"] - x) * (a["n"] - x) / ((x + 1) * (a["R"] - a["K"] - a["n"] + x + 1))
+
+    def total(a: Column) -> Column:
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+        return F.aggregate(F.sequence(a["lo"], a["hi"]), start, lambda t, x: F.struct(
+            F.when(x < a["hi"], t["w"] * ratio(a, x)).otherwise(F.lit(0.0)).alias("w"), (t["sum"] + t["w"]).alias("sum")),
+            lambda t: t["sum"])
+
+    def pick(a: Column) -> Column:
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), a["lo"].alias("at"))
+        return F.aggregate(F.sequence(a["lo"], a["hi"]), start, lambda t, x: F.struct(
+            F.when(x < a["hi"], t["w"] * ratio(a, x)).otherwise(F.lit(0.0)).alias("w"), (t["sum"] + t["w"]).alias("sum"),
+            F.when((x > a["lo"]) & (t["sum"] < a["goal"]), x).otherwise(t["at"]).alias("at")), lambda t: t["at"])
+
+    given = F.array(F.struct(population.cast("double").alias("R"), marked.cast("double").alias("K"), draws.cast("double").alias("n"), u.alias("u")))
+    spread = bind(given, mean=lambda a: a["n"] * a["K"] / a["R"], sd=lambda a: F.sqrt(F.greatest(
+        F.lit(0.0), a["n"] * a["K"] / a["R"] * (1 - a["K"] / a["R"]) * (a["R"] - a["n"]) / F.greatest(a["R"] - 1, F.lit(1.0)))))
+    ends = bind(spread,
+                lo=lambda a: F.greatest(F.lit(0.0), a["n"] + a["K"] - a["R"], F.floor(a["mean"] - 10 * a["sd"] - 10).cast("double")).cast("long"),
+                hi=lambda a: F.least(a["n"], a["K"], F.ceil(a["mean"] + 10 * a["sd"] + 10).cast("double")).cast("long"))
+    goals = bind(ends, lo=lambda a: a["lo"], hi=lambda a: a["hi"], goal=lambda a: total(a) * a["u"])
+    drawn = F.element_at(F.transform(goals, pick), 1)
+    none = (population <= 0) | (draws <= 0) | (marked <= 0)
+    return F.when(none, F.lit(0).cast("long")).when(draws >= population, marked.cast("long")).otherwise(drawn)
 
 
 def _draw(seed: int, level: int):
@@ -181,7 +186,8 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 64, block_words: int
     tally = ranked.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("last") > 0).cast("long")).alias("r"),
                                          F.max("passes").alias("passes"))
     quotas = tally.select("source", (F.col("n") * F.col("passes") + F.col("r")).alias("quota"))
-    owner = (split_quotas(quotas, depth, seed).groupBy("source")
+    # the tree's plan is long, its result has one row per shard and source: written once, later plans stay short
+    owner = (cut(split_quotas(cut(quotas), depth, seed)).groupBy("source")
              .agg(F.sort_array(F.collect_list(F.struct("start", "shard", "n"))).alias("ranges"))
              .select(F.col("source").alias("o"), F.transform("ranges", lambda r: r["start"]).alias("starts")))
     tally = tally.select(F.col("source").alias("s"), F.col("n").alias("per_pass"))

@@ -230,7 +230,7 @@ def estimate(patterns: DataFrame, rounds: int = 30, prior: float = 0.7) -> DataF
 def fit(df: DataFrame, text: str = "text") -> SpanClassifier:
     """Count votes over all texts, estimate reliabilities, train the span classifier on the posteriors."""
     patterns = cut(count_patterns(df, text))
-    soft = patterns.join(estimate(patterns), ["kind", *LABELERS])
+    soft = cut(patterns.join(estimate(patterns), ["kind", *LABELERS]))  # as small as the patterns; later plans stay short
     yes, no = F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")
     sets = [["kind"], *[[f] for f in FEATURES]]
     rows = [(names[0], r) for names in sets for r in soft.groupBy(*names).agg(yes, no).collect()]
