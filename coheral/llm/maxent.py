@@ -2,7 +2,7 @@
 
 P(token | context) = P(class | context) * P(token | class).  The class softmax is a
 maximum-entropy model over hashed features of the context: the previous token, the pair
-of previous tokens, and the token two back with the nearer one skipped.  It
+of previous tokens, and the tokens two and three back with the nearer ones skipped.  It
 is trained by distributed gradient updates: in every round each task runs AdaGrad over
 its share of the learning texts from the common weights, and the weighted mean of the
 updates makes the next weights; each learning text is used in one round.  Inside a class the
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from coheral.llm.common import cut, mix64, modest_batches, text_slices
 from coheral.llm.words import words
 
-SPELLING = 32          # classes by spelling
+SPELLING = 64          # classes by spelling
 SINGLES = 32           # classes of one frequent token
 CLASSES = SPELLING + SINGLES
 BUCKETS = 1 << 13      # hashed features
@@ -51,7 +51,7 @@ _GROUP = np.uint64(SPELLING - 1)
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts (words, then one end each) and tokens per text.
 
-    The low five bits of a hash are the class by spelling.
+    The low six bits of a hash are the class by spelling.
     """
     data, starts, ends, h, counts = words(texts)
     if len(h):
@@ -161,20 +161,20 @@ class Model:
         return np.where(known, at, -1), np.where(known, self.table_class[at], cls)
 
     def features(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(table places, classes, feature rows n x 3) of the tokens of whole texts."""
+        """(table places, classes, feature rows n x 4) of the tokens of whole texts."""
         at, cls = self.look_up(h)
         # a frequent token is a symbol of its own, others are their class
         symbol = np.where(at >= 0, at + CLASSES + 1, cls).astype(np.uint64)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             s = np.full(len(h), CLASSES, np.uint64)
             s[k:] = symbol[:-k] if k < len(h) else symbol[:0]
             s[pos < k] = CLASSES
             back.append(s)
         mask, big = np.uint64(BUCKETS - 1), np.uint64(1 << 24)
-        rows = np.empty((len(h), 3), np.uint16)
-        for f, key in enumerate((back[0], back[0] * big + back[1], back[1])):
+        rows = np.empty((len(h), 4), np.int32)
+        for f, key in enumerate((back[0], back[0] * big + back[1], back[1], back[2])):
             rows[:, f] = mix64(key, 100 + f) & mask
         return at, cls, rows
 
@@ -209,7 +209,7 @@ def _sum_runs(g: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def gradient_steps(m: Model, rows: np.ndarray, cls: np.ndarray, memory: np.ndarray, rate: float, batch: int = 4096) -> None:
-    """AdaGrad over the tokens in batches, with one step size per feature (``memory``: its mean squared gradients)."""
+    """AdaGrad over the tokens in batches; changes the model's weights and the squared-gradient memory."""
     w = m.weights
     for lo in range(0, len(cls), batch):
         r, c = rows[lo:lo + batch], cls[lo:lo + batch]
@@ -218,19 +218,14 @@ def gradient_steps(m: Model, rows: np.ndarray, cls: np.ndarray, memory: np.ndarr
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(c)), c] -= 1
-        for f in range(r.shape[1]):
-            order = np.argsort(r[:, f], kind="stable")
-            key = r[:, f][order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            g = _sum_runs(p[order], np.diff(np.append(first, len(key))))
-            use = key[first].astype(np.int64)
-            seen = memory[use] + np.einsum("ij,ij->i", g, g) / 8
-            memory[use] = seen
-            g *= (rate / np.sqrt(seen + 1e-6)).astype(np.float32)[:, None]
-            w[use] -= g
-        g = p.sum(0)
-        memory[BUCKETS] += (g * g).sum() / 8
-        w[BUCKETS] -= rate * g / np.sqrt(memory[BUCKETS] + 1e-6)
+        flat = r.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        key = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        use = np.append(key[first], BUCKETS)
+        grad = np.vstack([_sum_runs(p[order % len(c)], np.diff(np.append(first, len(key)))), p.sum(0, keepdims=True)])
+        memory[use] += grad * grad
+        w[use] -= rate * grad / np.sqrt(memory[use] + 1e-6)
 
 
 def _sum_blocks(df: DataFrame, spread: int) -> DataFrame:
@@ -259,7 +254,7 @@ def _round(learn: DataFrame, model: Model, rate: float, blocks: int = 16) -> np.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = shared.value
         own = Model(**{**base.__dict__, "weights": base.weights.copy()})
-        memory, seen = np.zeros(len(own.weights)), 0
+        memory, seen = np.zeros_like(own.weights), 0
         for b in batches:
             texts = _texts(b)
             for lo, hi in text_slices(texts, CHUNK):
@@ -269,7 +264,7 @@ def _round(learn: DataFrame, model: Model, rate: float, blocks: int = 16) -> np.
                 seen += len(h)
         if seen:
             # per row of weights, a task counts by what it has seen of that feature
-            trust = np.sqrt(memory).astype(np.float32) + 1e-9
+            trust = np.sqrt(memory.sum(1)).astype(np.float32) + 1e-9
             delta = np.hstack([(own.weights - base.weights) * trust[:, None], trust[:, None]]).astype(np.float32)
             me = TaskContext.get().partitionId()
             for k, part in enumerate(np.array_split(delta, blocks)):
@@ -326,7 +321,7 @@ def fit(learn: DataFrame, counts: DataFrame, rounds: int, rate: float, table_sha
 
 
 def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", shards: int | None = None,
-          rounds: int = 3, rate: float = 0.5, table_share: float = 4e-6) -> DataFrame:
+          rounds: int = 3, rate: float = 0.15, table_share: float = 4e-6) -> DataFrame:
     """Score every row, learning from those where ``held_out`` is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).

@@ -436,6 +436,28 @@ def test_maxent_is_a_distribution():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_maxent_three_back_and_one_step_per_weight():
+    model = maxent.Model(100, 10, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64),
+                         np.ones(maxent.CLASSES, np.int64), np.ones(maxent.CLASSES, np.int64),
+                         np.zeros((maxent.BUCKETS + 1, maxent.CLASSES), np.float32))
+    assert maxent.SPELLING == 64
+    h, sizes = maxent.tokens(["one two three four", "six two three four"])
+    _, cls, rows = model.features(h, sizes)
+    a, b = rows[3], rows[8]  # "four" in both texts: only the word three back differs
+    assert rows.shape[1] == 4 and (a[:3] == b[:3]).all() and a[3] != b[3]
+    memory = np.zeros_like(model.weights)
+    maxent.gradient_steps(model, rows, cls, memory, 0.15)
+    p = np.full((len(cls), maxent.CLASSES), 1 / maxent.CLASSES)
+    p[np.arange(len(cls)), cls] -= 1
+    want = np.zeros(memory.shape)
+    for r, g in zip(rows, p):
+        for f in r:
+            want[f] += g
+    want[maxent.BUCKETS] = p.sum(0)
+    assert np.allclose(memory, want ** 2, atol=1e-5)  # every weight has a memory of its own
+    assert np.allclose(model.weights, -0.15 * want / np.sqrt(want ** 2 + 1e-6), atol=1e-3)
+
+
 def test_maxent_edges(docs, nothing):
     held = F.coalesce(id_remainder("doc_id", 10) == 0, F.lit(False))
     assert maxent.score(docs, held).count() == docs.count()
