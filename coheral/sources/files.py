@@ -7,7 +7,7 @@ with the distributed ``global_rank`` -- nothing is numbered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coheral.operators.ordering import global_rank
@@ -60,34 +60,60 @@ def read_judge_prompts(spark: SparkSession, path: str) -> DataFrame:
     return first_per_key(d, ["name"], ["ord"], last=True).drop("ord")
 
 
-def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json", max_files: int = 10_000) -> list[str]:
-    """Log files under ``root`` (any depth) ordered by modification time, newest ``max_files`` kept.
+def _log_paths(spark: SparkSession, root: str, pattern: str, *more: str) -> DataFrame:
+    """Metadata of the log files under ``root`` (any depth); the content column is pruned."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+            .load(root).select("path", *more))
 
-    Only file metadata is read (the content column is pruned); the returned
-    list has at most ``max_files`` paths.
+
+def _log_day(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)
+
+
+def _between(df: DataFrame, day: Column, first: str | None, last: str | None) -> DataFrame:
+    if first is not None:
+        df = df.filter(day >= first)
+    if last is not None:
+        df = df.filter(day <= last)
+    return df
+
+
+def read_logs(spark: SparkSession, root: str, pattern: str = "*-conv.json", first: str | None = None,
+              last: str | None = None, schema=SC.ARENA_LOG) -> DataFrame:
+    """All rows of all log files under ``root`` (any depth), no list of files made.
+
+    ``first`` and ``last`` bound the dates in the file names (files without a date then drop out).
     """
-    meta = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-            .load(root).select("path", "modificationTime"))
-    meta = meta.orderBy(F.desc("modificationTime"), F.desc("path")).limit(max_files)
+    r = spark.read.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(root)
+    day = _log_day(F.col("_metadata.file_path"))
+    return r if first is None and last is None else _between(r.filter(day != ""), day, first, last)
+
+
+def list_log_files(spark: SparkSession, root: str, pattern: str = "*-conv.json", max_files: int | None = None) -> list[str]:
+    """Log files under ``root`` (any depth) ordered by modification time; the newest ``max_files``, or all.
+
+    Only file metadata is read; without ``max_files`` the list has every path, as the
+    reference's has (``read_logs`` reads the files without a list).
+    """
+    meta = _log_paths(spark, root, pattern, "modificationTime")
+    if max_files:
+        meta = meta.orderBy(F.desc("modificationTime"), F.desc("path")).limit(max_files)
     return [r["path"] for r in meta.orderBy("modificationTime", "path").collect()]
 
 
 def list_log_files_by_date(spark: SparkSession, root: str, pattern: str = "*-conv.json", first: str | None = None,
-                           last: str | None = None, max_files: int = 10_000) -> list[str]:
-    """Log files named by date (``YYYY-MM-DD-...``) under server folders, by (date, server), the last ``max_files``.
+                           last: str | None = None, max_files: int | None = None) -> list[str]:
+    """Log files named by date (``YYYY-MM-DD-...``) under server folders, by (date, server); the last ``max_files``, or all.
 
     ``first`` and ``last`` bound the dates; only file names are read.
     """
-    meta = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-            .load(root).select("path"))
-    meta = meta.select("path", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).alias("day"),
+    meta = _log_paths(spark, root, pattern)
+    meta = meta.select("path", _log_day(F.col("path")).alias("day"),
                        F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("server")).filter("day <> ''")
-    if first is not None:
-        meta = meta.filter(F.col("day") >= first)
-    if last is not None:
-        meta = meta.filter(F.col("day") <= last)
-    newest = meta.orderBy(F.desc("day"), F.desc("server"), F.desc("path")).limit(max_files)
-    return [r["path"] for r in newest.orderBy("day", "server", "path").collect()]
+    meta = _between(meta, F.col("day"), first, last)
+    if max_files:
+        meta = meta.orderBy(F.desc("day"), F.desc("server"), F.desc("path")).limit(max_files)
+    return [r["path"] for r in meta.orderBy("day", "server", "path").collect()]
 
 
 def scan_log_projected(spark: SparkSession, paths) -> DataFrame:

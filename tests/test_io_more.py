@@ -100,6 +100,22 @@ def test_log_files_by_date_and_server(spark, scratch):
     assert names(first="2024-01-02", last="2024-01-02") == ["server0/2024-01-02-conv.json", "server1/2024-01-02-conv.json"]
 
 
+def test_log_files_are_all_read_without_a_limit(spark, scratch):
+    import os
+    from coheral.sources import files as FI
+    n = 10_050
+    for k in range(n):
+        folder = os.path.join(scratch, f"server{k % 3}")
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, f"2024-01-{k % 28 + 1:02d}-{k}-conv.json"), "w") as f:
+            f.write('{"type": "chat"}' if k < 60 else "{}")
+    assert len(FI.list_log_files(spark, scratch)) == len(FI.list_log_files_by_date(spark, scratch)) == n
+    assert len(FI.list_log_files(spark, scratch, max_files=7)) == len(FI.list_log_files_by_date(spark, scratch, max_files=7)) == 7
+    assert FI.read_logs(spark, scratch).filter("type = 'chat'").count() == 60
+    days = [k % 28 + 1 for k in range(60)]
+    assert FI.read_logs(spark, scratch, first="2024-01-03", last="2024-01-04").filter("type = 'chat'").count() == sum(d in (3, 4) for d in days)
+
+
 def test_split_cache_one_row_per_class(spark, scratch):
     import os
     from coheral.sources import files as FI
