@@ -11,19 +11,25 @@ throughout.  Windows of inconsistent alignments don't count.
 
 A pair is contaminated when the remaining windows make up ``min_cover`` of the item's.
 Items of ``min_tokens`` to ``width - 1`` template tokens are one window of their own
-length; shorter items are not matched, for they would match by chance.
-
-Edge cases: null texts have no windows; repeated documents give one row each per item
-and doc_id; repeated items and null ids are items and documents of their own;
-empty tables give no rows.  Windows that an item holds more than once are left to its
-other windows when slots are aligned (each place of a document then meets at most one
-place of an item, so a text of one repeated word stays linear).
+length.  Shorter items are not matched.
+
+Windows that an item holds more than once: each place of a document meets one place of
+the item at most to propose an alignment (the first one; equal values; for a run of equal
+windows begin with begin and end with end), and the proposed alignments are then looked up
+for all of the item's windows.  So no place pairs are listed, and a text of one repeated
+word stays linear.  Where such a window is nothing but slots (rows of numbers), it
+must have the item's own values, for any other row of numbers has its template.
+
+Edge cases: null texts have no windows; documents are told apart by doc_id and text, so
+rows with one id, or none, are judged one by one, and exact copies under one id give one
+row per item; repeated items are items of their own; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from coheral.llm.common import cut
 
@@ -65,10 +71,23 @@ def window_hashes(codes: Column, width: int | Column) -> Column:
         lambda i: F.xxhash64(F.slice(codes, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _numbered(hashes: Column, words: Column, template: Column, width: int) -> Column:
-    """Windows with their place and slot values, inside the text's row (exploded, each would carry the whole text)."""
-    return F.transform(hashes, lambda h, i: F.struct(
-        (i + 1).alias("at"), h.alias("hash"), _slots(words, template, i + 1, F.lit(width)).alias("values")))
+def _numbered(hashes: Column, words: Column, template: Column, width: int | Column) -> Column:
+    """Windows with their place and slot values, inside the text's row (exploded, each would carry the whole text).
+
+    ``first`` and ``last`` tell whether a run of equal windows begins or ends here.
+    """
+    width = F.lit(width) if isinstance(width, int) else width
+    plain = F.transform(hashes, lambda h, i: F.struct(
+        (i + 1).alias("at"), h.alias("hash"), _slots(words, template, i + 1, width).alias("values")))
+
+    def differs(a: Column, b: Column) -> Column:
+        return ~F.coalesce((a["hash"] == b["hash"]) & (a["values"] == b["values"]), F.lit(False))
+
+    def flagged(ws: Column) -> Column:
+        return F.transform(ws, lambda w, i: F.struct(
+            w["at"].alias("at"), w["hash"].alias("hash"), w["values"].alias("values"), (F.size(w["values"]) == width).alias("bare"),
+            differs(w, F.get(ws, i - 1)).alias("first"), differs(w, F.get(ws, i + 1)).alias("last")))
+    return F.element_at(F.transform(F.array(plain), flagged), 1)  # bound once: written out, each window would number them all again
 
 
 def _slots(words: Column, template: Column, at: Column, width: Column) -> Column:
@@ -77,60 +96,120 @@ def _slots(words: Column, template: Column, at: Column, width: Column) -> Column
                        lambda j: F.lower(F.get(words, (j - 1).cast("int"))))
 
 
-def item_windows(items: DataFrame, key: str, text: str, width: int, min_tokens: int) -> DataFrame:
-    """(item, item_id, width, at, hash, slots, n_windows) for every window of every item."""
-    rows = (items.select(F.col(key).alias("item_id"), tokens(F.col(text)).alias("words"))
-            .withColumn("item", F.monotonically_increasing_id())
-            .withColumn("template", templates(F.col("words")))
-            .filter(F.size("words") >= min_tokens)
-            .withColumn("width", F.least(F.size("words"), F.lit(width))))
-    rows = rows.withColumn("hashes", window_hashes(token_codes(F.col("template")), F.col("width")))
-    hashes = F.transform("hashes", lambda h, i: F.struct(
-        (i + 1).alias("at"), h.alias("hash"), _slots(F.col("words"), F.col("template"), i + 1, F.col("width")).alias("slots")))
-    return rows.select("item", "item_id", "width", F.size(F.array_distinct("hashes")).alias("n_windows"),
-                       F.explode(hashes).alias("w")).select("item", "item_id", "width", "n_windows", "w.*")
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-               item_text: str = "text", width: int = 8, min_tokens: int = 5, min_cover: float = 0.3) -> DataFrame:
-    """Contaminated pairs: (doc_id, item_id, n_windows, cover, n_slots, n_changed).
+def item_windows(items: DataFrame, width: int, min_tokens: int) -> DataFrame:
+    """(item, item_id, width, n_windows, at, hash, slots, bare, first, last, named, n_hash, key, n_key) for every window.
+
+    ``items`` has (item, item_id, words).  ``named`` marks the second form of a first window.  ``key`` is the
+    hash, for a repeated window of nothing but slots with its values; n_hash and n_key count an item's equal ones.
+    """
+    rows = (items.withColumn("template", templates(F.col("words")))
+            .filter(F.size("words") >= min_tokens)
+            .withColumn("width", F.least(F.size("words"), F.lit(width))))
+    own = _numbered(window_hashes(token_codes(F.col("template")), F.col("width")), F.col("words"), F.col("template"), F.col("width"))
+    as_name = F.concat(F.array(F.lit("<name>")), F.slice("template", 2, width - 1))
+    marked = F.concat(F.array(F.concat(F.lit(_NAME), F.get("words", F.lit(0)))), F.slice("words", 2, width - 1))
+    start = _numbered(window_hashes(token_codes(as_name), F.col("width")), marked, as_name, F.col("width"))
+    name = F.lit(False)
+    each = rows.select("item", "item_id", "width", own.alias("own"), F.when(name, start).otherwise(F.slice(start, 1, 0)).alias("start"))
+    every = each.select("item", "item_id", "width", F.size("own").alias("n_windows"), F.explode(F.concat(
+        F.transform("own", lambda w: F.struct(F.lit(False).alias("named"), w.alias("w"))),
+        F.transform("start", lambda w: F.struct(F.lit(True).alias("named"), w.alias("w"))))).alias("e"))
+    flat = every.select("item", "item_id", "width", "n_windows", "e.named", "e.w.*").withColumnRenamed("values", "slots")
+    flat = flat.withColumn("n_hash", F.count("*").over(W.Window.partitionBy("item", "named", "hash")))
+    flat = flat.withColumn("valued", F.col("bare") & (F.col("n_hash") > 1))
+    flat = flat.withColumn("key", F.when(F.col("valued"), F.xxhash64("hash", "slots")).otherwise(F.col("hash")))
+    return flat.withColumn("n_key", F.count("*").over(W.Window.partitionBy("item", "named", "key")))
+
+
+def _proposals(windows: DataFrame) -> DataFrame:
+    """Which places of a repeated window propose alignments: (item, key, item_at, slots, rule)."""
+    many = windows.filter("n_key > 1")
+    fixed = F.col("valued") | (F.size("slots") == 0)
+    places = W.Window.partitionBy("item", "key")
+    many = (many.withColumn("least", F.min("at").over(places)).withColumn("end", F.min(F.when(F.col("last"), F.col("at"))).over(places))
+            .withColumn("n_value", F.count("*").over(W.Window.partitionBy("item", "key", "slots"))))
+    rules = [(fixed & (F.col("at") == F.col("least")), "first"), (fixed & (F.col("at") == F.col("end")), "last"),
+             (~fixed & (F.col("at") == F.col("least")), "any"), (~fixed & (F.col("n_value") == 1), "equal")]
+    rule = F.array_compact(F.array(*[F.when(when, F.lit(name)) for when, name in rules]))
+    return many.select("item", "key", F.col("at").alias("item_at"), "slots", F.explode(rule).alias("rule"))
+
+
+def find_leak_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+                   item_text: str = "text", width: int = 8, min_tokens: int = 5, min_cover: float = 0.3) -> DataFrame:
+    """Contaminated pairs: (doc_id, text_key, item_id, n_windows, cover, n_slots, n_changed).
 
     n_slots counts the distinct slot values compared, n_changed those that differ from the item's.
     """
-    windows = cut(item_windows(items, item_key, item_text, width, min_tokens))
+    known = cut(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("item_id"),
+                             tokens(F.col(item_text)).alias("words")))
+    windows = cut(item_windows(known, width, min_tokens))
     widths = sorted({width, *(r[0] for r in windows.select("width").distinct().collect())})  # min_tokens..width
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    rows = (docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+            .withColumn("text_key", text_key(F.col("text"))))
+    doc = ["doc_id", "text_key"]
 
     def keyed(codes: Column) -> Column:
         each = [window_hashes(codes, w) for w in widths]
         return F.array_distinct(F.concat(*each))
 
-    # 1. which items does a document share windows with, and how many
-    wanted = windows.select("item", "hash", "n_windows").distinct()
+    # 1. which items does a document share windows with, and how many of the item's places have them
+    wanted = windows.groupBy("item", "hash").agg(F.count("*").alias("places"), F.max("n_windows").alias("n_windows"))
     per_doc = (rows.withColumn("words", tokens(F.col("text"))).withColumn("codes", token_codes(templates(F.col("words"))))
-               .select("doc_id", F.explode(keyed(F.col("codes"))).alias("hash")))
-    shared = (per_doc.join(wanted, "hash").groupBy("doc_id", "item")
-              .agg(F.count("*").alias("n"), F.max("n_windows").alias("n_windows"))
-              .filter(F.col("n") >= F.col("n_windows") * min_cover).select("doc_id", "item"))
+               .select(*doc, F.explode(keyed(F.col("codes"))).alias("hash")))
+    shared = (per_doc.join(wanted, "hash").groupBy(*doc, "item", "hash").agg(F.max("places").alias("places"), F.max("n_windows").alias("n_windows"))
+              .groupBy(*doc, "item").agg(F.sum("places").alias("n"), F.max("n_windows").alias("n_windows"))
+              .filter(F.col("n") >= F.col("n_windows") * min_cover).select(*doc, "item"))
     shared = cut(shared)
 
-    # 2. align the places of those pairs and compare their slots
-    again = rows.join(shared.select("doc_id").distinct(), rows["doc_id"].eqNullSafe(shared["doc_id"]), "left_semi")
+    # 2. the places of those pairs' windows
+    same_row = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    partners = shared.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    again = rows.join(partners.select("d", "k").distinct(), same_row, "left_semi")
     w = [_numbered(window_hashes(F.col("codes"), k), F.col("words"), F.col("template"), k) for k in widths]
     places = (again.withColumn("words", tokens(F.col("text"))).withColumn("template", templates(F.col("words")))
               .withColumn("codes", token_codes(F.col("template")))
-              .select("doc_id", F.explode(F.concat(*w)).alias("w")).select("doc_id", "w.*"))
-    once = windows.join(windows.groupBy("item", "hash").count().filter("count = 1").select("item", "hash"), ["item", "hash"], "left_semi")
-    met = (places.join(once.withColumnRenamed("at", "item_at"), "hash")
-           .join(shared.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (once["item"] == shared["item"]), "left_semi"))
+              .select(*doc, F.explode(F.concat(*w)).alias("w")).select(*doc, "w.*"))
+    kinds = windows.select("item", "hash", "valued").distinct()
+    met = (places.join(kinds, "hash").join(partners.withColumnRenamed("item", "i"), same_row & (F.col("item") == F.col("i")), "left_semi")
+           .withColumn("key", F.when(F.col("valued"), F.xxhash64("hash", "values")).otherwise(F.col("hash"))))
+    met = cut(met.select(*doc, "item", "at", "key", "values", "first", "last").distinct())
+
+    # 3. alignments: by windows an item holds once, and as its repeated windows propose; these are looked up in them
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    single = met.join(windows.filter("n_key = 1").select("item", "key", F.col("at").alias("item_at"), "slots", "named"), ["item", "key"])
+    rule = ((F.col("rule") == "any") | ((F.col("rule") == "first") & F.col("first")) | ((F.col("rule") == "last") & F.col("last"))
+            | ((F.col("rule") == "equal") & (F.col("slots") == F.col("values"))))
+    single = single.select(*doc, "item", shift, "item_at", "slots", "values", "named")
+    proposed = met.join(_proposals(windows), ["item", "key"]).filter(rule).select(*doc, "item", shift)
+    repeated = windows.filter("n_key > 1").select("item", "key", F.col("at").alias("item_at"), "slots")
+    shifts = single.select(*doc, "item", "shift").unionByName(proposed).distinct().join(repeated, "item")
+    looked_up = (shifts.withColumn("at", F.col("shift") + F.col("item_at")).withColumnsRenamed({"doc_id": "d", "text_key": "k", "item": "i", "key": "x", "at": "a"})
+                 .join(met, same_row & (F.col("item") == F.col("i")) & (F.col("key") == F.col("x")) & (F.col("at") == F.col("a")))
+                 .select(*doc, "item", "shift", "item_at", "slots", "values", F.lit(False).alias("named")))
     pairs = F.zip_with("slots", "values", lambda a, b: F.struct(a.alias("item_value"), b.alias("value")))
-    aligned = (met.groupBy("doc_id", "item", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"))
-               .agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")))
+    # an item's first word that is the same in the document is no slot
+    counted = F.when(F.col("named") & (F.get("slots", F.lit(0)) == F.get("values", F.lit(0))), F.slice(pairs, 2, width)).otherwise(pairs)
+    aligned = (single.unionByName(looked_up).groupBy(*doc, "item", "shift")
+               .agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+                    F.array_distinct(F.flatten(F.collect_set(counted))).alias("counted")))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_value"]))) == F.size("pairs")
-    changed = F.size(F.filter("pairs", lambda p: p["item_value"] != p["value"]))
-    best = (aligned.filter(consistent).groupBy("doc_id", "item", "item_id", "n_windows")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("found"),
-                 F.max(F.size("pairs")).cast("long").alias("n_slots"), F.max(changed).cast("long").alias("n_changed")))
-    return (best.filter(F.col("found") >= F.col("n_windows") * min_cover)
-            .select("doc_id", "item_id", F.col("found").alias("n_windows"), (F.col("found") / F.col("n_windows")).alias("cover"),
+    changed = F.size(F.filter("counted", lambda p: p["item_value"] != p["value"]))
+    best = (aligned.filter(consistent).groupBy(*doc, "item")
+            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("found"),
+                 F.max(F.size("counted")).cast("long").alias("n_slots"), F.max(changed).cast("long").alias("n_changed"))
+            .join(windows.select("item", "item_id", "n_windows").distinct(), "item")
+            .filter(F.col("found") >= F.col("n_windows") * min_cover)
+            .select(*doc, "item", "item_id", F.col("found").alias("n_windows"), (F.col("found") / F.col("n_windows")).alias("cover"),
                     "n_slots", "n_changed"))
+
+    return best.drop("item")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """find_leak_rows without the texts' keys: (doc_id, item_id, n_windows, cover, n_slots, n_changed)."""
+    return find_leak_rows(docs, items, **options).drop("text_key")

@@ -269,6 +269,36 @@ def test_decontamination_repeated_words_stay_linear(spark):
     assert decontaminate.find_leaks(rows, items).count() == 0  # its windows are one and the same: no aligned place
 
 
+def test_decontamination_repeated_words_are_found(spark):
+    items = spark.createDataFrame([(1, "la " * 30)], "item_id bigint, text string")
+    rows = spark.createDataFrame([(1, "la " * 20000), (2, "la " * 9), (3, "x. " + "la " * 30 + "and so on")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(rows, items).collect()}
+    assert set(got) == {1, 3} and got[1].n_windows == got[3].n_windows == 23 and got[3].cover == 1
+
+
+def test_decontamination_aligns_repeated_windows(spark):
+    rng = random.Random(8)
+    series = " ".join(str(rng.randint(0, 999)) for _ in range(40))
+    shape = lambda k: "; ".join(f"in round {i} team x got {i * k + 3} points and lost" for i in range(1, 7))
+    thrice = " ".join(["tell me the name of the tallest tree in the old park please"] * 3)
+    items = spark.createDataFrame([(1, series), (2, shape(7)), (3, thrice)], "item_id bigint, text string")
+    other = " ".join(str(rng.randint(0, 999)) for _ in range(40))
+    rows = spark.createDataFrame([(1, f"1 2 3 {series} 4 5 6"), (2, other), (3, "so. " + shape(7)), (4, "so. " + shape(11)),
+                                  (5, f"some text {thrice} more"), (6, "in round 3 team x got 4 points and lost")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(rows, items).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3)} and got[1, 1].cover == got[5, 3].cover == 1 and got[4, 2].n_changed > 0
+
+
+def test_decontamination_tells_rows_with_one_id_apart(spark):
+    item = "Which of the following rivers is the longest river that flows through the continent of Africa"
+    words = item.lower().split()
+    halves = [" ".join(words[:9]), " ".join(words[2:11])]  # two windows of nine each
+    rows = spark.createDataFrame([(None, item), (None, "nothing of it in here"), (1, halves[0]), (1, halves[1]), (None, halves[0]), (None, halves[1]), (2, item), (2, item)],
+                                 "doc_id bigint, text string")
+    got = decontaminate.find_leak_rows(rows, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text_key == hashlib.md5(item.encode()).digest()) for r in got) == [(0, True), (2, True)]
+
+
 # -- 4: personal data
 
 def _base_spans(t):
