@@ -11,7 +11,9 @@ throughout.  Windows of inconsistent alignments don't count.
 
 A pair is contaminated when the remaining windows make up ``min_cover`` of the item's.
 Items of ``min_tokens`` to ``width - 1`` template tokens are one window of their own
-length.  Shorter items are not matched.
+length.  An item's first window is there in two forms, its first word a name or not, for
+what stands before it in a document decides that.  Items of up to ``width`` tokens, at any
+length, are also found word by word (lower-cased words, compared in full).
 
 Windows that an item holds more than once: each place of a document meets one place of
 the item at most to propose an alignment (the first one; equal values; for a run of equal
@@ -114,7 +116,7 @@ def item_windows(items: DataFrame, width: int, min_tokens: int) -> DataFrame:
     as_name = F.concat(F.array(F.lit("<name>")), F.slice("template", 2, width - 1))
     marked = F.concat(F.array(F.concat(F.lit(_NAME), F.get("words", F.lit(0)))), F.slice("words", 2, width - 1))
     start = _numbered(window_hashes(token_codes(as_name), F.col("width")), marked, as_name, F.col("width"))
-    name = F.lit(False)
+    name = F.get("words", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}+$")
     each = rows.select("item", "item_id", "width", own.alias("own"), F.when(name, start).otherwise(F.slice(start, 1, 0)).alias("start"))
     every = each.select("item", "item_id", "width", F.size("own").alias("n_windows"), F.explode(F.concat(
         F.transform("own", lambda w: F.struct(F.lit(False).alias("named"), w.alias("w"))),
@@ -139,6 +141,25 @@ def _proposals(windows: DataFrame) -> DataFrame:
     return many.select("item", "key", F.col("at").alias("item_at"), "slots", F.explode(rule).alias("rule"))
 
 
+def _word_copies(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """Documents that hold an item of up to ``width`` words word by word: (doc_id, text_key, item, item_id)."""
+    def plain(words: Column) -> Column:
+        return F.transform(words, lambda w: F.lower(F.ltrim(w, F.lit(_NAME))))
+
+    short = items.select("item", "item_id", plain(F.col("words")).alias("wanted")).filter(F.size("wanted").between(1, width))
+    short = cut(short.withColumn("hash", F.xxhash64("wanted")))
+    sizes = sorted(r[0] for r in short.select(F.size("wanted")).distinct().collect())  # 1..width
+    each = rows.withColumn("plain", plain(tokens(F.col("text"))))
+    runs = [window_hashes(F.col("plain"), k) for k in sizes]
+    hashes = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
+    met = cut(each.select("doc_id", "text_key", F.explode(hashes).alias("hash")).join(short, "hash").drop("hash").distinct())
+    met = met.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    return (each.join(met, same).filter(line("plain").contains(line("wanted")))
+            .select("doc_id", "text_key", "item", "item_id").distinct())
+
+
 def find_leak_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                    item_text: str = "text", width: int = 8, min_tokens: int = 5, min_cover: float = 0.3) -> DataFrame:
     """Contaminated pairs: (doc_id, text_key, item_id, n_windows, cover, n_slots, n_changed).
@@ -207,7 +228,12 @@ def find_leak_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             .select(*doc, "item", "item_id", F.col("found").alias("n_windows"), (F.col("found") / F.col("n_windows")).alias("cover"),
                     "n_slots", "n_changed"))
 
-    return best.drop("item")
+    # 4. short items word by word; a pair found both ways keeps its alignment's figures
+    exact = _word_copies(rows, known, width).select(*doc, "item", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("cover"),
+                                                    F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
+    figures = ["n_windows", "cover", "n_slots", "n_changed"]
+    both = best.unionByName(exact).groupBy(*doc, "item", "item_id").agg(F.max(F.struct("n_slots", "n_windows", "cover", "n_changed")).alias("f"))
+    return both.select(*doc, "item_id", *[F.col(f"f.{c}").alias(c) for c in figures])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -289,6 +289,16 @@ def test_decontamination_aligns_repeated_windows(spark):
     assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3)} and got[1, 1].cover == got[5, 3].cover == 1 and got[4, 2].n_changed > 0
 
 
+def test_decontamination_first_words_and_short_items(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "Paris, France"), (3, "who is it"), (4, "What is the capital of Spain and of Peru")],
+                                  "item_id bigint, text string")
+    texts = [(1, "then he wrote What is the capital of France"), (2, "so. What is the capital of France"), (3, "they met in Paris, France again"),
+             (4, "Who is it? nobody"), (5, "then he wrote What is the capital of Spain and of Peru"), (6, "who it is"), (7, "whois it")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, items).collect()}
+    assert got >= {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)} and not {d for d, _ in got} & {6, 7}
+
+
 def test_decontamination_tells_rows_with_one_id_apart(spark):
     item = "Which of the following rivers is the longest river that flows through the continent of Africa"
     words = item.lower().split()
