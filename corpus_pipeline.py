@@ -41,11 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, its parameters changed or not."""
+    """Drop documents that hold a benchmark item, its parameters changed or not; each row is judged by its own text."""
     docs = docs.select(*COLUMNS)
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    leaks = leaks.select(F.col("doc_id").alias("leak"))
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    leaks = decontaminate.find_leak_rows(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    leaks = leaks.select(F.col("doc_id").alias("leak"), F.col("text_key").alias("leak_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("leak")) & (decontaminate.text_key(F.col("text")) == F.col("leak_text"))
+    return docs.join(leaks, same, "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

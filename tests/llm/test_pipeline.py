@@ -99,6 +99,17 @@ def test_stages_take_odd_documents(spark, tmp_path):
             assert docs.count() == 0
 
 
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_decontamination_judges_rows_without_an_id_one_by_one(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, f"so. {item}", "en", "a", 1), (None, "clean words that no benchmark holds at all", "en", "a", 2),
+            (5, f"so. {item}", "en", "a", 1), (5, "other clean words under the same id", "en", "a", 2), (None, None, "en", "a", 3)]
+    got = cp.decontamination(spark, spark.createDataFrame(rows, KIND), SMALL).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, (rows[1], rows[3], rows[4])))
+
+
 def test_eleven_queries_are_registered():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and len(QUERIES) == 11
 
