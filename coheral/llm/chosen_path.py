@@ -58,7 +58,7 @@ def _digest(s: np.ndarray) -> bytes:
         return (np.array([mix64(s, 1).sum(), mix64(s, 2).sum()], np.uint64)).tobytes()
 
 
-def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def sketches(df: DataFrame, key: str, text: str, width: int, kind: str = "bigint") -> DataFrame:
     """(doc_id, digest of the set, its size, tokens as bytes); wordless texts have a null digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,8 +75,8 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "digest": digest,
                                     "size": [len(s) for s in sets], "tokens": tokens})
 
-    return (df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
-            .mapInPandas(run, "doc_id bigint, digest binary, size bigint, tokens binary"))
+    return (df.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+            .mapInPandas(run, f"doc_id {kind}, digest binary, size bigint, tokens binary"))
 
 
 def buckets(classes: DataFrame, runs: int, depth: int, split_above: int) -> DataFrame:
@@ -276,13 +276,17 @@ def _compare(threshold: float):
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5,
-                 recall: float = 0.9999, depth: int = 2, split_above: int = 1024, block: int = 2048) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies (documents with the same set, itself included)."""
+                 recall: float = 0.9999, depth: int = 2, split_above: int = 1024, block: int = 2048,
+                 kind: str = "bigint") -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_copies (documents with the same set, itself included).
+
+    ``kind`` is the type of the ids.
+    """
     spark = df.sparkSession
     modest_batches(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    docs = cut(sketches(df, key, text, width))
+    docs = cut(sketches(df, key, text, width, kind))
     classes = cut(docs.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("tokens").alias("tokens")))
     leaves = cut(buckets(classes, runs, depth, split_above))
@@ -300,7 +304,7 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     wanted = cut(grouped(first).mapInPandas(_worth_comparing(threshold),
                                             "digest binary, slot int, bucket bigint, lo int, hi int, own int"))
     need = known.join(wanted.select("digest").distinct(), "digest", "left_semi")
-    grams = exact_sets(df, need.select("first_id", F.col("digest").alias("want")), key, text, width)
+    grams = exact_sets(df, need.select("first_id", F.col("digest").alias("want")), key, text, width, kind)
     second = wanted.join(known.join(grams, "digest"), "digest")
     found = cut(grouped(second).mapInPandas(_compare(threshold), "digest binary, links bigint, other binary"))
     linked = found.groupBy("digest").agg(F.sum("links").alias("links"))
@@ -315,7 +319,7 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
     nulls = df.filter(F.col(key).isNull()).select(
-        F.col(key).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        F.col(key).cast(kind).alias("doc_id"), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"),
         F.lit(1).cast("long").alias("n_copies"))
     return alone.unionByName(nulls)
 
@@ -333,7 +337,7 @@ def _pack_leaves(slots: int):
     return pack
 
 
-def exact_sets(df: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def exact_sets(df: DataFrame, wanted: DataFrame, key: str, text: str, width: int, kind: str = "bigint") -> DataFrame:
     """(digest, grams as bytes) of the wanted classes, each from its document with the least id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,6 +349,6 @@ def exact_sets(df: DataFrame, wanted: DataFrame, key: str, text: str, width: int
                 if own:
                     yield pd.DataFrame(own, columns=["digest", "grams"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    rows = df.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     return (rows.join(wanted, F.col("doc_id") == F.col("first_id")).select("want", "text")
             .mapInPandas(run, "digest binary, grams binary").dropDuplicates(["digest"]))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from coheral.llm import chosen_path, decontaminate, language_id, mixing, pii
-from coheral.llm.common import id_remainder, table
+from coheral.llm.common import SPACE_WORD, id_remainder, table
 from coheral.session import checkpoint_dir, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,12 +32,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
+def _row_key() -> Column:
+    """Key of a row as a string that sorts by id, rows without one last: id and hash of all columns.
+
+    Rows with one key are the same row.
+    """
+    sortable = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    whole = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    return F.concat_ws(":", F.coalesce(sortable, F.lit("~")), F.md5(whole.cast("binary")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies, the one with the least id (rows without an id all stay)."""
+    """Keep one row of each class of near copies, the one with the least id (one with an id before one without).
+
+    Rows are told apart by id and content, so texts under one id, or none, are compared like
+    any others; rows without an id and without a word all stay.
+    """
     docs = docs.select(*COLUMNS)
-    first = chosen_path.jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(SPACE_WORD), F.lit(False))
+    keyed = docs.filter(~bare).withColumn("row_key", _row_key())
+    first = chosen_path.jaccard_join(keyed, "row_key", kind="string").filter("doc_id = class_id").select(F.col("doc_id").alias("row_key")).distinct()
+    kept = keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*COLUMNS).unionByName(docs.filter(bare))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +77,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the mix, with size, source_size, target and taken (words to take, repeats counted)."""
     docs = docs.select(*COLUMNS).withColumn("size", F.coalesce(
         F.regexp_count("text", F.lit(mixing.SPACE_WORD)), F.lit(0)).cast("long"))
-    # ids are unique after the second stage; rows without one are told apart by a number
-    same = ["source", "size"]
-    numbered = (docs.filter("doc_id IS NOT NULL").withColumn("nth", F.lit(1)).unionByName(
-        docs.filter("doc_id IS NULL").withColumn("nth", F.row_number().over(W.Window.partitionBy(*same).orderBy("text", "lang")))))
-    taken = mixing.taken_words(docs).filter("taken > 0")
-    taken = (taken.filter("doc_id IS NOT NULL AND copy = 1").withColumn("nth", F.lit(1)).unionByName(
-        taken.filter("doc_id IS NULL").withColumn("nth", F.row_number().over(W.Window.partitionBy(*same).orderBy("copy")))))
+    # rows with one id, or none, are told apart by a number
+    same = ["doc_id", "source", "size"]
+    numbered = docs.withColumn("nth", F.row_number().over(W.Window.partitionBy(*same).orderBy("text", "lang")))
+    taken = mixing.taken_words(docs)
+    taken = taken.withColumn("nth", F.row_number().over(W.Window.partitionBy(*same).orderBy("copy"))).filter("taken > 0")
     taken = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("nth").alias("k"),
                          "source_size", "target", "taken")
     on = (F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))

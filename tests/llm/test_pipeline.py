@@ -110,6 +110,22 @@ def test_decontamination_judges_rows_without_an_id_one_by_one(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, (rows[1], rows[3], rows[4])))
 
 
+def test_near_duplicates_under_one_id_and_without_one(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue"))
+    rows = [(7, one, "en", "a", 1), (7, two, "en", "a", 2), (None, one, "en", "a", 3), (None, three, "en", "a", 4), (None, three + " end", "en", "a", 5),
+            (9, two + " end", "en", "b", 6), (None, "", "en", "a", 0), (None, None, "en", "a", None), (None, None, "en", "a", None), (-3, "lone words", "en", "a", 7)]
+    got = [tuple(r) for r in cp.near_duplicates(spark, spark.createDataFrame(rows, KIND).repartition(3), SMALL).collect()]
+    left = [r for r in got if r[1] is None or not r[1].startswith("blue")]
+    assert sorted(map(str, left)) == sorted(map(str, rows[:2] + rows[6:]))
+    assert len(got) == len(left) + 1
+
+
+def test_mix_keeps_texts_under_one_id(spark):
+    rows = [(1, "a b c", "en", "s", 5), (1, "d e f", "en", "s", 5), (1, "g h i j", "en", "s", 7), (2, "k l", "en", "s", 3)]
+    got = cp.mix(spark, spark.createDataFrame(rows, KIND), SMALL).collect()
+    assert sorted(r.text for r in got) == sorted(r[1] for r in rows) and sum(r.taken for r in got) == 12
+
+
 def test_eleven_queries_are_registered():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and len(QUERIES) == 11
 
