@@ -149,9 +149,11 @@ def _word_copies(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
     short = items.select("item", "item_id", plain(F.col("words")).alias("wanted")).filter(F.size("wanted").between(1, width))
     short = cut(short.withColumn("hash", F.xxhash64("wanted")))
     sizes = sorted(r[0] for r in short.select(F.size("wanted")).distinct().collect())  # 1..width
+    if not sizes:
+        return short.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("binary").alias("text_key"), "item", "item_id")
     each = rows.withColumn("plain", plain(tokens(F.col("text"))))
     runs = [window_hashes(F.col("plain"), k) for k in sizes]
-    hashes = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
+    hashes = F.array_distinct(F.concat(*runs))
     met = cut(each.select("doc_id", "text_key", F.explode(hashes).alias("hash")).join(short, "hash").drop("hash").distinct())
     met = met.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
