@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, chosen_path, decontaminate, importance, language_id, licence_scan, maxent, mixing, pii, repeats, rp_forest
+from coheral.llm import chat_windows, chosen_path, decontaminate, importance, language_id, licence_scan, maxent, mixing, pii, repeats, rp_forest, vector_codes
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +97,13 @@ def op9_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+_register(op11_vector_codes, vector_codes.oracle())
+
+
 @_register
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
