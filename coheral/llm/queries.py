@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from coheral.llm import chat_windows, chosen_path, decontaminate, importance, language_id, licence_scan, maxent, mixing, pii, repeats, rp_forest, vector_codes
+from coheral.llm import (chat_windows, chosen_path, decontaminate, hyper_minhash, importance, language_id, licence_scan, maxent,
+                         mixing, pii, repeats, rp_forest, vector_codes)
 from coheral.llm.common import id_remainder, table
 from coheral.plans.registry import Query
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +110,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_register
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
