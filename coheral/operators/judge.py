@@ -345,32 +345,52 @@ def missing_references(questions: DataFrame, references: DataFrame) -> DataFrame
 
 
 def render_prompt(template: Column, values: dict[str, Column]) -> Column:
-    """fill ``{name}`` placeholders of a template column in one pass (values are never searched again)."""
+    """fill ``{name}`` placeholders of a template column in one pass (values are never searched again).
+
+    Null if the template names a value that is null; names that aren't given stay as they are.
+    """
     parts = F.split(template, r"(?=\{[a-z0-9_]+\})|(?<=\})", -1)
     filled = F.create_map(*[x for k, v in values.items() for x in (F.lit("{" + k + "}"), v)])
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at(filled, p), p)), "")
+    lacking = F.exists(parts, lambda p: F.map_contains_key(filled, p) & F.element_at(filled, p).isNull())
+    text = F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at(filled, p), p)), "")
+    return F.when(~lacking, text)
 
 
 def _values(first: Column, second: Column | None, ref: Column, multi: bool) -> dict[str, Column]:
-    """Placeholder values of a match: ``first`` / ``second`` are answer turn arrays, ``ref`` the reference's."""
+    """Placeholder values of a match: ``first`` / ``second`` are answer turn arrays, ``ref`` the reference's; turns that aren't there are null."""
     q, names = F.col("turns"), {}
     sides = [("answer", first)] if second is None else [("answer_a", first), ("answer_b", second)]
     if multi:
-        names |= {"question_1": q[0], "question_2": q[1]}
+        names |= {"question_1": F.get(q, 0), "question_2": F.get(q, 1), "ref_answer_2": F.get(ref, 1)}
         for n, side in sides:
-            names |= {f"{n}_1": side[0], f"{n}_2": side[1]}
+            names |= {f"{n}_1": F.get(side, 0), f"{n}_2": F.get(side, 1)}
     else:
-        names |= {"question": q[0]} | {n: side[0] for n, side in sides}
-    return names | {"ref_answer_1": ref[0], "ref_answer_2": ref[1]}
+        names |= {"question": F.get(q, 0)} | {n: F.get(side, 0) for n, side in sides}
+    return names | {"ref_answer_1": F.get(ref, 0)}
+
+
+def _match_prompt(first: Column, second: Column | None, multi: bool, missing: str) -> Column:
+    """System prompt and filled template of a match whose prompt row is joined; ``missing`` as in ``judge_pairs``."""
+    text = F.concat(F.col("system_prompt"), F.lit("\n\n"), render_prompt(
+        F.col("prompt_template"), _values(first, second, F.col("reference_turns"), multi)))
+    if missing == "skip":
+        return text
+    if missing != "fail":
+        raise ValueError(missing)
+    told = F.concat(F.lit("question "), F.col("question_id").cast("string"), F.lit(": a turn or reference answer that "),
+                    F.col("judge_prompt"), F.lit(" names is missing"))
+    return F.coalesce(text, F.raise_error(told).cast("string"))
 
 
-def judge_pairs(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, **call) -> DataFrame:
+def judge_pairs(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, missing: str = "fail", **call) -> DataFrame:
     """Play both games of every match against a judge (the hook of ``llm_map``) and write the judgment rows.
 
     ``matches``: question_id, category, turns, model_1, model_2, answer_1, answer_2 (turn arrays),
     reference_turns.  ``prompts``: name, system_prompt, prompt_template (S5).  Game 1 shows model_1
     as A, game 2 model_2.  Output: question_id, model_1, model_2, turn, judge_prompt, both winners,
-    prompts and judgments.
+    prompts and judgments.  Where the template names a turn or reference answer that the match
+    doesn't have, the run fails and says which question it is (``missing_references`` finds them before);
+    ``missing="skip"`` asks no judge there: prompts and judgments are null, the winners 'error'.
     """
     from coheral.operators.external import llm_map
 
@@ -378,9 +398,7 @@ def judge_pairs(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = F
     name = F.concat(F.when(need, F.lit("pair-math-v1")).otherwise(F.lit("pair-v2")), F.lit("-multi-turn" if multi_turn else ""))
     m = matches.withColumn("judge_prompt", name).join(
         prompts.select(F.col("name").alias("judge_prompt"), "system_prompt", "prompt_template"), "judge_prompt")
-    ref = F.col("reference_turns")
-    game = lambda n, a, b: F.struct(F.lit(n).alias("game"), F.concat(
-        F.col("system_prompt"), F.lit("\n\n"), render_prompt(F.col("prompt_template"), _values(F.col(a), F.col(b), ref, multi_turn))).alias("prompt"))
+    game = lambda n, a, b: F.struct(F.lit(n).alias("game"), _match_prompt(F.col(a), F.col(b), multi_turn, missing).alias("prompt"))
     games = m.select("question_id", "model_1", "model_2", "judge_prompt",
                      F.explode(F.array(game(1, "answer_1", "answer_2"), game(2, "answer_2", "answer_1"))).alias("g")).select(
         "question_id", "model_1", "model_2", "judge_prompt", "g.*")
@@ -392,16 +410,18 @@ def judge_pairs(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = F
     return out.withColumns({"turn": F.lit(2 if multi_turn else 1), "g1_winner": g1, "g2_winner": g2})
 
 
-def judge_singles(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, **call) -> DataFrame:
-    """X4 (single grading): one call per (question, model answer); the score is parsed from the reply (-1: none)."""
+def judge_singles(matches: DataFrame, prompts: DataFrame, fn, multi_turn: bool = False, missing: str = "fail", **call) -> DataFrame:
+    """X4 (single grading): one call per (question, model answer); the score is parsed from the reply (-1: none).
+
+    ``missing`` as in ``judge_pairs``: a skipped match has a null prompt and judgment and score -1.
+    """
     from coheral.operators.external import llm_map
 
     need = F.col("category").isin(*NEED_REF_CATS)
     name = F.concat(F.when(need, F.lit("single-math-v1")).otherwise(F.lit("single-v1")), F.lit("-multi-turn" if multi_turn else ""))
     m = matches.withColumn("judge_prompt", name).join(
         prompts.select(F.col("name").alias("judge_prompt"), "system_prompt", "prompt_template"), "judge_prompt")
-    text = F.concat(F.col("system_prompt"), F.lit("\n\n"), render_prompt(
-        F.col("prompt_template"), _values(F.col("answer"), None, F.col("reference_turns"), multi_turn)))
+    text = _match_prompt(F.col("answer"), None, multi_turn, missing)
     played = llm_map(m.select("question_id", "model_id", "judge_prompt", text.alias("user_prompt")), "user_prompt", fn, out_col="judgment", **call)
     return played.withColumns({"turn": F.lit(2 if multi_turn else 1), "score": parse_single_score("judgment")})
 

@@ -282,11 +282,11 @@ def q_explanation_view(spark, sf_dir):
 
 _REF_SQL = ("refs AS (SELECT question_id, list_transform(turns, lambda x: 'Reference for: ' || x) AS turns FROM questions "
             "WHERE question_id % 4 <> 0)")
-_HEAD = "CASE WHEN q.category = 'math' THEN 'Reference: ' || coalesce(r.turns[1], '{ref_answer_1}') || chr(10) ELSE '' END"
+_HEAD = "CASE WHEN q.category = 'math' THEN 'Reference: ' || r.turns[1] || chr(10) ELSE '' END"
 
 
 def _verdict(h: str) -> str:
-    return f"CASE WHEN {h}[1] < '6' THEN 'A' WHEN {h}[1] < 'c' THEN 'B' WHEN {h}[1] < 'f' THEN 'tie' ELSE 'error' END"
+    return f"CASE WHEN {h} IS NULL THEN 'error' WHEN {h}[1] < '6' THEN 'A' WHEN {h}[1] < 'c' THEN 'B' WHEN {h}[1] < 'f' THEN 'tie' ELSE 'error' END"
 
 
 @query("judge_run_pairs", "X4 F12 J6 J7 X1", with_fixtures(f"""
@@ -308,7 +308,7 @@ def q_judge_run_pairs(spark, sf_dir):
     m = J.match_all_pairs(fx.questions(t), fx.answers(t), _PAIR_MODELS)
     m = m.select("question_id", "category", "turns", "model_1", "model_2",
                  F.col("answer_1")[0]["turns"].alias("answer_1"), F.col("answer_2")[0]["turns"].alias("answer_2"))
-    out = J.judge_pairs(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge)
+    out = J.judge_pairs(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge, missing="skip")
     return out.select("question_id", "model_1", "model_2", "judge_prompt", "turn", F.md5("g1_user_prompt").alias("g1_md5"),
                       F.md5("g2_user_prompt").alias("g2_md5"), "g1_winner", "g2_winner")
 
@@ -321,12 +321,12 @@ WITH {_REF_SQL}, p AS (
   FROM questions q JOIN answers a ON a.question_id = q.question_id LEFT JOIN refs r ON r.question_id = q.question_id
   WHERE len(q.turns) >= 2)
 SELECT question_id, model_id, judge_prompt, 2 AS turn, md5(prompt) AS prompt_md5,
-       CAST((strpos('0123456789abcdef', md5(prompt)[2]) - 1) % 10 + 1 AS DOUBLE) AS score FROM p""", "answers"))
+       coalesce(CAST((strpos('0123456789abcdef', md5(prompt)[2]) - 1) % 10 + 1 AS DOUBLE), -1) AS score FROM p""", "answers"))
 def q_judge_run_singles(spark, sf_dir):
     t = _t(spark, sf_dir)
     m = J.match_single(fx.questions(t), fx.answers(t)).filter(F.size("turns") >= 2)
     m = m.select("question_id", "category", "turns", "model_id", F.col("choices")[0]["turns"].alias("answer"))
-    out = J.judge_singles(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge, multi_turn=True)
+    out = J.judge_singles(J.attach_references(m, fx.reference_answers(t)), fx.judge_prompts(t), stub_judge, multi_turn=True, missing="skip")
     return out.select("question_id", "model_id", "judge_prompt", "turn", F.md5("user_prompt").alias("prompt_md5"), "score")
 
 

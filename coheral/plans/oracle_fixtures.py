@@ -64,7 +64,7 @@ FIXTURE_SQL = {
              "'value': text || CASE WHEN turn = 0 AND conv_id % 9 = 4 THEN chr(10) || '1. one' || chr(10) || '1. two' "
              "WHEN turn = 0 AND conv_id % 9 = 7 THEN ' call 777777777' ELSE '' END} ORDER BY turn) AS conversations "
              "FROM conversations GROUP BY conv_id",
-    "questions": "SELECT item_id AS question_id, CASE WHEN item_id % 10 = 0 THEN 'math' ELSE 'generic' END AS category, "
+    "questions": "SELECT item_id AS question_id, CASE WHEN item_id % 5 = 0 THEN 'math' ELSE 'generic' END AS category, "
                  "CASE WHEN item_id % 2 = 0 THEN [text, 'Now expand on: ' || text] ELSE [text] END AS turns FROM benchmark",
     "answers": "SELECT DISTINCT s.question_id, s.model AS model_id FROM single_judgments s "
                "JOIN questions q ON s.question_id = q.question_id",

@@ -290,7 +290,7 @@ def questions(t: Tables) -> DataFrame:
     follow = F.concat(F.lit("Now expand on: "), F.col("text"))
     return b.select(
         F.col("item_id").alias("question_id"),
-        F.when(F.col("item_id") % 10 == 0, "math").otherwise("generic").alias("category"),
+        F.when(F.col("item_id") % 5 == 0, "math").otherwise("generic").alias("category"),
         F.when(F.col("item_id") % 2 == 0, F.array(F.col("text"), follow))
          .otherwise(F.array(F.col("text"))).alias("turns"))
 

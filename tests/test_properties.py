@@ -20,17 +20,14 @@ CONV_T = "id string, ord long, model string, plugins string, conversations array
 
 # ---------------------------------------------------------------- D1 dedup
 def greedy_dedup(rows):
-    visited, kept = set(), []
-    for r in sorted(rows, key=lambda r: r["ord"]):
-        if ("id", r["id"]) in visited or r["plugins"] is not None:
-            continue
-        key = ("k", r["conversations"][0][1], r["conversations"][1][1])
-        if key in visited:
-            continue
-        visited.add(("id", r["id"]))
-        visited.add(key)
-        kept.append(r["ord"])
-    return sorted(kept)
+    """Keep the first undecided row, strike out those that share its id or first exchange, and so on."""
+    left = sorted(((r["ord"], r["id"], r["conversations"][:2]) for r in rows if r["plugins"] is None))
+    kept = []
+    while left:
+        first = left[0]
+        kept.append(first[0])
+        left = [r for r in left if r[1] != first[1] and r[2] != first[2]]
+    return kept
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -56,25 +53,27 @@ def test_dedup_chain_is_not_two_windows(spark):
 
 
 # ------------------------------------------------------------ D7 splitting
-def split_literal(conv, lens, max_length):
-    conv = conv[: len(conv) // 2 * 2]
-    lens = lens[: len(conv)]
-    if len(conv) % 2 != 0 or len(conv) < 2:
-        return []
-    out, start, cur = [], 0, 0
-    for i in range(0, len(conv), 2):
-        tmp = lens[i] + lens[i + 1]
-        if cur + tmp > max_length:
-            out.append((start, i))
-            start, cur = i, 0
-        elif i == len(conv) - 2:
-            out.append((start, i + 2))
-        cur += tmp
-    return out
+def packed_spans(lens, limit):
+    """Spans of whole exchanges by the packing rule, from cumulative sums.
+
+    An exchange joins the open span unless the span, counted from the last cut on, would pass the
+    limit; a cut gives the span before it, and the last exchange only closes a span it joins.
+    """
+    pairs = np.array(lens[: len(lens) // 2 * 2]).reshape(-1, 2).sum(1)
+    ends, cuts = np.cumsum(pairs), []
+    while len(pairs):
+        before = ends[cuts[-1] - 1] if cuts and cuts[-1] else 0
+        first = cuts[-1] + 1 if cuts else 0  # the exchange at a cut stays in, however long it is
+        over = np.flatnonzero(ends[first:] > before + limit)
+        if not len(over):
+            break
+        cuts.append(first + int(over[0]))
+    edges = [0, *cuts] + ([len(pairs)] if len(pairs) and (not cuts or cuts[-1] < len(pairs) - 1) else [])
+    return [(2 * a, 2 * b) for a, b in zip(edges, edges[1:])]
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_split_long_conversation_matches_loop(spark, seed):
+def test_split_long_conversation_packs_exchanges(spark, seed):
     rnd = random.Random(seed)
     rows, expect = [], []
     for k in range(40):
@@ -82,7 +81,7 @@ def test_split_long_conversation_matches_loop(spark, seed):
         conv = [("human" if i % 2 == 0 else "gpt", " ".join("w" for _ in range(rnd.randrange(1, 30)))) for i in range(n)]
         rows.append((f"c{k}", k, "m", None, conv))
         lens = [len(v.split()) + 6 for _, v in conv]
-        for s, e in split_literal(conv, lens, 60):
+        for s, e in packed_spans(lens, 60):
             expect.append((f"c{k}_{s}", e - s))
     df = spark.createDataFrame(rows, CONV_T)
     got = sorted((r["id"], r["n"]) for r in C.split_long_conversation(df, 60)
