@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -265,8 +266,13 @@ def test_decontamination_wants_consistent_slots(spark):
 
 def test_decontamination_repeated_words_stay_linear(spark):
     items = spark.createDataFrame([(1, "la " * 30)], "item_id bigint, text string")
-    rows = spark.createDataFrame([(1, "la " * 20000)], "doc_id bigint, text string")
-    assert decontaminate.find_leaks(rows, items).count() == 0  # its windows are one and the same: no aligned place
+    seconds = []
+    for n in (2_000, 20_000, 160_000):  # the first run compiles
+        rows = spark.createDataFrame([(1, "la " * n)], "doc_id bigint, text string")
+        start = time.time()
+        assert [(r.doc_id, r.item_id, r.n_windows) for r in decontaminate.find_leaks(rows, items).collect()] == [(1, 1, 23)]
+        seconds.append(time.time() - start)
+    assert seconds[2] < 8 * seconds[1] + 10  # eight times the words; all pairs of places would be 64 times the work
 
 
 def test_decontamination_repeated_words_are_found(spark):
