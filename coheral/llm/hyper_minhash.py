@@ -18,8 +18,9 @@ Equal sets are one class from the start.  Then two passes over the bands' bucket
 
 A candidate must pass the collision-corrected estimate C - E[collisions] over the registers
 occupied in either set, with a margin of six standard deviations under the threshold, and is then
-confirmed on both full sets of 64-bit gram hashes, which are only built for candidates.  A pair at
-the threshold misses all bands with odds of 3e-7.
+confirmed on both full sets of 64-bit gram hashes, which are only built for candidates (a bitmap of
+``FILTER_BITS`` bits over their text keys spares most other texts the shuffle; a full one spares
+none, with the same result).  A pair at the threshold misses all bands with odds of 3e-7.
 
 Edge cases: null, empty and wordless texts have no shingles and are linked with nothing;
 rows with a null id take part (a component's id is its least non-null id, null if it has
@@ -49,6 +50,7 @@ BAND = 3
 BANDS = REGISTERS // BAND
 LEVELS = 58  # leading-zero counts that 64 bits less the 6 of the bucket can have
 CHUNK = 1 << 19
+FILTER_BITS = 24
 _ORDERS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64), 31).reshape(REGISTERS, REGISTERS), axis=1)
 
 
@@ -154,11 +156,13 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
         run, "doc_id bigint, text_key string, digest binary, size bigint, dense binary, occupied binary")
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
-    """(digest, band, key): the buckets a set is in, by hash of the band's registers."""
+def band_buckets(classes: DataFrame) -> DataFrame:
+    """(no, band, key, pivot): the buckets of two sets or more that a set is in, by hash of the band's registers; the pivot is the least set."""
     keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("dense", b * BAND * 2 + 1, BAND * 2)).alias("key"))
             for b in range(BANDS)]
-    return classes.select("digest", F.explode(F.array(*keys)).alias("b")).select("digest", "b.*")
+    rows = classes.select("no", F.explode(F.array(*keys)).alias("b")).select("no", "b.*")
+    shared = rows.groupBy("key").agg(F.min("no").alias("pivot"), F.max("no").alias("last")).filter("pivot <> last")
+    return cut(rows.join(shared.select("key", "pivot"), "key"))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -169,21 +173,37 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def exact_sets(df: DataFrame, classes: DataFrame, digests: DataFrame, width: int) -> DataFrame:
-    """(digest, grams as bytes) of the given classes, written; each from one text that has the set."""
-    wanted = _written(classes.join(digests.distinct(), "digest", "left_semi").select(
-        "digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
+def _likely(wanted: DataFrame):
+    """Column that is true for every wanted text key and for few others: a bitmap of ``FILTER_BITS`` bits, whatever the input."""
+    slot = lambda key: F.conv(F.substring(key, 1, FILTER_BITS // 4), 16, 10).cast("int")
+    words = wanted.select(slot("first_key").alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).collect()
+    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for r in words:
+        bitmap[r["w"]] = r["bits"]
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        s = slots.fillna(0).to_numpy(np.int64)
+        return pd.Series(((bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool))
+
+    return test(slot("text_key"))
+
+
+def exact_sets(df: DataFrame, classes: DataFrame, numbers: DataFrame, width: int) -> DataFrame:
+    """(no, grams as bytes) of the given classes, written; each from one text that has the set."""
+    wanted = _written(classes.join(numbers.distinct(), "no", "left_semi").select(
+        "no", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, digest = list(b["text"]), list(b["digest"])
+            texts, no = list(b["text"]), b["no"].to_numpy()
             for lo, hi in text_slices(texts, CHUNK):
-                sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame({"digest": digest[lo:hi], "grams": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"no": no[lo:hi], "grams": [s.tobytes() for s in shingle_sets(texts[lo:hi], width)]})
 
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
-    texts = df.select("doc_id", "text", F.md5("text").alias("text_key")).join(wanted, same).select("digest", "text")
-    return cut(texts.mapInPandas(run, "digest binary, grams binary").dropDuplicates(["digest"]))
+    texts = df.select("doc_id", "text", F.md5("text").alias("text_key")).filter(_likely(wanted)).join(wanted, same).select("no", "text")
+    return cut(texts.mapInPandas(run, "no bigint, grams binary").dropDuplicates(["no"]))
 
 
 def _similar(s: np.ndarray, t: np.ndarray, threshold: float) -> bool:
@@ -202,11 +222,9 @@ def _size_fits(a: str, b: str, threshold: float):
 
 def star_links(df: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float, width: int, group: int, parts: int) -> DataFrame:
     """(a, b) links between sets and the least set of a bucket they are in."""
-    least = rows.groupBy("key").agg(F.min("digest").alias("pivot"), F.max("digest").alias("last")).filter("pivot <> last")
-    pairs = rows.join(least.select("key", "pivot"), "key").filter("digest <> pivot").select("digest", "pivot").distinct()
-    sketch = classes.select("digest", "size", "dense", "occupied")
-    pairs = (pairs.join(sketch, "digest")
-             .join(sketch.select(F.col("digest").alias("pivot"), F.col("size").alias("size2"), F.col("dense").alias("dense2"),
+    sketch = classes.select("no", "size", "dense", "occupied")
+    pairs = (rows.filter("no <> pivot").select("no", "pivot").distinct().join(sketch, "no")
+             .join(sketch.select(F.col("no").alias("pivot"), F.col("size").alias("size2"), F.col("dense").alias("dense2"),
                                  F.col("occupied").alias("occupied2")), "pivot").filter(_size_fits("size", "size2", threshold)))
 
     def estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,32 +233,32 @@ def star_links(df: DataFrame, classes: DataFrame, rows: DataFrame, threshold: fl
             if n:
                 both = Sketches([*b["dense"], *b["dense2"]], [*b["occupied"], *b["occupied2"]], np.concatenate((b["size"], b["size2"])))
                 good = both.similarity(np.arange(n), np.arange(n, 2 * n)) >= least_estimate(threshold)
-                yield b.loc[good, ["digest", "pivot"]]
+                yield b.loc[good, ["no", "pivot"]]
 
-    pairs = cut(pairs.mapInPandas(estimated, "digest binary, pivot binary"))
-    sets = exact_sets(df, classes, pairs.select("digest").unionByName(pairs.select(F.col("pivot").alias("digest"))), width)
+    pairs = cut(pairs.mapInPandas(estimated, "no bigint, pivot bigint"))
+    sets = exact_sets(df, classes, pairs.select("no").unionByName(pairs.select(F.col("pivot").alias("no"))), width)
     # a pivot's candidates in groups, each with a copy of the pivot in front
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / group).alias("groups"))
-    dealt = pairs.join(sizes, "pivot").select("digest", "pivot", F.pmod(F.xxhash64("digest"), F.col("groups")).alias("salt"))
-    members = dealt.join(sets, "digest").select("pivot", "salt", F.lit(1).alias("side"), "digest", "grams")
-    heads = dealt.select("pivot", "salt").distinct().join(sets.withColumnRenamed("digest", "pivot"), "pivot").select(
-        "pivot", "salt", F.lit(0).alias("side"), F.col("pivot").alias("digest"), "grams")
+    dealt = pairs.join(sizes, "pivot").select("no", "pivot", F.pmod(F.xxhash64("no"), F.col("groups")).alias("salt"))
+    members = dealt.join(sets, "no").select("pivot", "salt", F.lit(1).alias("side"), "no", "grams")
+    heads = dealt.select("pivot", "salt").distinct().join(sets.withColumnRenamed("no", "pivot"), "pivot").select(
+        "pivot", "salt", F.lit(0).alias("side"), F.col("pivot").alias("no"), "grams")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
         for b in batches:
             out = []
-            for pivot, side, digest, grams in zip(b["pivot"], b["side"], b["digest"], b["grams"]):
+            for pivot, side, no, grams in zip(b["pivot"], b["side"], b["no"], b["grams"]):
                 s = np.frombuffer(grams, np.uint64)
                 if side == 0:
                     head = s
                 elif _similar(head, s, threshold):
-                    out.append((digest, pivot))
+                    out.append((no, pivot))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     both = members.unionByName(heads).repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "side")
-    return cut(both.mapInPandas(confirm, "a binary, b binary"))
+    return cut(both.mapInPandas(confirm, "a bigint, b bigint"))
 
 
 GROUP = ["key", "lo", "hi"]
@@ -275,7 +293,7 @@ def _tiles(own: np.ndarray, cross: bool, tile: int = 256) -> Iterator[tuple[np.n
 def _candidates(g: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of a block pair that are of several components, alike by estimate, and not met in an earlier band."""
     sketch = Sketches(list(g["dense"]), list(g["occupied"]), g["size"].to_numpy())
-    root, band = g["root_no"].to_numpy(), int(g["band"].iloc[0])
+    root, band = g["root"].to_numpy(), int(g["band"].iloc[0])
     for i, j in _tiles(g["own"].to_numpy(), bool(g["lo"].iloc[0] != g["hi"].iloc[0])):
         a, b = sketch.size[i][:, None], sketch.size[j][None, :]
         ok = (root[i][:, None] != root[j][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * round(threshold * 100))
@@ -296,7 +314,7 @@ def _screen(threshold: float):
             for i, j in _candidates(g, threshold):
                 use[i] = use[j] = True
             if use.any():
-                yield g.loc[use, ["digest", "band", "root_no", "own", *GROUP]]
+                yield g.loc[use, ["no", "band", "root", "own", *GROUP]]
     return run
 
 
@@ -304,7 +322,7 @@ def _confirm(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches):
             sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-            digest, root = list(g["digest"]), g["root_no"].tolist()
+            no, root = g["no"].tolist(), g["root"].tolist()
             parent = {r: r for r in root}
 
             def find(v: int) -> int:
@@ -319,7 +337,7 @@ def _confirm(threshold: float):
                     r, s = find(root[x]), find(root[y])
                     if r != s and _similar(sets[x], sets[y], threshold):  # one link joins two components
                         parent[r] = s
-                        out.append((digest[x], digest[y]))
+                        out.append((no[x], no[y]))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
     return run
@@ -328,22 +346,22 @@ def _confirm(threshold: float):
 def rest_links(df: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFrame, threshold: float, width: int,
                block: int, parts: int) -> DataFrame:
     """(a, b) links that join the given components, from the buckets that hold several of them."""
-    labelled = rows.join(roots, "digest", "left").withColumn("root_no", F.xxhash64(F.coalesce("root", "digest"))).drop("root")
-    open_ = labelled.groupBy("key").agg(F.min("root_no").alias("r0"), F.max("root_no").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
+    labelled = rows.drop("pivot").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
     members = labelled.join(open_.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("no", F.lit(5)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                         lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi")))
-    placed = members.select("digest", "band", "root_no", "own", "key", F.explode(pairs).alias("p")).select("digest", "band", "root_no", "own", "key", "p.*")
-    sketch = classes.select("digest", "size", "dense", "occupied")
+    placed = members.select("no", "band", "root", "own", "key", F.explode(pairs).alias("p")).select("no", "band", "root", "own", "key", "p.*")
+    sketch = classes.select("no", "size", "dense", "occupied")
 
     def grouped(x: DataFrame) -> DataFrame:
-        return x.join(sketch, "digest").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "digest")
+        return x.join(sketch, "no").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "no")
 
     wanted = cut(grouped(placed).mapInPandas(
-        _screen(threshold), "digest binary, band int, root_no bigint, own int, key bigint, lo int, hi int"))
-    sets = exact_sets(df, classes, wanted.select("digest"), width)
-    return cut(grouped(wanted.join(sets, "digest")).mapInPandas(_confirm(threshold), "a binary, b binary"))
+        _screen(threshold), "no bigint, band int, root bigint, own int, key bigint, lo int, hi int"))
+    sets = exact_sets(df, classes, wanted.select("no"), width)
+    return cut(grouped(wanted.join(sets, "no")).mapInPandas(_confirm(threshold), "a bigint, b bigint"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 4,
@@ -354,15 +372,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = cut(sketches(df, width))
-    classes = cut(docs.filter("digest IS NOT NULL").groupBy("digest").agg(
+    classes = docs.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"),
-        F.first("dense").alias("dense"), F.first("occupied").alias("occupied")))
-    rows = band_rows(classes)
+        F.first("dense").alias("dense"), F.first("occupied").alias("occupied"))
+    classes = cut(classes.withColumn("no", F.monotonically_increasing_id()))  # written, so the numbers stay
+    rows = band_buckets(classes)
     stars = star_links(df, classes, rows, threshold, width, group, parts)
-    roots = components(stars).select(F.col("node").alias("digest"), "root")
+    roots = components(stars).select(F.col("node").alias("no"), "root")
     rest = rest_links(df, classes, rows, roots, threshold, width, block, parts)
-    roots = components(stars.unionByName(rest)).select(F.col("node").alias("digest"), "root")
-    named = classes.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    roots = components(stars.unionByName(rest)).select(F.col("node").alias("no"), "root")
+    named = classes.select("digest", "no", "first_id").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     per_class = named.join(least, "root").select(F.col("digest").alias("set"), "component_id")
     found = docs.join(per_class, F.col("digest") == F.col("set"), "left")
