@@ -140,3 +140,30 @@ def fs_delete(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     if fs.exists(p):
         fs.delete(p, True)
+
+
+def fs_publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place in one step (written beside, then renamed); False if ``path`` exists already."""
+    p, fs = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    beside, _ = _fs(spark, f"{path}.{os.urandom(6).hex()}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return bool(fs.rename(beside, p))
+
+
+def fs_read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def fs_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    p, fs = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength())

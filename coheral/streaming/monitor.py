@@ -4,7 +4,7 @@ The reference recomputes every report from all log files every 300 seconds.
 Here the append-only JSONL log directory is a streaming source; activity counts
 are windowed aggregations with a watermark, cleaning is the same stateless
 column logic as the batch operator, and the latest-record dedup keeps its state in a
-table under the session's ``spark.checkpoint.dir`` updated by ``foreachBatch``.
+log-structured table (``keyed_state``) that each micro-batch adds its own rows to.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coheral.operators import arena as A
-from coheral.session import checkpoint_dir, fs_delete, fs_list_names
+from coheral.session import checkpoint_dir, fs_delete, fs_exists, fs_list_names
 from coheral.sources import schemas as SC
+from coheral.streaming.keyed_state import KeyedState
 
 
 def stream_log_source(spark: SparkSession, log_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -59,26 +60,19 @@ def _prune(spark: SparkSession, table_dir: str, keep_from: int) -> None:
 
 
 def latest_version(spark: SparkSession, table_dir: str, schema: str) -> DataFrame:
-    """The newest committed version of a streaming state table."""
+    """The newest committed version of a streaming state table, replaced or log-structured."""
+    if fs_exists(spark, f"{table_dir}/_manifests"):
+        return KeyedState(spark, table_dir).read()
     versions = _versions(spark, table_dir)
     if not versions:
         return spark.createDataFrame([], schema)
     return spark.read.parquet(f"{table_dir}/v={versions[-1]}")
 
 
-def dedup_batch_writer(table_dir: str, key: str = "conversation_id", order=("tstamp",)):
-    """``foreachBatch`` upsert keeping the latest record per key (versioned Parquet table)."""
+def dedup_batch_writer(table_dir: str, key: str = "conversation_id", order=("tstamp",), buckets: int = 64, ratio: int = 4):
+    """``foreachBatch`` upsert keeping the latest record per key; a batch writes its own rows only."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = batch
-        versions = _versions(spark, table_dir, batch_id)
-        if versions:
-            cur = spark.read.parquet(f"{table_dir}/v={versions[-1]}").unionByName(batch)
-        others = [c for c in cur.columns if c != key]
-        latest = cur.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r"))  # ties in time are one record
-        latest.select(key, "r.*").write.mode("overwrite").parquet(f"{table_dir}/v={batch_id}")
-        if versions:
-            _prune(spark, table_dir, versions[-1])
+        KeyedState(batch.sparkSession, table_dir, key, tuple(order), buckets, ratio).upsert(batch, batch_id)
     return write
 
 
