@@ -14,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coheral.functions.markdown import markdown, markdown_each
 from coheral.functions.text import BLOCKED_WORDS, contains_any, py_strip, word_count
 from coheral.session import cut_lineage
 
@@ -189,44 +190,23 @@ _COPY_CODE = r"(?d)```(.*?)Copy code\s*```"
 # -------------------------------------------------------------------------------
 
 
-def html_to_markdown(val) -> Column:
-    """HTML -> Markdown-ish text with the reference's noise clean-up.
+def _without_wrappers(html: Column) -> Column:
+    """``<div ...>`` and ``<span ...>`` start tags removed, which would break code blocks."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?d)<div.*?>", ""), r"(?d)<span.*?>", "")
 
-    Re-aimed: the Markdown step is a JVM regex chain (tags -> markdown marks,
-    entities unescaped, scripts/styles dropped) instead of a Python HTML
-    library, so it stays in whole-stage codegen.  The clean-up steps around it
-    (div/span removal, code-block reformatting, leading 'n / m', 'Copy..chars',
-    empty copy-code blocks, triple newlines, strip) follow the reference.
-    """
-    v = _c(val)
-    v = F.regexp_replace(v, r"(?d)<div.*?>", "")
-    v = F.regexp_replace(v, r"(?d)<span.*?>", "")
-    # markdown conversion (approximation of a full HTML->Markdown converter)
-    v = F.regexp_replace(v, r"(?is)<(script|style|head)\b.*?</\1>", "")
-    v = F.regexp_replace(v, r"(?s)<!--.*?-->", "")
-    v = F.regexp_replace(v, r"(?i)<br\s*/?>", "\n")
-    for n in range(1, 7):
-        v = F.regexp_replace(v, rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ")
-    v = F.regexp_replace(v, r"(?i)<li\b[^>]*>", "\n* ")
-    v = F.regexp_replace(v, r"(?i)<pre\b[^>]*>", "\n```\n")
-    v = F.regexp_replace(v, r"(?i)</pre>", "\n```\n")
-    v = F.regexp_replace(v, r"(?i)</?code\b[^>]*>", "`")
-    v = F.regexp_replace(v, r"(?i)</?(strong|b)\b[^>]*>", "**")
-    v = F.regexp_replace(v, r"(?i)</?(em|i)\b[^>]*>", "*")
-    v = F.regexp_replace(v, r"(?i)</(p|h[1-6]|ul|ol|table|tr|blockquote)>", "\n\n")
-    v = F.regexp_replace(v, r"<[^>]*>", "")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    v = F.regexp_replace(v, r"[ \t]+\n", "\n")
-    v = F.regexp_replace(v, r"\n{3,}", "\n\n")
-    v = py_strip(v)
-    # reference clean-up
-    v = F.regexp_replace(v, _CODE_LANG, "```$1\n$2\n```")
+
+def _without_noise(v: Column) -> Column:
+    """The clean-up after conversion: code blocks reformatted, counters and copy buttons removed."""
+    v = F.regexp_replace(py_strip(v), _CODE_LANG, "```$1\n$2\n```")
     v = F.regexp_replace(v, _REGENERATE_AT_START, "")
     v = F.regexp_replace(v, _COPY_CHARS, "")
     v = F.regexp_replace(v, _COPY_CODE, "")
-    v = F.replace(v, F.lit("\n\n\n"), F.lit("\n"))
-    return py_strip(v)
+    return py_strip(F.replace(v, F.lit("\n\n\n"), F.lit("\n")))
+
+
+def html_to_markdown(val) -> Column:
+    """HTML -> Markdown (``functions.markdown``) between the reference's clean-up steps."""
+    return _without_noise(markdown(_without_wrappers(_c(val))))
 
 
 def _printable_start(v: Column) -> Column:
@@ -234,11 +214,12 @@ def _printable_start(v: Column) -> Column:
     return ~F.substring(v, 1, 1).rlike(r"^[\p{C}\p{Z}&&[^ ]]")
 
 
-def clean_html_conversation(chats: DataFrame, convert=html_to_markdown) -> DataFrame:
+def clean_html_conversation(chats: DataFrame, convert=None) -> DataFrame:
     """Ordered checks giving ``error_code`` (0 keep, 1 too short, 2 wrong format, 3 blocked word).
 
     Adds ``error_code`` and replaces ``conversations`` with the cleaned messages.
-    (Code 4, a parser error, cannot occur: the converter is total.)
+    (Code 4, a parser error, cannot occur: the converter is total.)  ``convert`` may
+    replace P18 by another expression of a message's text.
     """
     c1 = F.col("conversations")
     c2 = F.when(F.size(c1) > 0, F.when(c1[0]["from"] != "human", F.slice(c1, 2, F.greatest(F.size(c1) - 1, F.lit(1))))
@@ -248,8 +229,12 @@ def clean_html_conversation(chats: DataFrame, convert=html_to_markdown) -> DataF
     c3 = F.when(F.size(c2) > 0, F.when(F.try_element_at(c2, F.lit(-1))["from"] == "human",
                                        F.slice(c2, 1, F.greatest(F.size(c2) - 1, F.lit(1)))).otherwise(c2)).otherwise(c2)
     d = d.withColumn("_c3", c3)
-    md = F.transform("_c3", lambda m: F.struct(m["from"].alias("from"), convert(m["value"]).alias("value")))
-    d = d.withColumn("_md", md)
+    if convert is not None:
+        md = F.transform("_c3", lambda m: F.struct(m["from"].alias("from"), convert(m["value"]).alias("value")))
+    else:
+        d = d.withColumn("_text", markdown_each(F.transform("_c3", lambda m: _without_wrappers(m["value"]))))
+        md = F.transform("_c3", lambda m, i: F.struct(m["from"].alias("from"), _without_noise(F.get("_text", i)).alias("value")))
+    d = d.withColumn("_md", md).drop("_text")
     bad = F.transform("_md", lambda m: (F.length(m["value"]) == 0) | ~_printable_start(m["value"]))
     pos = F.array_position(bad, True)
     d = d.withColumn("_cut", F.when(pos > 0, pos - 1).otherwise(F.size("_md")).cast("int"))
