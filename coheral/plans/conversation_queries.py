@@ -153,26 +153,31 @@ def _dup_chats(spark, sf_dir) -> DataFrame:
                     F.coalesce(conv, F.col("conversations")).alias("conversations"))
 
 
-_DUP_CTE = """src AS (SELECT CAST(c.ord // 2 AS VARCHAR) AS id, c.ord,
+_DUP_CTE = """src AS (SELECT CAST(c.ord // 2 AS VARCHAR) AS id, c.ord, c.ord % 11 = 5 AS plugin,
            CASE WHEN c.ord % 7 = 0 AND d.conversations IS NOT NULL AND len(c.conversations) >= 2
                 THEN d.conversations[1:2] || c.conversations[3:] ELSE c.conversations END AS conv
-    FROM chats c LEFT JOIN chats d ON c.ord = d.ord + 5 WHERE c.ord % 11 <> 5),
-keyed AS (SELECT id, ord, row_number() OVER (ORDER BY ord) AS n, conv[1].value || chr(0) || conv[2].value AS k FROM src)"""
-
-
-@query("dedup_conversations", "D1", with_fixtures(f"""
-WITH RECURSIVE {_DUP_CTE}, walk(n, ids, keys, id, ord, kept) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), false
+    FROM chats c LEFT JOIN chats d ON c.ord = d.ord + 5),
+keyed AS (SELECT id, ord, plugin, row_number() OVER (ORDER BY ord) AS n, conv[1].value || chr(0) || conv[2].value AS k FROM src),
+walk(n, ids, keys, id, ord, reason) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), ''
   UNION ALL
-  SELECT r.n, CASE WHEN ok THEN list_append(w.ids, r.id) ELSE w.ids END, CASE WHEN ok THEN list_append(w.keys, r.k) ELSE w.keys END,
-         r.id, r.ord, ok
+  SELECT r.n, CASE WHEN why = 'kept' THEN list_append(w.ids, r.id) ELSE w.ids END,
+         CASE WHEN why = 'kept' THEN list_append(w.keys, r.k) ELSE w.keys END, r.id, r.ord, why
   FROM walk w JOIN keyed r ON r.n = w.n + 1,
-       LATERAL (SELECT NOT list_contains(w.ids, r.id) AND (r.k IS NULL OR NOT list_contains(w.keys, r.k)) AS ok) l)
-SELECT id, ord FROM walk WHERE kept""", "chats"))
+       LATERAL (SELECT CASE WHEN list_contains(w.ids, r.id) THEN 'id_duplication' WHEN r.plugin THEN 'plugin'
+                            WHEN r.k IS NOT NULL AND list_contains(w.keys, r.k) THEN 'value_duplication' ELSE 'kept' END AS why) l)"""
+
+
+@query("dedup_conversations", "D1", with_fixtures(f"WITH RECURSIVE {_DUP_CTE} SELECT id, ord FROM walk WHERE reason = 'kept'", "chats"))
 def q_dedup_conversations(spark, sf_dir):
     return C.dedup_conversations(_dup_chats(spark, sf_dir)).select("id", "ord")
 
 
+@query("dedup_reasons", "D1 A31", with_fixtures(f"WITH RECURSIVE {_DUP_CTE} SELECT ord, reason FROM walk WHERE n > 0", "chats"))
+def q_dedup_reasons(spark, sf_dir):
+    return C.dedup_reasons(_dup_chats(spark, sf_dir))
+
+
 _TOK = "len(regexp_extract_all({v}, '[^ \\t\\n\\r]+'))"
 _STATS_CTE = ("per AS (SELECT id, len(conversations) // 2 AS turns, conversations FROM chats), "
               "pr AS (SELECT id, turns, " + _TOK.format(v="conversations[2 * i + 1].value") + " AS p, "
