@@ -364,20 +364,21 @@ def clean_chats(log: DataFrame, action_type: str = "chat", language: Column | No
 def release_stats(chats: DataFrame, token_len=None) -> DataFrame:
     """Conversations, distinct users / models / languages, mean turns, mean prompt and
     response length (tokens, per message) of an openai-format chat table."""
+    from coheral.functions.subword import lengths
     from coheral.functions.text import word_count
     tl = token_len or word_count
     def tokens(role: str) -> tuple[Column, Column]:
         """Tokens and number of a side's messages, inside the conversation's row."""
         own = F.filter("conversation", lambda m: (m["role"] == role) & m["content"].isNotNull())
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, m: a + tl(m["content"])), F.size(own)
+        return F.aggregate(lengths(F.transform(own, lambda m: m["content"]), tl), F.lit(0).cast("long"), lambda a, n: a + n), F.size(own)
 
     p, n_p = tokens("user")
     r, n_r = tokens("assistant")
     per = chats.select("user_id", "model", "language", "turn", p.alias("p"), n_p.alias("np"), r.alias("r"), n_r.alias("nr"))
     return per.agg(F.count(F.lit(1)).alias("n_conversations"), F.countDistinct("user_id").alias("n_users"),
                    F.countDistinct("model").alias("n_models"), F.countDistinct("language").alias("n_languages"),
-                   F.avg("turn").alias("avg_turns"), (F.sum("p") / F.sum("np")).alias("avg_prompt_tokens"),
-                   (F.sum("r") / F.sum("nr")).alias("avg_response_tokens"))
+                   F.avg("turn").alias("avg_turns"), F.try_divide(F.sum("p"), F.sum("np")).alias("avg_prompt_tokens"),
+                   F.try_divide(F.sum("r"), F.sum("nr")).alias("avg_response_tokens"))
 
 
 def language_counts(chats: DataFrame, top: int = 25) -> DataFrame:

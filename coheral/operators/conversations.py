@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coheral.functions.markdown import markdown, markdown_each
+from coheral.functions.subword import lengths
 from coheral.functions.text import BLOCKED_WORDS, contains_any, py_strip, word_count
 from coheral.operators.greedy import greedy_keep
 
@@ -312,8 +313,8 @@ def split_long_conversation(chats: DataFrame, max_length: int, token_len=None, k
     tl = token_len or word_count
     conv = F.slice("conversations", 1, (F.floor(F.size("conversations") / 2) * 2).cast("int"))
     d = chats.withColumn("_conv", conv)
-    lens = F.transform("_conv", lambda m: (tl(m["value"]) + 6).cast("long"))
-    d = d.withColumn("_len", lens).withColumn("_n", F.size("_conv"))
+    counts = lengths(F.transform("_conv", lambda m: m["value"]), tl)
+    d = d.withColumn("_len", F.transform(counts, lambda n: (n + 6).cast("long"))).withColumn("_n", F.size("_conv"))
     rounds = F.sequence(F.lit(0), F.greatest(F.col("_n") / 2 - 1, F.lit(-1)).cast("int"))
     rounds = F.when(F.col("_n") >= 2, rounds).otherwise(F.array().cast("array<int>"))
     init = F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("cur"),
@@ -353,10 +354,11 @@ def corpus_stats(chats: DataFrame, token_len=None) -> tuple[DataFrame, DataFrame
     tl = token_len or word_count
     conv = F.col("conversations")
     turns = F.floor(F.size(conv) / 2).cast("int")
+    counted = chats.select("conversations", lengths(F.transform(conv, lambda m: m["value"]), tl).alias("_n"))
     pairs = F.transform(F.sequence(F.lit(0), turns - 1), lambda i: F.struct(
-        tl(conv[i * 2]["value"]).alias("p"), tl(conv[i * 2 + 1]["value"]).alias("r")))
+        F.get("_n", i * 2).alias("p"), F.get("_n", i * 2 + 1).alias("r")))
     pairs = F.when(turns > 0, pairs)
-    d = chats.select(turns.alias("turns"), F.coalesce(pairs, F.array().cast("array<struct<p:int,r:int>>")).alias("pr"))
+    d = counted.select(turns.alias("turns"), F.coalesce(pairs, F.array().cast("array<struct<p:int,r:int>>")).alias("pr"))
     d = d.select("turns", "pr", F.aggregate("pr", F.lit(0).cast("long"), lambda a, x: a + x["p"] + x["r"]).alias("len"))
     per_turn = d.select(F.explode("pr").alias("x"))
     summary = d.agg(F.count(F.lit(1)).alias("n_conversations"), F.sum("len").alias("n_tokens"),

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coheral.functions.subword import lengths
 from coheral.functions.text import word_count
 
 # ---- fixed values: task wording ------------------------------------------------
@@ -232,11 +233,11 @@ def chat_sft_masks(chats: DataFrame, template: str = "colon_two", token_len=piec
     stop = F.array_position(cut, "")  # the first empty turn ends the walk
     kept = F.when(stop > 0, F.slice(cut, F.lit(1), (stop - 1).cast("int"))).otherwise(cut)
     turns = F.transform(kept, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.lit(user_sep), t)))
+    heads = F.transform("_turns", lambda t: F.when(
+        F.instr(t, answer_sep) > 0, F.concat(F.substring_index(t, answer_sep, 1), F.lit(answer_sep))).otherwise(t))
     d = d.withColumn("_turns", turns)
-    sizes = F.transform("_turns", lambda t: F.struct(
-        token_len(t).cast("int").alias("n"),
-        token_len(F.when(F.instr(t, answer_sep) > 0, F.concat(F.substring_index(t, answer_sep, 1), F.lit(answer_sep))).otherwise(t))
-        .cast("int").alias("masked")))
+    d = d.withColumns({"_n": lengths(F.col("_turns"), token_len), "_m": lengths(heads, token_len)})
+    sizes = F.zip_with("_n", "_m", lambda n, m: F.struct(n.cast("int").alias("n"), m.cast("int").alias("masked")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     walk = F.aggregate(sizes, zero, lambda a, t: F.struct(
         (a["at"] + t["n"]).alias("at"),

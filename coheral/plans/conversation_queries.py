@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coheral.functions.hashing import hash_key
+from coheral.functions.subword import Subwords
 from coheral.functions.text import word_count
 from coheral.operators import conversations as C
 from coheral.operators import ordering as O
@@ -254,6 +257,21 @@ def q_tokenize_count(spark, sf_dir):
     return d.select("doc_id", word_count("text").alias("n_tokens"))
 
 
+VOCABULARY = os.environ.get("COHERAL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@query("subword_stats", "X7 A15")
+def q_subword_stats(spark, sf_dir):
+    """Corpus statistics in subword tokens of the vocabulary file that COHERAL_VOCABULARY names."""
+    return C.corpus_stats(_chats(spark, sf_dir), Subwords(spark, VOCABULARY))[0]
+
+
+@query("subword_count", "X7")
+def q_subword_count(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", Subwords(spark, VOCABULARY)("text").alias("n_tokens"))
+
+
 def _split_sql(keep_tail: bool) -> str:
     tail = "r.last AND r.len + (CASE WHEN w.n = 0 THEN 0 ELSE w.cur END) > 400" if keep_tail else "false"
     return with_fixtures(f"""
