@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from coheral.operators import topics as T
 from coheral.operators.external import llm_map
+from coheral.operators.semantic import fit_semantic, semantic_embedding
+from coheral.operators.ward import hierarchical_topics
 from coheral.plans.metric_queries import _r
 from coheral.plans.oracle_fixtures import with_fixtures
 from coheral.plans.registry import query
@@ -100,6 +102,20 @@ def q_choose_random_prompts(spark, sf_dir):
     return T.choose_random_prompts(_emb(spark, sf_dir).select("vec_id"), 10, 42)
 
 
+@query("semantic_topics", "X6 M5")
+def q_semantic_topics(spark, sf_dir):
+    """Latent semantic vectors of all documents, clustered by k-means."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    vectors = semantic_embedding(d, fit_semantic(d, rank=32, iterations=2)).drop("text")
+    assigned, _ = T.kmeans_topics(vectors, 8)
+    return assigned.select("doc_id", "cluster")
+
+
+@query("hierarchical_topics", "M6")
+def q_hierarchical_topics(spark, sf_dir):
+    return hierarchical_topics(_emb(spark, sf_dir), 20)[0].select("vec_id", "cluster")
+
+
 @query("summarise_clusters", "M7 F4 X1")
 def q_summarise_clusters(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -107,9 +123,10 @@ def q_summarise_clusters(spark, sf_dir):
     # prompts of the embedded corpus: documents aligned by id modulo the corpus size
     n_docs = t.documents.agg(F.count(F.lit(1))).scalar()
     texts = t.documents.select(F.col("doc_id").alias("_d"), "text")
-    e = e.withColumn("_d", F.col("vec_id") % n_docs).join(texts, "_d").drop("_d")
-    top = T.cluster_topk(e, 8)
-    rnd = T.choose_random_prompts(e.select("vec_id", "text"), 10, 42).withColumn(
+    # the texts meet the eight chosen rows of each cluster and the ten random ones only
+    with_text = lambda x: x.withColumn("_d", F.col("vec_id") % n_docs).join(texts, "_d").drop("_d")
+    top = with_text(T.cluster_topk(e, 8))
+    rnd = with_text(T.choose_random_prompts(e.select("vec_id"), 10, 42)).withColumn(
         "r", F.row_number().over(Window.orderBy("vec_id")))  # ten prompts
     prompts = T.cluster_summary_prompts(top, rnd, num_prompts=10)
     out = llm_map(prompts, "prompt", out_col="topic")
