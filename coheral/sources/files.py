@@ -1,19 +1,25 @@
 """File readers for the reference's formats.
 
 Order-dependent consumers need the position of each line; ``with_line_order``
-derives it from (file path, block start, position inside the task) and ranks it
-with the distributed ``global_rank`` -- nothing is numbered on the driver.
+numbers the rows of a scan in place from line counts per split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coheral.operators.ordering import global_rank
+from coheral.session import cut_lineage
 from coheral.sources import schemas as SC
 
 
+# ---- fixed values: blocks of a metric report, in order ----
+REPORT_BLOCKS = ["accuracy", "f1", "recall", "precision"]
+# ------------------------------------------------------------
+
+
 def read_essay_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw essay CSV (Filename, Prompt, corrected_essay) -> essay_id, prompt_id, text."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
@@ -26,22 +32,50 @@ def read_conversations_json(spark: SparkSession, path: str, multiline: bool = Tr
     return spark.read.schema(SC.CHAT).option("multiLine", multiline).json(path)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """``df`` with the split (file, start) each row is from and its place in the task's output."""
+    return df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_block_start").alias("_bs"),
+                     F.monotonically_increasing_id().alias("_mid"))
+
+
+def _splits(df: DataFrame) -> DataFrame:
+    """One row per split: (file, start, place of its first row, rows, number of its first row in file order)."""
+    some = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns[:1]]))  # lines are parsed, so both scans see the same rows
+    sizes = _placed(df).select("_fp", "_bs", "_mid", some.isNull().alias("_x")).groupBy("_fp", "_bs").agg(
+        F.min("_mid").alias("_first"), F.count("*").alias("_n"), F.max("_x").alias("_x")).drop("_x")
+    return cut_lineage(sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_fp", "_bs")) - F.col("_n")))
+
+
 def with_line_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Exact global line order: rank of (file path, split start, position in split)."""
-    keyed = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_block_start").alias("_bs"),
-                      F.monotonically_increasing_id().alias("_mid"))
-    return global_rank(keyed, ["_fp", "_bs", "_mid"], name).drop("_fp", "_bs", "_mid")
+    """Exact line order of a file scan (file path, then position), rows numbered where they are.
+
+    Rows are counted per split; prefix sums over (file, split start) say where each split begins,
+    and a row's number is that plus its place in the split.  Only the table with one row per split
+    (128 MB of input by default) is shuffled, written and broadcast; no text is.
+    ``df`` is a scan: both passes cut the same files into the same splits.
+    """
+    key = [F.xxhash64("_fp"), F.xxhash64(F.reverse("_fp"))]
+    starts = _splits(df).select(*[k.alias(f"_k{i}") for i, k in enumerate(key)], F.col("_bs").alias("_kb"), (F.col("_off") - F.col("_first")).alias("_shift"))
+    on = (key[0] == F.col("_k0")) & (key[1] == F.col("_k1")) & (F.col("_bs") == F.col("_kb"))
+    return _placed(df).join(F.broadcast(starts), on).withColumn(name, F.col("_mid") + F.col("_shift")).drop("_fp", "_bs", "_mid", "_k0", "_k1", "_kb", "_shift")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None, begin: int | None = None, end: int | None = None) -> DataFrame:
-    """S3: JSONL rows ``[begin:end]`` in file order (adds ``ord``)."""
+    """S3: JSONL rows ``[begin:end]`` in file order (adds ``ord``).
+
+    A slice counts all lines, then reads the files that hold its rows only.
+    """
     r = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
-    d = with_line_order(r)
-    if begin is not None:
-        d = d.filter(F.col("ord") >= begin)
-    if end is not None:
-        d = d.filter(F.col("ord") < end)
-    return d
+    if begin is None and end is None:
+        return with_line_order(r)
+    wanted = F.lit(True) if end is None else F.col("first") < end
+    files = _splits(r).groupBy("_fp").agg(F.min("_off").alias("first"), F.sum("_n").alias("n"))
+    files = files.filter(wanted & (F.col("first") + F.col("n") > (begin or 0))).orderBy("_fp").collect()  # the files of the slice
+    if not files:
+        return with_line_order(r).limit(0)
+    part = spark.read.schema(r.schema).json([unquote(f["_fp"]) for f in files])
+    d = with_line_order(part).withColumn("ord", F.col("ord") + files[0]["first"])
+    return d.filter((F.col("ord") >= (begin or 0)) & (F.lit(True) if end is None else F.col("ord") < end))
 
 
 def read_answers_dir(spark: SparkSession, answer_dir: str) -> DataFrame:
@@ -174,6 +208,36 @@ def read_metric_report(spark: SparkSession, path: str) -> DataFrame:
     return t.select("metric", "average", F.bround(F.col("value").cast("double") * 100).cast("int").alias("value_x100"))
 
 
+def read_metric_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Reports in the block layout of ``write_metric_blocks``, any number of files.
+
+    (file, title, metric, average, value, value_x100, problem): one row per value.  A line that fits
+    no block, a value that is no number, and a block that is missing give a row with ``problem`` instead.
+    """
+    t = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: x != "")
+    row = "array<struct<metric:string,average:string,value:double,problem:string>>"
+    start = F.struct(F.lit("").alias("block"), F.array().cast(row).alias("rows"))
+
+    def read(state, line):
+        name, cells = F.regexp_extract(line, "^([a-z0-9]+):$", 1), F.split(line, "\t")
+        plain = state["block"] == "accuracy"
+        value = F.when(plain, F.get(cells, 0)).otherwise(F.get(cells, 1)).try_cast("double")
+        fits = (F.size(cells) == F.when(plain, 1).otherwise(2)) & value.isNotNull() & (state["block"] != "")
+        found = F.struct(F.when(fits, state["block"]).alias("metric"), F.when(fits & ~plain, cells[0]).alias("average"),
+                         F.when(fits, value).alias("value"), F.when(~fits, F.concat(F.lit("unread line: "), line)).alias("problem"))
+        return F.when(name.isin(*REPORT_BLOCKS), F.struct(name.alias("block"), state["rows"].alias("rows"))).otherwise(
+            F.struct(state["block"].alias("block"), F.concat(state["rows"], F.array(found).cast(row)).alias("rows")))
+
+    folded = t.select("file", F.get(lines, 0).alias("title"), F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), start, read)["rows"].alias("r"))
+    absent = F.transform(F.filter(F.array(*[F.lit(b) for b in REPORT_BLOCKS]), lambda b: ~F.exists("r", lambda x: F.coalesce(x["metric"] == b, F.lit(False)))),
+                         lambda b: F.struct(b.alias("metric"), F.lit(None).cast("string").alias("average"), F.lit(None).cast("double").alias("value"),
+                                            F.concat(F.lit("no values under "), b).alias("problem"))).cast(row)
+    out = folded.select("file", "title", F.inline(F.concat("r", absent)))
+    return out.select("file", "title", "metric", "average", "value", F.bround(F.col("value") * 100).cast("int").alias("value_x100"), "problem")
+
+
 def read_split_cache(spark: SparkSession, path: str, split: str, one_per_class: str | None = None, order: str = "ord") -> DataFrame:
     """One split of a dataset cached as Parquet partitioned by ``split`` (partition pruning).
 

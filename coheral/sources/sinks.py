@@ -36,6 +36,24 @@ def write_metric_report(wide: DataFrame, path: str, group: list[str] | None = No
     write_csv(metrics_long(wide, group), path, sep="\t")
 
 
+def write_metric_blocks(wide: DataFrame, path: str, kind: str, group: list[str] | None = None,
+                        averages: tuple[str, ...] = ("macro", "weighted", "micro")) -> None:
+    """K3: one report a row of ``wide`` in the block layout (title, accuracy, then f1, recall and precision by average).
+
+    Columns are ``accuracy`` and ``<metric>_<average>``; with ``group`` each report is in a folder of its own.
+    """
+    from coheral.sources.files import REPORT_BLOCKS
+
+    number = lambda c: F.coalesce(F.col(c).cast("double").cast("string"), F.lit("nan"))
+    lines = [F.lit(f"coherence results analysis for data {kind}:"), F.lit("accuracy:"), number("accuracy")]
+    for block in REPORT_BLOCKS[1:]:
+        lines += [F.lit(f"{block}:"), *[F.concat(F.lit(f"{a}\t"), number(f"{block}_{a}")) for a in averages]]
+    group = group or []
+    out = wide.select(*group, F.concat_ws("\n", *lines).alias("value"))
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(*group) if group else writer).text(path)
+
+
 def write_predictions(df: DataFrame, path: str, pred: str = "pred", gold: str = "gold", logits: str | None = None,
                       n_classes: int = 0) -> None:
     """K4: TSV with prediction, gold and per-class logits."""
