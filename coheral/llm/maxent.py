@@ -180,9 +180,9 @@ class Model:
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
         w = self.weights
-        out = w[rows[:, 0]]
+        out = np.take(w, rows[:, 0], axis=0)
         for f in range(1, rows.shape[1]):
-            out += w[rows[:, f]]
+            out += np.take(w, rows[:, f], axis=0)
         out += w[BUCKETS]
         return out
 
@@ -196,16 +196,27 @@ class Model:
         return out
 
 
-def _sum_runs(g: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows: every second row of a run is added to the one before, until one is left."""
-    run = np.repeat(np.arange(len(size)), size)
-    while len(g) > len(size):
-        place = np.arange(len(g)) - (np.cumsum(size) - size)[run]
-        odd = np.flatnonzero(place & 1)
-        g[odd - 1] += g[odd]
-        keep = (place & 1) == 0
-        g, run, size = g[keep], run[keep], (size + 1) >> 1
-    return g
+def _sum_rows(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature rows in use, sum of p's rows over the tokens that have them).
+
+    Features are ordered by how often they occur; the k-th occurrences of all that have one are added
+    at once, until few features are left, which are summed one by one.
+    """
+    flat = rows.T.astype(np.uint16).ravel()  # BUCKETS fits; short keys are sorted by radix
+    order = np.argsort(flat, kind="stable")
+    key = flat[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    often = np.argsort(-size, kind="stable")
+    first, size = first[often], size[often]
+    token = order % len(p)
+    out, k = p[token[first]], 1
+    while (more := int(np.searchsorted(-size, -k))) > 48:
+        out[:more] += p[token[first[:more] + k]]
+        k += 1
+    for i in range(more):
+        out[i] += p[token[first[i] + k: first[i] + size[i]]].sum(0)
+    return key[first], out
 
 
 def gradient_steps(m: Model, rows: np.ndarray, cls: np.ndarray, memory: np.ndarray, rate: float, batch: int = 4096) -> None:
@@ -218,14 +229,16 @@ def gradient_steps(m: Model, rows: np.ndarray, cls: np.ndarray, memory: np.ndarr
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(c)), c] -= 1
-        flat = r.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        key = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        use = np.append(key[first], BUCKETS)
-        grad = np.vstack([_sum_runs(p[order % len(c)], np.diff(np.append(first, len(key)))), p.sum(0, keepdims=True)])
-        memory[use] += grad * grad
-        w[use] -= rate * grad / np.sqrt(memory[use] + 1e-6)
+        use, grad = _sum_rows(p, r)
+        use, grad = np.append(use, BUCKETS), np.vstack([grad, p.sum(0, keepdims=True)])
+        past = memory[use]
+        past += grad * grad
+        memory[use] = past
+        past += np.float32(1e-6)
+        np.sqrt(past, out=past)
+        grad /= past
+        grad *= np.float32(rate)
+        w[use] -= grad
 
 
 def _sum_blocks(df: DataFrame, spread: int) -> DataFrame:
