@@ -70,18 +70,18 @@ def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     lead = F.when(F.element_at("turns", 1)["system"], 1).otherwise(0).cast("long")
     conv_rows = conv_rows.withColumn("lead", lead)
 
-    def back(start: Column) -> Column:
-        """First repeated turn of a window whose new turns begin at ``start``."""
-        lowest = F.greatest(F.col("lead"), F.lit(0))
-        fits = F.filter(F.sequence(F.least(lowest, start), start),
-                        lambda j: F.get("prefix", start.cast("int")) - F.get("prefix", j.cast("int")) <= history)
-        return F.element_at(fits, 1)
-
     def used(first: Column, start: Column, end: Column) -> Column:
         """Cost of the lead, the history from ``first`` and the turns up to ``end``."""
         head = F.when(start > 0, F.get("prefix", F.col("lead").cast("int"))).otherwise(F.lit(0))
         return head + F.get("prefix", end.cast("int")) - F.get("prefix", first.cast("int"))
 
+    def back(start: Column) -> Column:
+        """First repeated turn of a window whose new turns begin at ``start``: as much history as the limit and the budget leave."""
+        lowest = F.greatest(F.col("lead"), F.lit(0))
+        fits = F.filter(F.sequence(F.least(lowest, start), start), lambda j: (j == start) | (
+            (F.get("prefix", start.cast("int")) - F.get("prefix", j.cast("int")) <= history) & (used(j, start, start + 1) <= budget)))
+        return F.element_at(fits, 1)
+
     def walk(acc, i):
         """Add turn i to the open window or, where the budget ends, open the next one."""
         last = F.element_at(acc, -1)
