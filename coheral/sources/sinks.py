@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +66,58 @@ def write_predictions(df: DataFrame, path: str, pred: str = "pred", gold: str =
     write_csv(df.select(*[c for c in df.columns if c in ("guid", "title")], *cols), path, sep="\t")
 
 
+FILTER_BITS = 16
+
+
+def _key_bits(df: DataFrame, key: str, *group: str) -> DataFrame:
+    """(group..., word, bits): the keys of each group as a bitmap of ``2 ** FILTER_BITS`` bits, set words only."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int").alias("_s")
+    return df.select(*group, slot).groupBy(*group, F.shiftright("_s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, _s & 31)")).alias("bits"))
+
+
+def _may_hold(spark, path: str, rows: list) -> list[str] | None:
+    """Batches that may hold one of the keys of the bitmap ``rows``; None if that isn't known."""
+    from coheral.session import fs_list_names, fs_read_text
+    names = [n for n in fs_list_names(spark, f"{path}/_filters") if n.endswith(".json")]
+    if not names:
+        return None
+    mine, found = {r["word"]: r["bits"] for r in rows}, set()
+    for n in names:
+        for batch, words in json.loads(fs_read_text(spark, f"{path}/_filters/{n}")).items():
+            if any(int(w) in mine and mine[int(w)] & bits for w, bits in words.items()):
+                found.add(batch)
+    return sorted(found)
+
+
 def checkpointed_sink(df: DataFrame, path: str, key: str, batch_col: str = "batch") -> DataFrame:
     """K6: resumable output.  Rows whose key is already written are skipped (left
     anti join) and the others are appended under their ``batch`` folder; nothing
     written is ever replaced.  A call that fails commits no file, so calling it
-    again adds exactly the missing keys.  Returns the rows written in this call."""
-    from coheral.session import fs_exists
+    again adds exactly the missing keys.  Returns the rows written in this call.
+
+    Before its rows a call publishes one small file with a bitmap of their keys by
+    batch (``2 ** FILTER_BITS`` bits each), so a later call reads and joins only the batches that may
+    hold one of its keys.  A bitmap whose rows never came costs a needless read, no row.
+    An output without bitmaps is read whole."""
+    from coheral.session import cut_lineage, fs_exists, fs_publish
     spark = df.sparkSession
+    path = path.rstrip("/")
+    there = fs_exists(spark, path)
     todo = df
-    if fs_exists(spark, path):
-        todo = df.join(spark.read.parquet(path).select(key), key, "left_anti")
+    if there:
+        batches = _may_hold(spark, path, _key_bits(df, key).collect())  # 2 ** (FILTER_BITS - 5) words at most
+        if batches is None or batches:
+            written = spark.read.parquet(path)
+            if batches is not None:
+                written = written.filter(F.coalesce(F.col(batch_col).cast("string"), F.lit("null")).isin(*batches))
+            todo = df.join(written.select(key), key, "left_anti")
+    todo = cut_lineage(todo)  # before anything is written under ``path``
+    if not there or fs_exists(spark, f"{path}/_filters"):
+        bits: dict[str, dict[str, int]] = {}
+        for r in _key_bits(todo.withColumn("_b", F.coalesce(F.col(batch_col).cast("string"), F.lit("null"))), key, "_b").collect():
+            bits.setdefault(r["_b"], {})[str(r["word"])] = r["bits"]
+        if bits or not there:
+            fs_publish(spark, f"{path}/_filters/{uuid.uuid4().hex}.json", json.dumps(bits))
     todo.write.mode("append").partitionBy(batch_col).parquet(path)
     return todo
 
