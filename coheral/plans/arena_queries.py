@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coheral.functions.text import py_strip
 from coheral.functions.timefn import ntz_micros
 from coheral.operators import arena as A
+from coheral.operators.sketches import certified_top
 from coheral.plans.conversation_queries import _lang_sql
 from coheral.plans.metric_queries import _r
 from coheral.plans.oracle_fixtures import with_fixtures
@@ -90,6 +92,22 @@ def q_user_ip_counts(spark, sf_dir):
     return A.user_ip_counts(_activity(spark, sf_dir), ban_ips=_BAN)
 
 
+@query("certified_top_ips", "A12", with_fixtures("SELECT ip, COUNT(*) AS n FROM activity GROUP BY ip ORDER BY n DESC, ip LIMIT 30", "activity"))
+def q_certified_top_ips(spark, sf_dir):
+    return certified_top(_activity(spark, sf_dir).select("ip"), "ip", 30)[0]
+
+
+@query("certified_frequent_prompts", "A8", """
+SELECT prompt, COUNT(*) AS n, min(ord) AS first_ord FROM (
+  SELECT lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS prompt, conv_id * 1000 + turn AS ord
+  FROM conversations WHERE role = 'user') z
+GROUP BY prompt ORDER BY n DESC, first_ord LIMIT 10""")
+def q_certified_frequent_prompts(spark, sf_dir):
+    c = Tables(spark, sf_dir).conversations.filter(F.col("role") == "user")
+    p = c.select(F.lower(py_strip("text")).alias("prompt"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    return certified_top(p, "prompt", 10, F.min("ord").alias("first_ord"), ("first_ord",))[0]
+
+
 @query("dense_user_id", "D14", with_fixtures(
     "SELECT ip, row_number() OVER (ORDER BY first_ord, ip) - 1 AS user_id FROM (SELECT ip, min(ord) AS first_ord "
     "FROM activity WHERE type IN ('tievote', 'leftvote', 'rightvote', 'bothbad_vote') GROUP BY ip) z", "activity"))
