@@ -35,6 +35,15 @@ def q_win_fraction_matrix(spark, sf_dir):
     return _r(R.win_fraction_matrix(_no_ties(spark, sf_dir)))
 
 
+@query("win_fraction_table", "A23", with_fixtures(f"""
+WITH {_NT}, {_BOTH}, wf AS (SELECT row, col, SUM(won) / COUNT(*) AS f FROM bo GROUP BY row, col),
+o AS (SELECT * FROM (SELECT row AS model, row_number() OVER (ORDER BY round(AVG(f), 9) DESC, row) AS pos FROM wf GROUP BY row) z WHERE pos <= 6)
+SELECT a.model AS row, b.model AS col, CAST(a.pos AS INTEGER) AS row_pos, CAST(b.pos AS INTEGER) AS col_pos, round(wf.f, 6) AS win_frac
+FROM o a CROSS JOIN o b LEFT JOIN wf ON wf.row = a.model AND wf.col = b.model""", "battles"))
+def q_win_fraction_table(spark, sf_dir):
+    return _r(R.win_fraction_table(_no_ties(spark, sf_dir), limit=6))
+
+
 @query("battle_count_matrix", "A24", with_fixtures(
     f"WITH {_NT}, {_BOTH} SELECT row, col, COUNT(*) AS n FROM bo GROUP BY row, col", "battles"))
 def q_battle_count_matrix(spark, sf_dir):

@@ -122,3 +122,16 @@ def test_stream_dedup_matches_batch(spark, scratch):
     got2 = {r["conversation_id"]: r["tstamp"] for r in SM.latest_version(spark, table, "conversation_id string, tstamp double").collect()}
     b2 = log.filter(F.col("type") == "chat").groupBy(F.col("states")[0]["conv_id"].alias("c")).agg(F.max("tstamp").alias("t"))
     assert got2 == {r["c"]: r["t"] for r in b2.collect()}
+
+
+def test_stream_clean_battles_matches_batch(spark, scratch):
+    d = os.path.join(scratch, "logs")
+    log = _write_log_days(spark, d)
+    ev = SM.stream_log_source(spark, d, max_files_per_trigger=3)
+    cleaned = SM.stream_clean_battles(ev, ban_ips=["3"]).select("model_a", "model_b", "winner", "tstamp")
+    q = (cleaned.writeStream.format("memory").queryName("clean_test").outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ck_clean")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    batch = A.clean_battles(log, ban_ips=["3"]).filter(F.col("reason").isNull()).select("model_a", "model_b", "winner", "tstamp")
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM clean_test").collect())
+    assert got and got == sorted(tuple(r) for r in batch.collect())
