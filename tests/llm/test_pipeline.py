@@ -126,8 +126,8 @@ def test_mix_keeps_texts_under_one_id(spark):
     assert sorted(r.text for r in got) == sorted(r[1] for r in rows) and sum(r.taken for r in got) == 12
 
 
-def test_eleven_queries_are_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and len(QUERIES) == 11
+def test_all_queries_are_registered():
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"} and len(QUERIES) == 14
 
 
 def test_queries_return_the_contract_columns(spark):
