@@ -251,28 +251,34 @@ def html_chats(t: Tables) -> DataFrame:
          .alias("conversations"))
 
 
-def arena_log(t: Tables) -> DataFrame:
+def conversation_messages(t: Tables) -> DataFrame:
+    """The messages of every conversation: conv_id string, messages: ``[role, text]`` pairs by turn."""
+    return (t.conversations.groupBy("conv_id")
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+            .select(F.col("conv_id").cast("string").alias("conv_id"),
+                    F.transform("m", lambda x: F.array(x["role"], x["text"])).alias("messages")))
+
+
+def arena_log(t: Tables, messages: bool = True) -> DataFrame:
     """Arena log events (T8): activity joined to two conversation states.
 
     Named (``model_0 = 'named'``) events show the real model names publicly,
     anonymous ones show ['', ''].  State 0 is conversation ``event_id % n``, state 1 ``(event_id + 1) % n`` where
     ``n`` is the number of conversations; messages are ``[role, text]`` pairs with
     roles user/assistant, offset 0.  ``tstamp`` is epoch seconds (double).
+    Without ``messages`` the states name their conversation only (see ``conversation_messages``).
     """
     act = activity(t)
-    conv = t.conversations
-    n = conv.agg(F.countDistinct("conv_id")).scalar()  # scalar subquery, no join
-    msgs = (conv.groupBy("conv_id")
-            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-            .select("conv_id", F.transform("m", lambda x: F.array(x["role"], x["text"])).alias("messages")))
-    # events are dealt out while narrow: the texts they meet are scanned in many tasks
-    a = act.repartition("ord").withColumn("c0", F.col("ord") % n).withColumn("c1", (F.col("ord") + 1) % n)
-    m0 = msgs.select(F.col("conv_id").alias("c0"), F.col("messages").alias("msg0"))
-    m1 = msgs.select(F.col("conv_id").alias("c1"), F.col("messages").alias("msg1"))
-    a = a.join(m0, "c0", "left").join(m1, "c1", "left")
+    n = t.conversations.agg(F.countDistinct("conv_id")).scalar()  # scalar subquery, no join
+    # events are dealt out while narrow: what they meet is worked on in many tasks
+    a = (act.repartition("ord").withColumn("c0", (F.col("ord") % n).cast("string"))
+         .withColumn("c1", ((F.col("ord") + 1) % n).cast("string")))
+    if messages:
+        for i in (0, 1):
+            a = a.join(conversation_messages(t).withColumnsRenamed({"conv_id": f"c{i}", "messages": f"msg{i}"}), f"c{i}", "left")
     model_b = F.concat(F.lit("m"), ((F.col("ord") + 3) % 8).cast("string"))
-    state = lambda cid, name, msg: F.struct(cid.cast("string").alias("conv_id"), name.alias("model_name"),
-                                            F.lit(0).alias("offset"), F.col(msg).alias("messages"))
+    state = lambda cid, name, msg: F.struct(cid.alias("conv_id"), name.alias("model_name"), F.lit(0).alias("offset"),
+                                            *([F.col(msg).alias("messages")] if messages else []))
     return a.select(
         "ord", "type",
         ntz_seconds(F.col("ts")).alias("tstamp"),
