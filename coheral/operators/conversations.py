@@ -360,11 +360,14 @@ def corpus_stats(chats: DataFrame, token_len=None) -> tuple[DataFrame, DataFrame
     pairs = F.when(turns > 0, pairs)
     d = counted.select(turns.alias("turns"), F.coalesce(pairs, F.array().cast("array<struct<p:int,r:int>>")).alias("pr"))
     d = d.select("turns", "pr", F.aggregate("pr", F.lit(0).cast("long"), lambda a, x: a + x["p"] + x["r"]).alias("len"))
-    per_turn = d.select(F.explode("pr").alias("x"))
+    # the means over turns from sums of each conversation: the texts are tokenized once
+    for c in ("p", "r"):
+        known = F.filter("pr", lambda x: x[c].isNotNull())
+        d = d.withColumns({f"_n_{c}": F.size(known),
+                           f"_{c}": F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x[c])})
+    mean = lambda c: F.when(F.sum(f"_n_{c}") > 0, F.sum(f"_{c}") / F.sum(f"_n_{c}"))
     summary = d.agg(F.count(F.lit(1)).alias("n_conversations"), F.sum("len").alias("n_tokens"),
-                    F.avg("turns").alias("avg_turns")).select(
-        "*", per_turn.agg(F.avg("x.p")).scalar().alias("avg_prompt_len"),
-        per_turn.agg(F.avg("x.r")).scalar().alias("avg_response_len"))
+                    F.avg("turns").alias("avg_turns"), mean("p").alias("avg_prompt_len"), mean("r").alias("avg_response_len"))
     e = HIST_EDGES
     b = F.lit(None).cast("int")
     for k in range(len(e) - 1):
