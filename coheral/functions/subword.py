@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 # ---- fixed value: how rank files of this kind split a text before the merges ----
 RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # ----------------------------------------------------------------------------------
+SLICE = 1 << 18  # characters given to a tokenizer at a time: its results take many times the text's memory
 
 
 @lru_cache(maxsize=4)
@@ -99,14 +100,27 @@ class Subwords:
 
 
 def _over(texts: pd.Series, fn) -> pd.Series:
-    """``fn`` of the list of non-null texts, put back in place."""
-    there = texts.notna().to_numpy()
-    out = pd.Series([None] * len(texts), dtype=object)
-    if there.any():
-        values = fn(texts[there].tolist())
-        for place, value in zip(there.nonzero()[0], values):
-            out.iat[place] = value
-    return out
+    """``fn`` of the non-null texts, put back in place; a call gets ``SLICE`` characters or one text."""
+    out: list = [None] * len(texts)
+    places: list[int] = []
+    some: list[str] = []
+    size = 0
+
+    def flush() -> None:
+        for place, value in zip(places, fn(some)):
+            out[place] = value
+
+    for place in texts.notna().to_numpy().nonzero()[0]:
+        text = texts.iat[place]
+        if some and size + len(text) > SLICE:
+            flush()
+            places, some, size = [], [], 0
+        places.append(place)
+        some.append(text)
+        size += len(text)
+    if some:
+        flush()
+    return pd.Series(out, dtype=object)
 
 
 def lengths(texts: Column, token_len) -> Column:

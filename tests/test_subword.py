@@ -84,3 +84,26 @@ def test_operators_count_with_them(spark):
     talk = spark.createDataFrame([(1, "m", "en", 1, [("user", "unbelievably"), ("assistant", None)])],
                                  "user_id int, model string, language string, turn int, conversation array<struct<role:string,content:string>>")
     assert A.release_stats(talk, sub).first().avg_prompt_tokens == spark.range(1).select(sub(F.lit("unbelievably"))).first()[0]
+
+
+def test_a_tokenizer_gets_bounded_slices():
+    import pandas as pd
+
+    from coheral.functions import subword as W
+
+    seen = []
+    texts = pd.Series(["ab" * 40_000, None, "", "c" * 300_000, *["d" * 1000] * 600], dtype=object)
+    got = W._over(texts, lambda some: seen.append(some) or [len(t) for t in some])
+    assert got.tolist() == [80_000, None, 0, 300_000, *[1000] * 600]
+    assert len(seen) > 3 and all(len(s) == 1 or sum(map(len, s)) <= W.SLICE for s in seen)
+
+
+def test_corpus_stats_tokenize_once(spark):
+    rows = [("a", [("human", "one two"), ("gpt", "x")]), ("b", [("human", "one"), ("gpt", None), ("human", "left")]), ("c", []), ("d", None)]
+    chats = spark.createDataFrame(rows, "id string, conversations array<struct<from:string,value:string>>")
+    out = C.corpus_stats(chats, Subwords(spark, os.path.join(FOLDER, "byte_bpe_50k.json")))[0]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    r = C.corpus_stats(chats)[0].first()
+    assert (r.n_conversations, r.avg_prompt_len, r.avg_response_len, r.n_tokens) == (4, 1.5, 1.0, 3)
+    none = C.corpus_stats(chats.limit(0))[0].first()
+    assert (none.n_conversations, none.avg_prompt_len, none.n_tokens) == (0, None, None)
