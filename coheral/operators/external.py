@@ -1,7 +1,7 @@
 """Calls to external models as Arrow-batched partition operators.
 
-``llm_map`` sends each row's prompt to a user-supplied callable inside
-``mapInPandas``: rows stream through in Arrow batches, each partition runs a
+``llm_map`` sends each row's prompt to a user-supplied callable inside an
+iterator UDF: prompts stream out and replies back in Arrow batches, each partition runs a
 bounded thread pool (global concurrency = running tasks x ``concurrency``), and
 failures become an error value instead of failing the task.  A deterministic
 offline stub keeps everything testable without network access.  Re-running
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable
@@ -93,7 +94,6 @@ def llm_map(df: DataFrame, prompt_col: str, fn: Callable[[str], str] = stub_mode
     if resume_from is not None and key is not None:
         df = df.join(resume_from.select(key), key, "left_anti")
     pol = policy
-    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def one(p):
         if p is None:
@@ -107,13 +107,29 @@ def llm_map(df: DataFrame, prompt_col: str, fn: Callable[[str], str] = stub_mode
                 return ""
             raise
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with ThreadPoolExecutor(max_workers=concurrency) as ex:
-            for pdf in batches:
-                pdf[out_col] = list(ex.map(one, pdf[prompt_col].tolist()))
-                yield pdf
-
-    return df.mapInPandas(run, schema)
+            for batch in batches:
+                prompts = batch.tolist()
+                replies: list = [None] * len(prompts)
+                places = iter(range(len(prompts)))  # each thread takes the next prompt; a range's iterator is safe to share
+
+                def work():
+                    try:
+                        for i in places:
+                            replies[i] = one(prompts[i])
+                    except BaseException:
+                        for _ in places:  # no further calls after a failure
+                            pass
+                        raise
+
+                for w in [ex.submit(work) for _ in range(concurrency)]:
+                    w.result()
+                yield pd.Series(replies, dtype=object)
+
+    # calls have a price: never repeated for a filter or a second use of the reply
+    return df.withColumn(out_col, reply.asNondeterministic()(F.col(prompt_col)))
 
 
 # ---- fixed values: marks that the offline moderation default looks for ----------

@@ -123,3 +123,13 @@ def test_split_cache_one_row_per_class(spark, scratch):
     spark.range(20).selectExpr("id AS ord", "id % 3 AS label", "IF(id < 10, 'train', 'dev') AS split").write.partitionBy("split").parquet(path)
     got = FI.read_split_cache(spark, path, "dev", one_per_class="label").collect()
     assert sorted((r.label, r.ord) for r in got) == [(0, 12), (1, 10), (2, 11)]
+
+
+def test_llm_map_sends_prompts_only(spark):
+    df = spark.createDataFrame([(1, "a", "p1"), (None, None, None), (3, "c", "p3")], "k int, other string, p string")
+    out = X.llm_map(df, "p", fn=lambda s: s + "!")
+    plan = out.select("k", "reply")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan and "other" not in plan.split("ArrowEvalPython")[0]
+    assert sorted(out.collect(), key=str) == sorted([(1, "a", "p1", "p1!"), (None, None, None, None), (3, "c", "p3", "p3!")], key=str)
+    many = X.llm_map(spark.range(5000).selectExpr("id", "cast(id as string) p"), "p", fn=lambda s: s, concurrency=8)
+    assert all(r["reply"] == r["p"] for r in many.collect())
