@@ -71,3 +71,15 @@ def test_essays_are_whole(spark):
     plan = _plan(QUERIES["incremental_pairs"](spark, SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan  # no language, length or id filter
     assert "LessThan" not in plan and "EqualTo" not in plan
+
+
+@pytest.mark.parametrize("name", ["story_to_pairs", "story_to_t5_text", "story_to_t5_multilabel", "story_to_prompt_completion"])
+def test_stories_are_dealt_by_the_id_their_labels_join(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(essay_id" not in plan and "hashpartitioning(ord" in plan  # one exchange of the texts
+    assert "LeftSemi" in plan  # labels of other stories are not gathered
