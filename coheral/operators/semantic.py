@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,15 @@ def vocabulary(df: DataFrame, text: str, max_terms: int, min_df: int) -> tuple[d
     return {r["term"]: i for i, r in enumerate(counts)}, np.log((1 + n) / (1 + np.array([r["df"] for r in counts], float))) + 1
 
 
-def _sparse(terms: dict[str, int], idf: np.ndarray, rows: list) -> tuple[list[bytes], list[bytes]]:
-    """Term numbers and L2-normalised TF-IDF weights of token lists."""
+def _sparse(terms: list[str], idf: np.ndarray, rows: pa.ListArray) -> tuple[list[bytes], list[bytes]]:
+    """Term numbers and L2-normalised TF-IDF weights of token lists; tokens stay in Arrow's memory, none becomes a string."""
+    known = pc.index_in(rows.flatten(), value_set=pa.array(terms, rows.type.value_type))
+    known = known.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
     at, weights = [], []
-    for row in rows:
-        ids = np.array([terms[w] for w in (row if row is not None else ()) if w in terms], np.int32)
-        ids, n = np.unique(ids, return_counts=True)
+    for lo, hi in zip(ends, ends[1:]):
+        ids = known[lo:hi]
+        ids, n = np.unique(ids[ids >= 0], return_counts=True)
         w = n * idf[ids]
         at.append(ids.astype(np.int32).tobytes())
         weights.append((w / max(np.sqrt((w * w).sum()), 1e-300)).astype(np.float64).tobytes())
@@ -114,16 +119,17 @@ def fit_semantic(df: DataFrame, text: str = "text", rank: int = 64, oversample:
                  min_df: int = 2, iterations: int = 4, seed: int = 0) -> SemanticModel:
     """Model of the corpus' ``rank`` strongest directions (fewer, if it has fewer)."""
     terms, idf = vocabulary(df, text, max_terms, min_df)
+    names = list(terms)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, w = _sparse(terms, idf, list(b["words"]))
-            yield pd.DataFrame({"at": at, "w": w})
+            at, w = _sparse(names, idf, b.column("words"))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(w, pa.binary())], ["at", "w"])
 
     width = min(rank + oversample, len(terms))
     if not width:
         return SemanticModel(terms, idf, np.zeros((0, 0)), np.zeros(0))
-    matrix = cut_lineage(df.select(words(text).alias("words")).mapInPandas(rows, "at binary, w binary"))
+    matrix = cut_lineage(df.select(words(text).alias("words")).mapInArrow(rows, "at binary, w binary"))
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), width)))
 
     def back_and_forth(lo, hi, ids, w, row):
@@ -144,15 +150,17 @@ def fit_semantic(df: DataFrame, text: str = "text", rank: int = 64, oversample:
 
 def semantic_embedding(df: DataFrame, model: SemanticModel, text: str = "text", out: str = "embedding") -> DataFrame:
     """``df`` with its texts' vectors, of length 1 (or 0)."""
-    terms, idf, projection = model.terms, model.idf, model.projection
+    names, idf, projection = list(model.terms), model.idf, model.projection
 
-    @F.pandas_udf("array<double>")
-    def embed(rows: pd.Series) -> pd.Series:
-        at, w = (pd.Series(x, dtype=object) for x in _sparse(terms, idf, list(rows)))
+    @F.arrow_udf("array<double>")
+    def embed(rows: pa.Array) -> pa.Array:
+        at, w = (pd.Series(x, dtype=object) for x in _sparse(names, idf, rows))
         vectors = [np.zeros((0, projection.shape[1]))]
         for lo, hi, ids, weights, row in _slices(at, w):
             v = _product(ids, weights, row, hi - lo, projection)
             vectors.append(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300))
-        return pd.Series([v.tolist() for v in np.concatenate(vectors)], dtype=object)
+        made = np.concatenate(vectors)
+        ends = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel(), pa.float64()))
 
     return df.withColumn(out, embed(words(text)))

@@ -104,3 +104,13 @@ def test_topics_of_texts(spark):
     vectors = SE.semantic_embedding(df, SE.fit_semantic(df, rank=6))
     got = {r.i: r.cluster for r in W.hierarchical_topics(vectors, 4)[0].select("i", "cluster").collect()}
     assert all(len({got[i] for i in range(k, 120, 4)}) == 1 for k in range(4)) and len(set(got.values())) == 4
+
+
+def test_sparse_rows_from_arrow_tokens():
+    import pyarrow as pa
+
+    rows = pa.array([["b", "a", "b", "x"], None, [], ["x"], ["a"]], pa.list_(pa.string()))
+    at, w = SE._sparse(["a", "b"], np.array([1.0, 2.0]), rows.slice(0))
+    assert [np.frombuffer(x, np.int32).tolist() for x in at] == [[0, 1], [], [], [], [0]]
+    assert np.allclose(np.frombuffer(w[0]), np.array([1.0, 4.0]) / np.sqrt(17)) and np.frombuffer(w[4]).tolist() == [1.0]
+    assert SE._sparse(["a", "b"], np.array([1.0, 2.0]), rows.slice(4))[0] == at[4:]
