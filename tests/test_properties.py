@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coheral.operators import conversations as C
 from coheral.operators import metrics as M
 from coheral.operators import ordering as O
+from coheral.operators import pairs as P
 from coheral.operators import ratings as R
 from coheral.operators.arena import clean_battles
 
@@ -268,3 +269,16 @@ def test_daily_counts_pacific_days_and_exclusion(spark):
     assert got == {("2024-01-01", "chat"): 1, ("2024-01-01", "anony_vote"): 1, ("2024-01-02", "chat"): 1}
     got2 = {(r["day"], r["kind"]) for r in daily_counts(df, exclude_days=["2024-01-01"]).collect()}
     assert got2 == {("2024-01-02", "chat")}
+
+
+# ---------------------------------------------------------------- P2 / P3 story labels
+@pytest.mark.parametrize("multilabel", [False, True])
+def test_labels_of_no_sentence_belong_to_no_pair(spark, multilabel):
+    stories = spark.createDataFrame([(1, "t", ["a.", "b."]), (2, "t", ["c."]), (3, None, []), (None, "t", ["d."])],
+                                    "uid long, title string, sents array<string>")
+    labels = spark.createDataFrame([(1, None, True), (1, 1, True), (2, None, True), (None, 0, True), (None, None, True)],
+                                   "uid long, sent_i int, coherence boolean")
+    labels = labels.withColumns({c: F.lit(True) for c in ("cohesion", "consistency", "relevance")})
+    got = {(r.uid, r.sent_i): r.label for r in P.story_to_pairs(stories, labels, multilabel).collect()}
+    want = {(1, 0): 0, (1, 1): 1, (2, 0): 0, (None, 0): 0}
+    assert got == {k: [v] * 4 if multilabel else v for k, v in want.items()}
